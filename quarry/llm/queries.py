@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import vectors
+from quarry.llm import pairs, vectors
 
 
 def _t(s: SparkSession, d: str, name: str) -> DataFrame:
@@ -35,10 +35,23 @@ def p3_counts(s: SparkSession, d: str) -> DataFrame:
     return vectors.match_counts(*vectors.cross_split_matches(_t(s, d, "dense_labelled")))
 
 
+def p7_found(s: SparkSession, d: str) -> DataFrame:
+    got = pairs.cooccurrence(_t(s, d, "baskets"), _t(s, d, "fpt_node"), min_count=5, min_share=1 / 500)
+    strong = F.col("n_ab") * F.col("n_baskets") >= 3 * F.col("n_a") * F.col("n_b")
+    return got.where((500 * F.col("n_ab") >= F.col("n_baskets")) & strong).select("item_a", "item_b")
+
+
+def p7_pairs(s: SparkSession, d: str) -> DataFrame:
+    """Every two items that share a basket, with their count and lift."""
+    return pairs.cooccurrence(_t(s, d, "baskets"), _t(s, d, "fpt_node"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_neighbours": p1_neighbours,
     "p3_found": p3_found,
     "p3_counts": p3_counts,
+    "p7_found": p7_found,
+    "p7_pairs": p7_pairs,
 }
 SQL: dict[str, str] = {}
