@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import pairs, terms, vectors
+from quarry.llm import leaks, pairs, terms, vectors
 
 
 def _t(s: SparkSession, d: str, name: str) -> DataFrame:
@@ -64,6 +64,20 @@ def p7_pairs(s: SparkSession, d: str) -> DataFrame:
     return pairs.cooccurrence(_t(s, d, "baskets"), _t(s, d, "fpt_node"))
 
 
+def p8_found(s: SparkSession, d: str) -> DataFrame:
+    return leaks.leaked_documents(_t(s, d, "documents"), _t(s, d, "eval_items"))
+
+
+def p8_passages(s: SparkSession, d: str) -> DataFrame:
+    """Every leaked passage at its longest, with its place."""
+    return leaks.passages(_t(s, d, "documents"), _t(s, d, "eval_items"))
+
+
+def p8_clean(s: SparkSession, d: str) -> DataFrame:
+    """The ids and sources of the documents left when those with leaks are removed."""
+    return leaks.remove_leaks(_t(s, d, "documents"), _t(s, d, "eval_items")).select("doc_id", "source")
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_neighbours": p1_neighbours,
@@ -75,6 +89,9 @@ QUERIES = {
     "p6_scores": p6_scores,
     "p7_found": p7_found,
     "p7_pairs": p7_pairs,
+    "p8_found": p8_found,
+    "p8_passages": p8_passages,
+    "p8_clean": p8_clean,
 }
 _WORDS = """art AS (SELECT newid, min(body) AS body FROM reuters WHERE newid IS NOT NULL GROUP BY newid),
  tok AS (SELECT newid, unnest(string_split(regexp_replace(lower(regexp_replace(body, '[^\\x00-\\x7F]', '', 'g')), '[^a-z0-9]+', ' ', 'g'), ' ')) AS term FROM art WHERE body IS NOT NULL),
