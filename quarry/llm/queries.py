@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import leaks, pairs, terms, vectors
+from quarry.llm import leaks, mixing, pairs, reading, terms, vectors
 
 
 def _t(s: SparkSession, d: str, name: str) -> DataFrame:
@@ -78,6 +78,31 @@ def p8_clean(s: SparkSession, d: str) -> DataFrame:
     return leaks.remove_leaks(_t(s, d, "documents"), _t(s, d, "eval_items")).select("doc_id", "source")
 
 
+def p9_mix(s: SparkSession, d: str) -> DataFrame:
+    """Every use of a document in the mix, in order of drawing."""
+    drawn = mixing.mix_sources(_t(s, d, "documents"), _t(s, d, "mix_targets"))[0]
+    return drawn.withColumn("finish_time", F.round("finish_time", 6))
+
+
+def p9_shares(s: SparkSession, d: str) -> DataFrame:
+    return mixing.mix_sources(_t(s, d, "documents"), _t(s, d, "mix_targets"))[1].withColumn("actual_share", F.round("actual_share", 9))
+
+
+def p10_found(s: SparkSession, d: str) -> DataFrame:
+    return reading.bands(reading.reading_levels(_t(s, d, "documents")))
+
+
+def p10_levels(s: SparkSession, d: str) -> DataFrame:
+    return reading.reading_levels(_t(s, d, "documents")).withColumn("level", F.round("level", 6))
+
+
+def p10_ends(s: SparkSession, d: str) -> DataFrame:
+    """The 50 easiest and the 50 hardest documents."""
+    levels = reading.reading_levels(_t(s, d, "documents")).where("level IS NOT NULL").select("doc_id", F.round("level", 6).alias("level"))
+    low = levels.orderBy("level", "doc_id").limit(50).withColumn("end", F.lit("easy"))
+    return low.unionByName(levels.orderBy(F.desc("level"), "doc_id").limit(50).withColumn("end", F.lit("hard")))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_neighbours": p1_neighbours,
@@ -92,6 +117,11 @@ QUERIES = {
     "p8_found": p8_found,
     "p8_passages": p8_passages,
     "p8_clean": p8_clean,
+    "p9_mix": p9_mix,
+    "p9_shares": p9_shares,
+    "p10_found": p10_found,
+    "p10_levels": p10_levels,
+    "p10_ends": p10_ends,
 }
 _WORDS = """art AS (SELECT newid, min(body) AS body FROM reuters WHERE newid IS NOT NULL GROUP BY newid),
  tok AS (SELECT newid, unnest(string_split(regexp_replace(lower(regexp_replace(body, '[^\\x00-\\x7F]', '', 'g')), '[^a-z0-9]+', ' ', 'g'), ' ')) AS term FROM art WHERE body IS NOT NULL),
