@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import leaks, mixing, pairs, reading, terms, vectors
+from quarry.llm import clusters, leaks, mixing, pairs, reading, terms, vectors
 
 
 def _t(s: SparkSession, d: str, name: str) -> DataFrame:
@@ -35,6 +35,15 @@ def p3_counts(s: SparkSession, d: str) -> DataFrame:
     return vectors.match_counts(*vectors.cross_split_matches(_t(s, d, "dense_labelled")))
 
 
+def p4_found(s: SparkSession, d: str) -> DataFrame:
+    return clusters.similarity_clusters(_t(s, d, "sparse_triplets")).groups().select("doc_id", "cluster_id")
+
+
+def p4_communities(s: SparkSession, d: str) -> DataFrame:
+    """Communities inside the groups, with size and most typical documents."""
+    return clusters.similarity_clusters(_t(s, d, "sparse_triplets")).described()
+
+
 def p5_found(s: SparkSession, d: str) -> DataFrame:
     return terms.term_frequencies(_t(s, d, "reuters")).where("mark IS NOT NULL").select("term", "mark")
 
@@ -108,6 +117,8 @@ QUERIES = {
     "p1_neighbours": p1_neighbours,
     "p3_found": p3_found,
     "p3_counts": p3_counts,
+    "p4_found": p4_found,
+    "p4_communities": p4_communities,
     "p5_found": p5_found,
     "p5_terms": p5_terms,
     "p6_found": p6_found,
