@@ -232,7 +232,8 @@ def records(linked: DataFrame) -> DataFrame:
 
 def list_entries(linked: DataFrame, entry_tag: str = "d") -> DataFrame:
     """Flat table of list entries, each with its record's key, its list and its place."""
-    return linked.where((F.col("tag") == entry_tag) & F.col("place").isNotNull()).select(
+    listed = (F.col("tag") == entry_tag) & F.col("place").isNotNull() & (F.col("depth") > 1)
+    return linked.where(listed).select(
         F.col("record_key").alias("newid"), F.col("parent_tag").alias("tag"), F.col("parent_no"), F.col("place").alias("seq_no"), "entry"
     )
 
