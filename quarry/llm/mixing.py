@@ -148,7 +148,7 @@ def mix_sources(
     report = report.select(
         "source", "target_share", "max_repeats", "docs_available", "tokens_available",
         F.coalesce("docs", F.lit(0)).alias("docs_drawn"), F.coalesce("most_used", F.lit(0)).alias("most_used"), tokens.alias("tokens_drawn"),
-        F.coalesce(tokens / F.sum(tokens).over(whole), F.lit(0.0)).alias("actual_share"),
+        F.coalesce(tokens / F.nullif(F.sum(tokens).over(whole), F.lit(0)), F.lit(0.0)).alias("actual_share"),
         (F.coalesce("uses", F.lit(0)) >= F.col("docs_available") * F.col("max_repeats")).alias("used_up"),
     )
     return drawn, report
