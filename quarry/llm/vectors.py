@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 
 from quarry.plans.lineage import materialize
 
-LEAF = 32
+LEAF = 32  # points in a leaf of a radius search
+BLOCK = 256  # queries and points that are verified by one matrix product
 SAMPLE = 8192
 
 
@@ -136,14 +137,14 @@ def cell_depth(n: int, per_cell: int) -> int:
 
 
 class Tree:
-    """kd-tree over projected points: leaves of at most ``LEAF`` points with tight boxes."""
+    """kd-tree over projected points: leaves of at most ``leaf`` points with tight boxes."""
 
-    def __init__(self, points: np.ndarray) -> None:
+    def __init__(self, points: np.ndarray, leaf: int = LEAF) -> None:
         parts = [np.arange(len(points))]
-        while parts and max(map(len, parts)) > LEAF:
+        while parts and max(map(len, parts)) > leaf:
             nxt = []
             for p in parts:
-                if len(p) <= LEAF:
+                if len(p) <= leaf:
                     nxt.append(p)
                     continue
                 x = points[p]
@@ -152,10 +153,11 @@ class Tree:
                 order = np.argpartition(x[:, d], half)
                 nxt += [p[order[:half]], p[order[half:]]]
             parts = nxt
+        self.parts = [np.sort(p) for p in parts]
         self.low = np.array([points[p].min(0) for p in parts])
         self.high = np.array([points[p].max(0) for p in parts])
-        self.leaf = np.full((len(parts), LEAF), -1)
-        for i, p in enumerate(parts):
+        self.leaf = np.full((len(parts), leaf), -1)
+        for i, p in enumerate(self.parts):
             self.leaf[i, : len(p)] = p
 
     def bounds(self, q: np.ndarray) -> np.ndarray:
@@ -170,34 +172,47 @@ class Tree:
 def search(tree: Tree, x: np.ndarray, q: np.ndarray, pq: np.ndarray, k: int, worst: np.ndarray, factor: float) -> tuple[np.ndarray, np.ndarray]:
     """Per query the k nearest points of the cell: positions (-1: none) and squared distances.
 
-    Leaves come in order of their projected distance r, all unseen points being at least r
-    away in the projection. A query stops as soon as r**2 exceeds ``factor`` times its k-th
-    squared distance, ``factor`` being the chi-square quantile: a true neighbour is then still
-    unseen with at most the tail probability. ``worst`` bounds that distance from the start.
+    Queries near each other in the projection form a block; leaves come in the order of their
+    projected distance r to the block, and the queries a leaf may still matter to are verified
+    against it in one matrix product. A query is done with a leaf, and with all at least as far,
+    as soon as r**2 exceeds ``factor`` times its k-th squared distance, ``factor`` being the
+    chi-square quantile: a true neighbour is then still unseen with at most the tail
+    probability. ``worst`` bounds that distance from the start. A few more than k are kept and
+    compared by their differences at the end, so products' rounding cannot reorder them.
     """
-    n = len(q)
+    n, wide = len(q), k + 6
     pos, dist = np.full((n, k), -1), np.full((n, k), np.inf)
-    for a in range(0, n, 1024):
-        s = slice(a, min(a + 1024, n))
-        b = tree.bounds(pq[s])
-        width = b.shape[1]
-        order = np.argsort(b, axis=1, kind="stable")
-        b = np.take_along_axis(b, order, 1)
-        cp, cd, limit = pos[s], dist[s], worst[s]
-        live = np.arange(len(b))
-        for step in range(width):
-            kth = np.minimum(cd[live, k - 1], limit[live])
-            live = live[~(b[live, step] > factor * kth)]
+    xn, qn = (x * x).sum(1), (q * q).sum(1)
+    near = np.concatenate([tree.bounds(pq[a : a + 4096]).argmin(1) for a in range(0, n, 4096)])
+    by_place = np.argsort(near, kind="stable")
+    for a in range(0, n, BLOCK):
+        block = by_place[a : a + BLOCK]
+        b, limit = tree.bounds(pq[block]), worst[block]
+        cp, cd = np.full((len(block), wide), -1), np.full((len(block), wide), np.inf)
+        for leaf in np.argsort(b.min(0), kind="stable").tolist():
+            kth = np.minimum(cd[:, k - 1], limit)
+            live = np.flatnonzero(~(b[:, leaf] > factor * kth))
             if not len(live):
-                break
-            cand = tree.leaf[order[live, step]]
-            diff = x[cand] - q[s][live][:, None, :]
-            d2 = np.einsum("ijk,ijk->ij", diff, diff)
-            d2[cand < 0] = np.inf
-            both_p, both_d = np.concatenate([cp[live], cand], 1), np.concatenate([cd[live], d2], 1)
-            best = np.lexsort((both_p, both_d), axis=1)[:, :k]
-            cp[live], cd[live] = np.take_along_axis(both_p, best, 1), np.take_along_axis(both_d, best, 1)
-        pos[s], dist[s] = cp, cd
+                continue
+            mine = tree.parts[leaf]
+            d = qn[block[live], None] + xn[None, mine] - 2 * (q[block[live]] @ x[mine].T)
+            r, c = np.nonzero(d <= (kth[live] * (1 + 1e-9) + 1e-9)[:, None])
+            if not len(r):
+                continue
+            rows, inv = np.unique(r, return_inverse=True)
+            at = live[rows]
+            fr = np.concatenate([np.repeat(np.arange(len(rows)), wide), inv])
+            fd = np.concatenate([cd[at].ravel(), np.maximum(d[r, c], 0)])
+            fp = np.concatenate([cp[at].ravel(), mine[c]])
+            o = np.lexsort((fp, fd, fr))
+            first = np.searchsorted(fr[o], np.arange(len(rows)))
+            keep = o[np.arange(len(o)) - first[fr[o]] < wide]
+            cp[at], cd[at] = fp[keep].reshape(-1, wide), fd[keep].reshape(-1, wide)
+        diff = x[cp] - q[block][:, None, :]
+        d2 = np.einsum("ijk,ijk->ij", diff, diff)
+        d2[cp < 0] = np.inf
+        best = np.lexsort((cp, d2), axis=1)[:, :k]
+        pos[block], dist[block] = np.take_along_axis(cp, best, 1), np.take_along_axis(d2, best, 1)
     pos[np.isinf(dist)] = -1
     return pos, dist
 
@@ -271,7 +286,7 @@ def _knn_pass(index: DataFrame, queries: DataFrame, cells: Cells, dim: int, k: i
             return pd.DataFrame({c: [] for c in cols})
         left = left.iloc[np.argsort([i[0]["id"] for i in left["ids"]], kind="stable")]  # positions then order as smallest ids
         x, q = unpack(left["vec"], dim), unpack(right["vec"], dim)
-        tree = Tree(x @ cells.basis)
+        tree = Tree(x @ cells.basis, BLOCK)
         pos, dist = search(tree, x, q, q @ cells.basis, k, right["worst"].to_numpy(float), factor)
         flat = [[(e["id"], e["label"]) for e in i] for i in left["ids"]]
         keys, out = right["key"].tolist(), []
