@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import clusters, leaks, mixing, pairs, reading, terms, vectors
+from quarry.llm.oracles import SQL  # noqa: F401
 
 
 def _t(s: SparkSession, d: str, name: str) -> DataFrame:
@@ -23,7 +24,7 @@ def p1_found(s: SparkSession, d: str) -> DataFrame:
 
 def p1_neighbours(s: SparkSession, d: str) -> DataFrame:
     """Every row with its 10 most similar rows and their labels."""
-    return vectors.similar_vectors(_t(s, d, "dense_labelled")).withColumnRenamed("query_id", "id_of")
+    return vectors.similar_vectors(_t(s, d, "dense_labelled")).withColumnRenamed("query_id", "id_of").withColumn("d2", F.round("d2", 6))
 
 
 def p3_found(s: SparkSession, d: str) -> DataFrame:
@@ -70,7 +71,7 @@ def p7_found(s: SparkSession, d: str) -> DataFrame:
 
 def p7_pairs(s: SparkSession, d: str) -> DataFrame:
     """Every two items that share a basket, with their count and lift."""
-    return pairs.cooccurrence(_t(s, d, "baskets"), _t(s, d, "fpt_node"))
+    return pairs.cooccurrence(_t(s, d, "baskets"), _t(s, d, "fpt_node")).withColumn("lift", F.round("lift", 9))
 
 
 def p8_found(s: SparkSession, d: str) -> DataFrame:
@@ -134,21 +135,3 @@ QUERIES = {
     "p10_levels": p10_levels,
     "p10_ends": p10_ends,
 }
-_WORDS = """art AS (SELECT newid, min(body) AS body FROM reuters WHERE newid IS NOT NULL GROUP BY newid),
- tok AS (SELECT newid, unnest(string_split(regexp_replace(lower(regexp_replace(body, '[^\\x00-\\x7F]', '', 'g')), '[^a-z0-9]+', ' ', 'g'), ' ')) AS term FROM art WHERE body IS NOT NULL),
- ok AS (SELECT newid, term FROM tok WHERE term <> '' AND NOT regexp_full_match(term, '[0-9]+')),
- tf AS (SELECT newid, term, count(*) AS tf FROM ok GROUP BY 1, 2),
- n AS (SELECT count(DISTINCT newid) AS n FROM tf),
- ct AS (SELECT term, CAST(sum(tf) AS BIGINT) AS cf, count(*) AS df FROM tf GROUP BY 1)"""
-
-SQL: dict[str, str] = {
-    "p5_found": f"""WITH {_WORDS} SELECT term, CASE WHEN df < 5 THEN 'rare' ELSE 'common' END AS mark FROM ct, n WHERE df < 5 OR df > n.n / 4.0""",
-    "p5_terms": f"""WITH {_WORDS} SELECT term, row_number() OVER (ORDER BY term) - 1 AS term_id, cf AS n_occurrences, df AS n_records,
- CASE WHEN df < 5 THEN 'rare' WHEN df > n.n / 4.0 THEN 'common' END AS mark FROM ct, n""",
-    "p6_found": f"""WITH {_WORDS}, sc AS (SELECT newid, tf.term, row_number() OVER (PARTITION BY newid ORDER BY round(tf * ln(n.n / df), 6) DESC, tf.term) AS rn
- FROM tf JOIN ct ON tf.term = ct.term, n WHERE df >= 2) SELECT newid, term FROM sc WHERE rn <= 3""",
-    "p6_scores": f"""WITH {_WORDS}, size AS (SELECT sum(tf) AS s FROM tf), len AS (SELECT newid, sum(tf) AS len FROM tf GROUP BY 1),
- p AS (SELECT tf.newid, tf.term, tf, df, n.n, cf / s AS pc, (tf + 2000.0 * (cf / s)) / (len + 2000.0) AS pd
- FROM tf JOIN ct ON tf.term = ct.term JOIN len ON tf.newid = len.newid, n, size WHERE df >= 2)
- SELECT newid, term, tf, df AS n_records, round(pd * ln(pd / pc), 9) AS divergence, round(tf * ln(n / df), 6) AS tf_idf FROM p""",
-}
