@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as fn
 from quarry.plans.lineage import broadcast_if_small
+from quarry.plans.numbering import numbered
 
 
 def single_topic(articles: DataFrame) -> DataFrame:
@@ -52,7 +53,7 @@ def doc_freq(counts: DataFrame) -> DataFrame:
 def vocabulary(counts: DataFrame, min_df: int = 5) -> DataFrame:
     """(term_id, term, df): terms in at least ``min_df`` documents, numbered from 0 in byte order."""
     kept = doc_freq(counts).where(F.col("df") >= min_df)
-    return kept.select((F.row_number().over(Window.orderBy("term")) - 1).cast("int").alias("term_id"), "term", "df")
+    return numbered(kept, ["term"], "term_id").select(F.col("term_id").cast("int").alias("term_id"), "term", "df")
 
 
 def weighted(counts: DataFrame, vocab: DataFrame, weighting: str = "freq", norm: str = "sumsq") -> DataFrame:

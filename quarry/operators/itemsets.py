@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.ml.fpm import FPGrowth
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.plans.numbering import numbered
+
 MAX_SUBSETS_OF = 20  # items in a set whose subsets are enumerated, 2**20 at most
 
 
@@ -15,7 +17,7 @@ def item_counts(pairs: DataFrame) -> DataFrame:
 
 def item_dictionary(pairs: DataFrame) -> DataFrame:
     """(item, n, code): items by falling count, ties by item, coded from 1. One row an item."""
-    return item_counts(pairs).withColumn("code", F.row_number().over(Window.orderBy(F.desc("n"), "item")))
+    return numbered(item_counts(pairs), [F.desc("n"), "item"], "code", 1).withColumn("code", F.col("code").cast("int"))
 
 
 def frequent_pairs(pairs: DataFrame, min_supp: int) -> DataFrame:

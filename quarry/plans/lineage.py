@@ -22,6 +22,8 @@ def shared_root(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     if app not in _roots:
         base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base and (own := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
+            base = own.get()
         if not base:
             if not spark.sparkContext.master.startswith("local"):
                 raise ValueError("spark.checkpoint.dir must name a folder that all executors share")

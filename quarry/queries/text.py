@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as fn
 from quarry.operators import corpus
+from quarry.plans.lineage import broadcast_if_small
+from quarry.plans.numbering import numbered
 from quarry.queries.views import ART, CL, SINGLE, TR, clean
 from quarry.sources import tables
 
@@ -39,8 +41,8 @@ def scan_class_labels(s: SparkSession, d: str) -> DataFrame:
     """Labels with a class number by first document."""
     lab = tables.class_labels(s.read.parquet(f"{d}/class_labels.parquet"))
     first = lab.groupBy("label").agg(F.min("doc_id").alias("first"))
-    ids = first.select("label", (F.row_number().over(corpus.Window.orderBy("first", "label")) - 1).cast("int").alias("class_id"))
-    return lab.join(F.broadcast(ids), "label").select("doc_id", "label", "class_id")
+    ids = numbered(first, ["first", "label"], "class_id").select("label", F.col("class_id").cast("int").alias("class_id"))
+    return lab.join(broadcast_if_small(ids, ids.count()), "label").select("doc_id", "label", "class_id")
 
 
 def stem_vocabulary(s: SparkSession, d: str) -> DataFrame:
