@@ -38,17 +38,29 @@ class Conf:
 class Stub:
     """A session as far as ``shared_root`` looks at one."""
 
-    def __init__(self, spark, value, master):
-        self.conf, self.sparkContext = Conf(value), self
-        self.applicationId, self.master, self._jsc = f"{value}{master}", master, spark.sparkContext._jsc
+    def __init__(self, value, master, own=None):
+        self.conf, self.sparkContext, self._jsc, self.own = Conf(value), self, self, own
+        self.applicationId, self.master = f"{value}{master}{own}", master
 
+    def sc(self):
+        return self
 
-def test_setting_names_the_folder(spark, monkeypatch):
+    def getCheckpointDir(self):
+        return self
+
+    def isDefined(self):
+        return self.own is not None
+
+    get = lambda self: self.own
+
+
+def test_setting_names_the_folder(monkeypatch):
     monkeypatch.setattr(lineage, "_roots", {})
-    assert lineage.shared_root(Stub(spark, "hdfs://x/y/", "yarn")).startswith("hdfs://x/y/quarry-")
-    assert lineage.shared_root(Stub(spark, None, "local[2]")).startswith("file:///")
+    assert lineage.shared_root(Stub("hdfs://x/y/", "yarn")).startswith("hdfs://x/y/quarry-")
+    assert lineage.shared_root(Stub(None, "yarn", "s3a://b/c")).startswith("s3a://b/c/quarry-")
+    assert lineage.shared_root(Stub(None, "local[2]")).startswith("file:///")
     with pytest.raises(ValueError):
-        lineage.shared_root(Stub(spark, None, "spark://host:7077"))
+        lineage.shared_root(Stub(None, "spark://host:7077"))
 
 
 def test_broadcast_only_small(spark):
