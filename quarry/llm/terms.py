@@ -17,6 +17,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quarry.plans.lineage import materialize
+from quarry.plans.numbering import numbered
 
 RANGE = 1 << 14  # identifiers in one count array
 FLUSH = 2_000_000
@@ -64,18 +65,8 @@ def _block_counts(tf: DataFrame) -> DataFrame:
 
 
 def dictionary(terms: DataFrame) -> DataFrame:
-    """(term, id): dense identifiers in byte order of the terms.
-
-    Terms are range-partitioned and sorted; the driver sees one count per partition, never a
-    term, and adds its offset to the place in the partition."""
-    parts = materialize(terms.distinct().repartitionByRange("term").sortWithinPartitions("term").select(F.monotonically_increasing_id().alias("m"), "term"), "dict")
-    part = F.shiftrightunsigned("m", 33)
-    counts = sorted((r["p"], r["n"]) for r in parts.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())
-    offset, at = {}, 0
-    for p, n in counts:
-        offset[p], at = at, at + n
-    base = F.create_map(*[F.lit(x) for kv in offset.items() for x in kv])[part] if offset else F.lit(0)
-    return parts.select("term", (base + F.col("m").bitwiseAND((1 << 33) - 1)).cast("bigint").alias("id"))
+    """(term, id): dense identifiers in byte order of the terms."""
+    return numbered(terms.distinct(), ["term"], "id")
 
 
 def _sum_by_range(encoded: DataFrame) -> DataFrame:
