@@ -245,6 +245,15 @@ def text_elements(linked: DataFrame, tags: tuple[str, ...] = ("title", "author",
     )
 
 
+def articles(linked: DataFrame, list_tag: str = "topics", body_tag: str = "body") -> DataFrame:
+    """(newid, topics, body): the three fields a text pipeline needs, topics in their order."""
+    entry = (F.col("tag") == "d") & (F.col("parent_tag") == list_tag) & F.col("place").isNotNull()
+    body = (F.col("tag") == body_tag) & (F.col("place") == 1)
+    got = linked.where("record_key IS NOT NULL AND (depth = 0 OR tag = 'd' OR tag = '%s')" % body_tag).groupBy(F.col("record_key").alias("newid"))
+    listed = F.array_sort(F.collect_list(F.when(entry, F.struct("place", "entry"))))
+    return got.agg(listed.alias("t"), F.max(F.when(body, F.col("entry"))).alias("body")).select("newid", F.transform("t", lambda x: x["entry"]).alias("topics"), "body")
+
+
 def flat_entries(linked: DataFrame) -> DataFrame:
     """(newid, tag, seq_no, entry) of records, list entries and text elements in one table."""
     cols = ["newid", "tag", "seq_no", "entry"]

@@ -22,6 +22,7 @@ from quarry.plans.lineage import broadcast_if_small, materialize
 
 CRITERIA = {"sse": False, "i2": True, "e1": False}  # name -> larger is better
 MAX_DENSE = 5_000_000  # numbers in the k x d matrix a broadcast may hold
+MAX_SEQUENTIAL = 5_000_000  # cells of a collection that one task may hold
 
 
 def criterion(name: str) -> str:
@@ -241,6 +242,56 @@ def fit(points: DataFrame, k: int, by: str = "i2", seed: int = 1, max_iter: int
     return state.select("doc_id", "cluster"), value
 
 
+def fit_sequential(points: DataFrame, k: int, by: str = "e1", trials: int = 1, max_iter: int = 30, stop: float = 0.1) -> DataFrame:
+    """(trial, doc_id, cluster, objective): point-by-point moves in the order of the ids, composites
+    following each move, as the criterion functions are defined; trials run side by side.
+
+    A move depends on the one before, so a trial is one task that holds all points. That is for
+    collections of at most ``MAX_SEQUENTIAL`` cells; a larger one is an error, and ``fit`` is the
+    way that scales."""
+    by = criterion(by)
+    cells = points.count()
+    if cells > MAX_SEQUENTIAL:
+        raise ValueError(f"{cells} cells are more than {MAX_SEQUENTIAL}; use fit")
+    rows = points.select(F.explode(F.sequence(F.lit(0), F.lit(trials - 1))).alias("trial"), "doc_id", "dim", "val")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["doc_id", "dim"])
+        ids, start = np.unique(pdf["doc_id"].to_numpy(), return_index=True)
+        _, dims = np.unique(pdf["dim"].to_numpy(), return_inverse=True)
+        vals = pdf["val"].to_numpy()
+        ends, trial = np.append(start[1:], len(vals)), int(pdf["trial"].iloc[0])
+        n_clusters, d = min(k, len(ids)), int(dims.max()) + 1
+        g = np.bincount(dims, weights=vals, minlength=d)
+        m, n, own = np.zeros((n_clusters, d)), np.zeros(n_clusters), np.full(len(ids), -1)
+        for c, i in enumerate(np.random.default_rng(2 * trial + 1).choice(len(ids), n_clusters, replace=False)):
+            m[c, dims[start[i] : ends[i]]] = vals[start[i] : ends[i]]
+            n[c], own[i] = 1, c
+        dd, dg = (m * m).sum(1), m @ g
+        for _ in range(max_iter):
+            moved = 0
+            for i in range(len(ids)):
+                at, v = dims[start[i] : ends[i]], vals[start[i] : ends[i]]
+                s = np.round(_score(by, n, dd, dg, (m[:, at] @ v)[None, :], np.array([v @ v]), np.array([v @ g[at]]), own[i : i + 1])[0], 12)
+                to = int(s.argmin())
+                if own[i] >= 0 and not s[to] < 0:
+                    continue
+                for c, sign in ((own[i], -1.0), (to, 1.0)):
+                    if c >= 0:
+                        m[c, at] += sign * v
+                        n[c] += sign
+                        dd[c], dg[c] = m[c] @ m[c], m[c] @ g
+                own[i] = to
+                moved += 1
+            if moved < stop * len(ids):
+                break
+        live = n > 0
+        value = {"sse": float(vals @ vals - (dd[live] / n[live]).sum()), "i2": float(np.sqrt(dd).sum()), "e1": float((n[live] * dg[live] / np.sqrt(np.maximum(dd[live], 1e-300))).sum() / np.sqrt(g @ g))}[by]
+        return pd.DataFrame({"trial": trial, "doc_id": ids, "cluster": own, "objective": value})
+
+    return rows.groupBy("trial").applyInPandas(run, "trial INT, doc_id BIGINT, cluster INT, objective DOUBLE")
+
+
 def best_trial(points: DataFrame, k: int, by: str = "i2", trials: int = 3, **kw) -> tuple[DataFrame, pd.DataFrame]:
     """The assignment of the best of several seeded fits, and (trial, objective) of all."""
     got = [fit(points, k, by, seed=2 * t + 1, **kw) for t in range(trials)]

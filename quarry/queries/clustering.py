@@ -67,6 +67,13 @@ def kmeans_fit_e1(s: SparkSession, d: str) -> DataFrame:
     return ops.fit(_points(s, d), K, "e1")[0]
 
 
+def kmeans_sequential(s: SparkSession, d: str) -> DataFrame:
+    """The best of three sequential trials under E1."""
+    got = materialize(ops.fit_sequential(_points(s, d), K, "e1", trials=3), "trials")
+    best = got.groupBy("trial").agg(F.first("objective").alias("o")).orderBy("o", "trial").limit(1)
+    return got.join(F.broadcast(best.select("trial")), "trial", "left_semi").select("doc_id", "cluster")
+
+
 def domain_sizes(s: SparkSession, d: str) -> DataFrame:
     tx = tables.transactions(s.read.parquet(f"{d}/baskets.parquet")).agg(F.max("item").alias("max_item"))
     return tx.join(F.broadcast(_points(s, d).agg((F.max("dim") + 1).alias("n_dims"))))
@@ -97,6 +104,7 @@ QUERIES = {
     "kmeans_fit": kmeans_fit,
     "kmeans_fit_e1": kmeans_fit_e1,
     "kmeans_best_trial": kmeans_best_trial,
+    "kmeans_sequential": kmeans_sequential,
     "domain_sizes": domain_sizes,
 }
 

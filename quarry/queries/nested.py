@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quarry.operators import markup
 from quarry.plans.lineage import materialize
@@ -12,7 +13,13 @@ def _linked(spark: SparkSession, d: str) -> DataFrame:
     return markup.first_sendings(materialize(markup.nodes(spark.read.parquet(f"{d}/reuters_raw.parquet")), "nodes"))
 
 
+def extract_markup(s: SparkSession, d: str) -> DataFrame:
+    got = markup.articles(_linked(s, d))
+    return got.select("newid", F.concat_ws("|", "topics").alias("topics"), "body")
+
+
 QUERIES = {
+    "extract_markup": extract_markup,
     "p2_found": lambda s, d: markup.flat_entries(_linked(s, d)).distinct(),
     "p2_records": lambda s, d: markup.records(_linked(s, d)),
     "p2_entries": lambda s, d: markup.list_entries(_linked(s, d)),
@@ -45,7 +52,10 @@ _ENTRIES = " UNION ALL ".join(
 )
 _TEXTS = " UNION ALL ".join(f"SELECT newid, '{t}' AS tag, {_plain(f"regexp_extract(r, '(?is)<{t}>(.*?)</{t}>', 1)")} AS entry FROM one" for t in ("title", "author", "dateline"))
 
+_BODY = _plain("regexp_extract(r, '(?is)<body>(.*?)</body>', 1)")
+
 SQL: dict[str, str] = {
+    "extract_markup": f"""WITH {_REC}, en AS ({_ENTRIES}) SELECT newid, array_to_string(l, '|') AS topics, nullif({_BODY}, '') AS body FROM one JOIN en USING (newid) WHERE tag = 'topics'""",
     "p2_found": f"""WITH {_REC}, en AS ({_ENTRIES}), el AS ({_TEXTS}) SELECT newid, 'reuters' AS tag, 0 AS seq_no, lewissplit AS entry FROM one
  UNION ALL SELECT newid, tag, CAST(unnest(range(1, len(l) + 1)) AS INTEGER), unnest(l) FROM en UNION ALL SELECT newid, tag, 1, entry FROM el WHERE entry <> ''""",
 }

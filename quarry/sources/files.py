@@ -51,8 +51,8 @@ def first_images(df: DataFrame, n: int, by: str = "id") -> DataFrame:
 
 def write_lines(df: DataFrame, line: F.Column | str, path: str, order: list[str] | None = None) -> None:
     """One text line a row, globally sorted by ``order`` where given."""
-    rows = df.orderBy(*order) if order else df
-    rows.select((F.col(line) if isinstance(line, str) else line).alias("value")).write.text(path)
+    rows = df.withColumn("_line", F.col(line) if isinstance(line, str) else line)
+    (rows.orderBy(*order) if order else rows).select(F.col("_line").alias("value")).write.text(path)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -70,3 +70,24 @@ def rule_line() -> F.Column:
     # a tie in the fifth decimal is rounded up
     conf = F.when(F.col("confidence") < 0, "-1").otherwise(F.format_string("%.4f", F.round("confidence", 4)))
     return F.concat_ws(" | ", F.concat_ws(" ", F.transform("lhs", lambda x: x.cast("string"))), rhs, F.col("support").cast("string"), conf)
+
+
+def weight_line(digits: int = 4) -> F.Column:
+    """One text line of a class's weights (label, ws ARRAY<DOUBLE>), separated by commas."""
+    return F.concat_ws(",", F.transform("ws", lambda w: F.format_string(f"%{digits + 3}.{digits}f", w)))
+
+
+def write_weights(weights: DataFrame, path: str, digits: int = 4) -> None:
+    """(label, dim, w) as one line a label in label order, one number a dim."""
+    rows = weights.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "w"))), lambda e: e["w"]).alias("ws"))
+    write_lines(rows, weight_line(digits), path, ["label"])
+
+
+def write_predictions(pred: DataFrame, path: str) -> None:
+    """One predicted label a line, in the order of the ids."""
+    write_lines(pred, F.col("pred").cast("string"), path, ["id"])
+
+
+def write_vocabulary(vocab: DataFrame, path: str) -> None:
+    """One term a line, in the order of the term numbers."""
+    write_lines(vocab, "term", path, ["term_id"])

@@ -55,6 +55,22 @@ def test_fit_finds_plain_clusters(spark, by):
     assert ops.objective(pts, got, by).first()[0] == pytest.approx(value)
 
 
+@pytest.mark.parametrize("by", ["sse", "i2", "e1"])
+def test_sequential_moves_improve(spark, by, monkeypatch):
+    rng = np.random.default_rng(1)
+    rows = [(i, int(j) + 10 * (i % 3), 1 + float(rng.random())) for i in range(45) for j in range(5)]
+    pts = spark.createDataFrame(rows, "doc_id BIGINT, dim INT, val DOUBLE")
+    values = []
+    for rounds in (1, 2, 10):
+        got = ops.fit_sequential(pts, 3, by, trials=2, max_iter=rounds, stop=0.0).where("trial = 1").cache()
+        values.append(got.first()["objective"])
+        assert ops.objective(pts, got.select("doc_id", "cluster"), by).first()[0] == pytest.approx(values[-1])
+    assert values == sorted(values, reverse=by != "i2")
+    monkeypatch.setattr(ops, "MAX_SEQUENTIAL", 10)
+    with pytest.raises(ValueError):
+        ops.fit_sequential(pts, 3, by)
+
+
 def test_fit_edge_cases(spark):
     none = spark.createDataFrame([], "doc_id BIGINT, dim INT, val DOUBLE")
     assert ops.fit(none, 3)[0].count() == 0

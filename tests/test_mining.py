@@ -85,3 +85,18 @@ def test_bad_numbers_fail(spark, tmp_path):
 def test_short_image_file(spark):
     with pytest.raises(ValueError):
         files.first_images(spark.range(3), 4)
+
+
+def test_other_sinks(spark, tmp_path):
+    w = spark.createDataFrame([(1, 1, -0.25), (1, 0, 0.5), (0, 0, 1.0), (0, 1, 2.0)], "label INT, dim INT, w DOUBLE")
+    files.write_weights(w, str(tmp_path / "w"))
+    assert [r["value"] for r in spark.read.text(str(tmp_path / "w")).collect()] == [" 1.0000, 2.0000", " 0.5000,-0.2500"]
+    files.write_predictions(spark.createDataFrame([(2, 7), (1, 3)], "id BIGINT, pred INT"), str(tmp_path / "p"))
+    assert [r["value"] for r in spark.read.text(str(tmp_path / "p")).collect()] == ["3", "7"]
+    files.write_vocabulary(spark.createDataFrame([("b", 1), ("a", 0)], "term STRING, term_id INT"), str(tmp_path / "v"))
+    assert [r["value"] for r in spark.read.text(str(tmp_path / "v")).collect()] == ["a", "b"]
+    t = spark.createDataFrame([(1, 2, 0.5, "freq"), (1, 2, 0.7, "sqrt")], "doc_id BIGINT, dim INT, val DOUBLE, weighting STRING")
+    files.write_weightings(t, str(tmp_path / "t"))
+    assert spark.read.parquet(str(tmp_path / "t")).where("weighting = 'sqrt'").first()["val"] == 0.7
+    files.write_csv(t.select("doc_id", "dim", "val"), str(tmp_path / "c"))
+    assert files.read_triplets(spark, str(tmp_path / "c")).count() == 2
