@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from quarry.plans import lineage
 from quarry.plans.numbering import numbered, one_row_per_key
+from quarry.plans.skew import skew_join
 
 
 def test_numbered(spark):
@@ -66,3 +67,11 @@ def test_setting_names_the_folder(monkeypatch):
 def test_broadcast_only_small(spark):
     df = spark.range(3)
     assert lineage.broadcast_if_small(df, 10, 5) is df and lineage.broadcast_if_small(df, 3, 5) is not df
+
+
+@pytest.mark.parametrize("hot", [5, 10**6])
+def test_skew_join(spark, hot):
+    left = spark.createDataFrame([(1 if i % 3 else i, i) for i in range(90)] + [(None, 7)], "k INT, v INT")
+    right = spark.createDataFrame([(1, "a"), (1, "b"), (3, "c"), (99, "d")], "k INT, w STRING")
+    got = sorted(tuple(r) for r in skew_join(left, right, "k", hot).collect())
+    assert got == sorted(tuple(r) for r in left.join(right, "k").collect()) and len(got) > 60
