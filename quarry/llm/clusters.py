@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from quarry.plans.components import components
 from quarry.plans.lineage import broadcast_if_small, materialize
+from quarry.plans.skew import skew_join
 
 BITS = ["b0", "b1", "b2", "b3"]
 
@@ -227,7 +228,7 @@ class Clustering:
         links = self.edges.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
         node = self.nodes.select("key", "node", "copies").join(self.comp, "node", "left").where("comp IS NOT NULL OR copies > 1")
         node = node.join(links, "node", "left").select("key", F.coalesce("comp", "node").alias("cluster_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-        return self.members.join(node, "key").select("doc_id", "cluster_id", "n_links")
+        return skew_join(self.members, node, "key").select("doc_id", "cluster_id", "n_links")
 
     def described(self, typical: int = 5) -> DataFrame:
         """(cluster_id, community_id, n_docs, n_vectors, typical): communities with their size and

@@ -25,10 +25,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.plans.lineage import materialize
+from quarry.plans.skew import skew_join
 
 LEAF = 32  # points in a leaf of a radius search
 BLOCK = 256  # queries and points that are verified by one matrix product
-SAMPLE = 8192
+SAMPLE, SAMPLE_MAX = 8192, 65_536  # vectors the cells are fitted on: 25 MB at most at 49 dimensions
 
 
 def vector_rows(df: DataFrame, dim: int, id_col: str, vec_col: str, keep: dict[str, str]) -> DataFrame:
@@ -132,8 +133,10 @@ class Cells:
 
 
 def cell_depth(n: int, per_cell: int) -> int:
-    """Splits so that a cell has about ``per_cell`` vectors; 16 cells at least, to use a cluster."""
-    return max(4, math.ceil(math.log2(max(n, 1) / per_cell)) if n > per_cell else 0)
+    """Splits so that a cell has about ``per_cell`` vectors; 16 cells at least, to use a cluster, and
+    no more than a sample of ``SAMPLE_MAX`` can place with 4 vectors in each."""
+    deep = math.ceil(math.log2(n / per_cell)) if n > per_cell else 0
+    return min(max(4, deep), int(math.log2(SAMPLE_MAX // 4)))
 
 
 class Tree:
@@ -233,16 +236,17 @@ def within(tree: Tree, x: np.ndarray, q: np.ndarray, pq: np.ndarray, radius2: np
 
 
 def _fit(reps: DataFrame, n: int, dim: int, m: int, per_cell: int, orthonormal: bool, seed: int) -> Cells:
-    """Cells fitted on the ``SAMPLE`` vectors of smallest key: keys are hashes, so this is a
-    uniform sample of bounded size (3 MB at 49 dimensions)."""
-    got = reps.orderBy("key").limit(SAMPLE).select("vec").toPandas()["vec"]
+    """Cells fitted on the ``SAMPLE`` to ``SAMPLE_MAX`` vectors of smallest key: keys are hashes, so
+    this is a uniform sample of bounded size. Every vector is indexed, whatever the sample."""
+    depth = cell_depth(n, per_cell)
+    got = reps.orderBy("key").limit(min(max(SAMPLE, 8 * 2**depth), SAMPLE_MAX)).select("vec").toPandas()["vec"]
     sample = unpack(got, dim) if len(got) else np.zeros((1, dim))
     if orthonormal:
         _, vectors = np.linalg.eigh(np.cov(sample.T) if len(sample) > 1 else np.eye(dim))
         basis = np.ascontiguousarray(vectors[:, ::-1][:, : min(m, dim)])
     else:
         basis = np.random.default_rng(seed).standard_normal((dim, m))
-    return Cells(basis, sample, cell_depth(n, per_cell))
+    return Cells(basis, sample, depth)
 
 
 def _spread(queries: DataFrame, cells: Cells, dim: int, chunks: int, own: bool, radius: str | None = None, factor: float = 1.0) -> DataFrame:
@@ -354,7 +358,7 @@ def similar_vectors(
     far = plain.join(bound.withColumnRenamed("qkey", "key"), "key", "left").withColumn("worst", F.coalesce("worst", F.lit(float("inf"))))
     second = _knn_pass(index, _spread(far, cells, dim, chunks, False, "worst", factor), cells, dim, k + 1, factor)
     near = _best(first.unionByName(second), "qkey", k + 1).select("qkey", "id", "label", "d2")
-    mine = asked.join(near, asked["key"] == near["qkey"]).where("id <> query_id").select("query_id", "id", "label", "d2")
+    mine = skew_join(asked, near.withColumnRenamed("qkey", "key"), "key").where("id <> query_id").select("query_id", "id", "label", "d2")
     return _best(mine, "query_id", k)
 
 
@@ -415,7 +419,7 @@ def match_pairs(pairs: DataFrame, t: DataFrame, h: DataFrame) -> DataFrame:
     """(train_id, held_out_id, split, source, d2): the matches with every copy spelled out."""
     a = h.select(F.col("key").alias("qkey"), F.col("id").alias("held_out_id"), "split", "source")
     b = t.select(F.col("key").alias("nkey"), F.col("id").alias("train_id"))
-    return pairs.join(a, "qkey").join(b, "nkey").select("train_id", "held_out_id", "split", "source", "d2")
+    return skew_join(b, skew_join(a, pairs, "qkey"), "nkey").select("train_id", "held_out_id", "split", "source", "d2")
 
 
 def match_counts(pairs: DataFrame, t: DataFrame, h: DataFrame) -> DataFrame:

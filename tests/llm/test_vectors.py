@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 
 from quarry.llm import vectors as v
+from quarry.plans import skew
 
 SCHEMA = "id BIGINT, label INT, features ARRAY<DOUBLE>, split STRING, source STRING, vec STRING, cell INT, key STRING, d2 INT"
 
@@ -41,8 +42,10 @@ def test_recall_and_order(spark):
     assert {r["label"] for r in got if r["id"] == 7} == {7 % 3}
 
 
-def test_copies_and_ties(spark):
+@pytest.mark.parametrize("hot", [5, 50_000])
+def test_copies_and_ties(spark, monkeypatch, hot):
     """A third of all rows are copies of one vector; ties go to the smaller id."""
+    monkeypatch.setattr(skew, "HOT", hot)
     rows = clusters(60, 6) + [(100 + i, 1, [5.0] * 6, "train", "s") for i in range(40)]
     queries = spark.createDataFrame([(100,), (139,), (3,), (None,), (5555,), (3,)], "query_id BIGINT")
     got = v.similar_vectors(table(spark, rows), queries, k=10, dim=6).collect()
@@ -106,7 +109,9 @@ def test_cross_split(spark):
     assert sum(r["n_rows"] for r in counts) == sum(r[3] != "train" for r in rows)
 
 
-def test_cross_split_copies(spark):
+@pytest.mark.parametrize("hot", [5, 50_000])
+def test_cross_split_copies(spark, monkeypatch, hot):
+    monkeypatch.setattr(skew, "HOT", hot)
     rows = [(i, 1, [1.0, 2.0], "train" if i < 30 else "test", "s") for i in range(60)]
     t = v.cross_split_matches(table(spark, rows), dim=2)
     assert v.match_pairs(*t).count() == 900
