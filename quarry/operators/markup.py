@@ -10,7 +10,7 @@ read by a small stack parser instead.
 Defined results: a null or empty payload gives no rows; a record counts when its
 start tag is followed by its own end tag before another record starts, others are
 skipped; comments and declarations are ignored everywhere; a missing attribute is
-null; a record without an integer key has a null key; extra columns of the input are
+null; a record without an integer key has a null key; a null file id counts as file -1; extra columns of the input are
 not read; an empty table gives an empty table.
 """
 
@@ -205,7 +205,7 @@ def nodes(
                 pdf[c] = pdf[c].astype("Int64")
             yield pdf
 
-    got = df.select(F.col(key).cast("bigint").alias("k"), F.col(payload).cast("string").alias("p"))
+    got = df.select(F.coalesce(F.col(key).cast("bigint"), F.lit(-1)).alias("k"), F.col(payload).cast("string").alias("p"))
     return got.where(F.length("p") > 0).mapInPandas(run, NODE_SCHEMA)
 
 

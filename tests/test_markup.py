@@ -49,6 +49,11 @@ def test_no_key_and_long_payload(spark):
     assert {(r[0], r[1]) for r in got} == {(6, "reuters"), (6, "title")}
 
 
+def test_null_file_id(spark):
+    df = spark.createDataFrame([(None, DOC)], "file_id BIGINT, payload STRING")
+    assert markup.records(markup.first_sendings(markup.nodes(df))).count() == 2
+
+
 def test_empty_table(spark):
     assert markup.nodes(spark.createDataFrame([], "file_id BIGINT, payload STRING")).count() == 0
 
