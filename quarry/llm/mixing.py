@@ -19,6 +19,7 @@ is reported; a null ``max_repeats`` counts as 1; no documents give an empty draw
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -31,9 +32,38 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # the published splitting pattern of the vocabulary
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 BUCKET = 20_000
+LONG = 50_000  # characters the splitting pattern is given at once
+_CUT = re.compile(r"(?<=\w)(?=[ \n])")
+_BLANKS = re.compile(r"\s{%d,}" % LONG)
 MAX_TARGETS = 100_000
 
 
+def _count_plain(encoding, text: str, at: int, end: int) -> int:
+    total = 0
+    while end - at > LONG:
+        cut = _CUT.search(text, at + LONG, end)
+        stop = cut.start() if cut else end
+        total += len(encoding.encode_ordinary(text[at:stop]))
+        at = stop
+    return total + len(encoding.encode_ordinary(text[at:end]))
+
+
+def count_tokens(encoding, text: str) -> int:
+    """Tokens of a text of any length: long texts would overflow the pattern's stack.
+
+    The pattern never joins a word character and the white space after it, so long texts are cut
+    there; of a run of white space it keeps all but the last character together (all of them at
+    the end of the text), so a very long run is counted as that one piece."""
+    if len(text) <= LONG:
+        return len(encoding.encode_ordinary(text))
+    total, at = 0, 0
+    for run in _BLANKS.finditer(text):
+        last = run.end() - (run.end() < len(text))
+        total += _count_plain(encoding, text, at, run.start()) + len(encoding._encode_single_piece(text[run.start() : last]))
+        at = last
+    return total + _count_plain(encoding, text, at, len(text))
+
+
 def token_counts(df: DataFrame, text: str, vocabulary: str = VOCABULARY) -> DataFrame:
     """``df`` with ``text`` replaced by ``n_tokens``. The vocabulary file (under 1 MB) is read on
     the driver and broadcast, so executors need not have it."""
@@ -47,7 +77,7 @@ def token_counts(df: DataFrame, text: str, vocabulary: str = VOCABULARY) -> Data
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, shared.value.splitlines())}
         encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         for b in batches:
-            n = [len(encoding.encode_ordinary(t)) if t else 0 for t in b.column(text).to_pylist()]
+            n = [count_tokens(encoding, t) if t else 0 for t in b.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), pa.array(n, pa.int64())], [*rest, "n_tokens"])
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name != text]

@@ -68,3 +68,21 @@ def test_running_total(spark):
 def test_tokens(spark):
     got = mixing.token_counts(spark.createDataFrame([(1, "hello world"), (2, None), (3, ""), (4, "<|endoftext|>")], "d INT, text STRING"), "text").collect()
     assert [r["n_tokens"] for r in got][:3] == [2, 0, 0] and got[3]["n_tokens"] > 1
+
+
+def test_long_texts(monkeypatch):
+    import base64
+    import random
+
+    import tiktoken
+
+    with open(mixing.VOCABULARY, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f.read().splitlines())}
+    enc = tiktoken.Encoding("own", pat_str=mixing.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    assert mixing.count_tokens(enc, " " * 1_000_000 + "end" + "\n" * 300_000) > 0
+    monkeypatch.setattr(mixing, "LONG", 40)
+    monkeypatch.setattr(mixing, "_BLANKS", mixing.re.compile(r"\s{41,}"))
+    rnd = random.Random(0)
+    for _ in range(300):
+        t = "".join(rnd.choice(["a", "word", "é", " ", " ", "\n", "  ", "7", "!?", " " * rnd.randint(30, 90), "'s", "\t", "it's "]) for _ in range(rnd.randint(0, 120)))
+        assert mixing.count_tokens(enc, t) == len(enc.encode_ordinary(t)), repr(t)
