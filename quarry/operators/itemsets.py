@@ -6,6 +6,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.plans.lineage import materialize
 from quarry.plans.numbering import numbered
 
 MAX_SUBSETS_OF = 20  # items in a set whose subsets are enumerated, 2**20 at most
@@ -35,10 +36,10 @@ def frequent_itemsets(pairs: DataFrame, min_supp: int) -> DataFrame:
     Infrequent items leave before baskets are formed. The fraction handed to FP-growth lies half
     a transaction below the threshold, so rounding cannot move it."""
     kept = frequent_pairs(pairs, min_supp)
-    n = n_transactions(kept)
+    b = materialize(kept.groupBy("tid").agg(F.collect_set("item").alias("items")).select("items"), "baskets")
+    n = b.count()
     if n == 0:
         return kept.sparkSession.createDataFrame([], "items ARRAY<INT>, freq BIGINT")
-    b = kept.groupBy("tid").agg(F.collect_set("item").alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=max(min_supp - 0.5, 0.5) / n).fit(b)
     return model.freqItemsets.select(F.sort_array("items").alias("items"), F.col("freq"))
 

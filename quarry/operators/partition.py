@@ -181,16 +181,19 @@ def fit(points: DataFrame, k: int, by: str = "i2", seed: int = 1, max_iter: int
     if k * d > MAX_DENSE:
         raise ValueError(f"{k} composites of {d} dims are more than {MAX_DENSE} numbers")
     seeds = initial_seeds(points, k, seed)
-    state = materialize(pts.join(F.broadcast(seeds), "doc_id", "left").withColumn("cluster", F.coalesce("cluster", F.lit(-1))), "state")
+    state = materialize(pts.join(F.broadcast(seeds), "doc_id", "left").withColumn("cluster", F.coalesce("cluster", F.lit(-1))).withColumn("moved", F.lit(False)), "state")
     g = np.zeros(d)
     for r in global_composite(points).collect():
         g[r["dim"]] = r["g"]
 
-    def sums(df: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
+    def sums(df: DataFrame) -> tuple[np.ndarray, np.ndarray, float, int]:
+        """Composites, sizes, squared length of all points, points that moved: one pass."""
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            m, n, sq = np.zeros(k * d), np.zeros(k), 0.0
+            m, n, sq, moved = np.zeros(k * d), np.zeros(k), 0.0, 0
             for b in batches:
                 c = b.column("cluster").to_numpy()
+                moved += b.column("moved").true_count
                 size = np.diff(b.column("dims").offsets.to_numpy())
                 dims, vals = b.column("dims").flatten().to_numpy(), b.column("vals").flatten().to_numpy()
                 row = np.repeat(c, size)
@@ -198,8 +201,8 @@ def fit(points: DataFrame, k: int, by: str = "i2", seed: int = 1, max_iter: int
                 n += np.bincount(c[c >= 0], minlength=k)
                 sq += float((vals[row >= 0] ** 2).sum())
             at = np.flatnonzero(m)
-            code = np.concatenate([at, -1 - np.arange(k), [-1 - k]])
-            yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(np.concatenate([m[at], n, [sq]]))], ["code", "v"])
+            code = np.concatenate([at, -1 - np.arange(k), [-1 - k, -2 - k]])
+            yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(np.concatenate([m[at], n, [sq, moved]]))], ["code", "v"])
 
         got = df.mapInArrow(run, "code BIGINT, v DOUBLE").groupBy("code").agg(F.sum("v").alias("v")).toPandas()
         code, v = got["code"].to_numpy(), got["v"].to_numpy()
@@ -207,11 +210,11 @@ def fit(points: DataFrame, k: int, by: str = "i2", seed: int = 1, max_iter: int
         m[code[code >= 0]] = v[code >= 0]
         count = (code < 0) & (code > -1 - k)
         n[-1 - code[count]] = v[count]
-        return m.reshape(k, d), n, float(v[code == -1 - k][0])
+        return m.reshape(k, d), n, float(v[code == -1 - k].sum()), int(v[code == -2 - k].sum())
 
     schema = "doc_id BIGINT, dims ARRAY<INT>, vals ARRAY<DOUBLE>, cluster INT, moved BOOLEAN"
+    m, n, sq, _ = sums(state)
     for it in range(max_iter):
-        m, n, _ = sums(state)
         dd, dg = (m * m).sum(1), m @ g
         half = it % 2 if by == "e1" and it else None
 
@@ -232,10 +235,9 @@ def fit(points: DataFrame, k: int, by: str = "i2", seed: int = 1, max_iter: int
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("dims"), b.column("vals"), pa.array(new), pa.array(new != own)], schema=None, names=["doc_id", "dims", "vals", "cluster", "moved"])
 
         state = materialize(state.select("doc_id", "dims", "vals", "cluster").mapInArrow(run, schema), "state")
-        moved = state.where("moved").count()
+        m, n, sq, moved = sums(state)
         if moved < stop * top["n"]:
             break
-    m, n, sq = sums(state)
     dd = (m * m).sum(1)
     live = n > 0
     value = {"sse": sq - float((dd[live] / n[live]).sum()), "i2": float(np.sqrt(dd).sum()), "e1": float((n[live] * (m @ g)[live] / np.sqrt(dd[live])).sum() / max(np.sqrt(g @ g), 1e-300))}[by]

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.operators import itemsets as ops
+from quarry.plans.lineage import materialize
 from quarry.queries.views import TX
 from quarry.sources import files, tables
 
@@ -15,7 +16,7 @@ SHARE, CONF = 0.002, 0.3
 
 
 def _pairs(s: SparkSession, d: str) -> DataFrame:
-    return tables.transactions(s.read.parquet(f"{d}/baskets.parquet"))
+    return materialize(tables.transactions(s.read.parquet(f"{d}/baskets.parquet")), "pairs")
 
 
 def _supp(pairs: DataFrame) -> int:
@@ -24,7 +25,8 @@ def _supp(pairs: DataFrame) -> int:
 
 def _sets(s: SparkSession, d: str) -> DataFrame:
     p = _pairs(s, d)
-    return ops.frequent_itemsets(p, _supp(p))
+    # many uses of the itemsets, such as both sides of the rules' join, read one table
+    return materialize(ops.frequent_itemsets(p, _supp(p)), "itemsets")
 
 
 def _key(c: str) -> F.Column:
