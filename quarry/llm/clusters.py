@@ -4,7 +4,9 @@
 2. Every node emits the pairs of dims of its prefix. With dims ordered from rare to common, the
    prefix ends where the rest together with any one dim of the prefix can no longer reach the
    similarity, so two similar vectors share at least two dims of both prefixes: one emitted
-   pair. (A vector in which one dim alone can reach it emits that dim, too.) This is exact.
+   pair. (A vector in which one dim alone can reach it emits that dim, too.) This is exact. Where
+   vectors of more than ``LONG`` dims occur, pairs would be too many: every node then emits the
+   single dims of a shorter prefix, of which similar vectors share at least one.
 3. Nodes that are neighbours in the order of (pair, node) start the graph; neighbour descent
    improves it: neighbours of a node are compared with each other, the best ``k`` are kept.
 4. Edges of at least the similarity give components. The exact check then compares what is left:
@@ -34,6 +36,7 @@ from quarry.plans.lineage import broadcast_if_small, materialize
 from quarry.plans.skew import skew_join
 
 BITS = ["b0", "b1", "b2", "b3"]
+LONG = 160
 
 
 def unit_vectors(triplets: DataFrame, doc: str, dim: str, val: str) -> DataFrame:
@@ -57,15 +60,17 @@ def nodes_of(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     return keyed.select("doc_id", "key"), materialize(nodes.select("key", F.col("s.doc_id").alias("node"), F.col("s.dims").alias("dims"), F.col("s.vals").alias("vals"), "copies"), "nodes")
 
 
-def prefix_pairs(dims: np.ndarray, vals: np.ndarray, t: float) -> np.ndarray:
-    """Codes of the dim pairs (and single dims) a unit vector has to be found by; see step 2."""
+def prefix_pairs(dims: np.ndarray, vals: np.ndarray, t: float, single: bool = False) -> np.ndarray:
+    """Codes of the dim pairs and single dims a unit vector has to be found by; see step 2."""
     sq = vals * vals
     rest = np.maximum(1 - np.cumsum(sq), 0)
-    top = np.maximum.accumulate(sq)
+    top = 0.0 if single else np.maximum.accumulate(sq)
     done = np.flatnonzero(rest + top < (t - 1e-6) ** 2)
     p = int(done[0]) + 1 if len(done) else len(dims)
-    i, j = np.triu_indices(p, 1)
     mix = lambda x, y: (x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (y.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(0x165667B19E3779F9))
+    if single:
+        return mix(dims[:p], np.full(p, 2**62)).view(np.int64)
+    i, j = np.triu_indices(p, 1)
     out = mix(dims[i], dims[j])
     alone = dims[np.abs(vals) >= t - 1e-6]
     if len(alone):
@@ -73,7 +78,7 @@ def prefix_pairs(dims: np.ndarray, vals: np.ndarray, t: float) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _keys(nodes: DataFrame, t: float) -> DataFrame:
+def _keys(nodes: DataFrame, t: float, single: bool) -> DataFrame:
     """(pair, node, b0..b3, need) of every node's prefix pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,7 +91,7 @@ def _keys(nodes: DataFrame, t: float) -> DataFrame:
             row, pair, bits, need = [], [], np.zeros((len(node), 4), np.uint64), np.zeros(len(node), np.int32)
             for i in range(len(node)):
                 s = slice(off[i], off[i + 1])
-                p = prefix_pairs(dims[s], vals[s], t)
+                p = prefix_pairs(dims[s], vals[s], t, single)
                 row.append(np.full(len(p), i))
                 pair.append(p)
                 load = np.bincount(slot[s].astype(np.int64), weights=vals[s] ** 2, minlength=256)
@@ -253,7 +258,8 @@ def similarity_clusters(
         raise ValueError("similarity must be in (0, 1]")
     t = similarity - 1e-9
     members, nodes = nodes_of(unit_vectors(triplets, doc, dim, val))
-    keys = materialize(_keys(nodes, t), "keys")
+    longest = nodes.agg(F.max(F.size("dims")).alias("m")).first()["m"] or 0
+    keys = materialize(_keys(nodes, t, longest > LONG), "keys")
     graph = neighbour_graph(keys, nodes, k, rounds, t)
     first = components(graph)
     added = materialize(_missing_links(keys, nodes, first, t), "added")

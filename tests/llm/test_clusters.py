@@ -62,6 +62,12 @@ def test_check_finds_what_the_graph_misses(spark, monkeypatch):
     assert {tuple(r)[:2] for r in c.similarity_clusters(table(spark, rows(v))).groups().collect()} == brute(v, 0.8)
 
 
+def test_long_vectors(spark, monkeypatch):
+    monkeypatch.setattr(c, "LONG", 5)
+    v = made(7)
+    assert {tuple(r)[:2] for r in c.similarity_clusters(table(spark, rows(v))).groups().collect()} == brute(v, 0.8)
+
+
 def test_copies_are_one_node(spark):
     v = {i: {1: 1.0 + i, 2: 2.0 + 2 * i} for i in range(30)} | {50: {9: 1.0}, 51: {8: 1.0}}
     got = c.similarity_clusters(table(spark, rows(v)))
@@ -95,7 +101,8 @@ def test_prefix_pairs_always_meet():
             continue
         x, dy, y = x / np.linalg.norm(x), d[keep], y[keep] / np.linalg.norm(y[keep])
         if float(x[keep] @ y) >= 0.8:
-            assert set(c.prefix_pairs(d, x, 0.8).tolist()) & set(c.prefix_pairs(dy, y, 0.8).tolist())
+            for single in (False, True):
+                assert set(c.prefix_pairs(d, x, 0.8, single).tolist()) & set(c.prefix_pairs(dy, y, 0.8, single).tolist())
 
 
 def test_empty_and_bad(spark):
