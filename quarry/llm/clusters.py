@@ -78,53 +78,64 @@ def prefix_pairs(dims: np.ndarray, vals: np.ndarray, t: float, single: bool = Fa
     return out.view(np.int64)
 
 
+def _slices(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    off = b.column("dims").offsets.to_numpy()
+    return b.column("node").to_numpy(), off - off[0], b.column("dims").flatten().to_numpy(), b.column("vals").flatten().to_numpy()
+
+
 def _keys(nodes: DataFrame, t: float, single: bool) -> DataFrame:
-    """(pair, node, b0..b3, need) of every node's prefix pairs."""
+    """(pair, node) of every node's prefix pairs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            node, off, dims, vals = _slices(b)
+            found = [prefix_pairs(dims[i:j], vals[i:j], t, single) for i, j in zip(off[:-1], off[1:])]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(np.repeat(node, [len(p) for p in found]))], ["pair", "node"])
+
+    return nodes.select("node", "dims", "vals").mapInArrow(run, "pair BIGINT, node BIGINT")
+
+
+def _bitmaps(nodes: DataFrame, t: float) -> DataFrame:
+    """(node, b0..b3, need): hashed dims as 256 bits, and how many buckets a similar node shares."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            node = b.column("node").to_numpy()
-            off = b.column("dims").offsets.to_numpy()
-            off = off - off[0]
-            dims, vals = b.column("dims").flatten().to_numpy(), b.column("vals").flatten().to_numpy()
-            slot = (dims.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)
-            row, pair, bits, need = [], [], np.zeros((len(node), 4), np.uint64), np.zeros(len(node), np.int32)
-            for i in range(len(node)):
-                s = slice(off[i], off[i + 1])
-                p = prefix_pairs(dims[s], vals[s], t, single)
-                row.append(np.full(len(p), i))
-                pair.append(p)
-                load = np.bincount(slot[s].astype(np.int64), weights=vals[s] ** 2, minlength=256)
-                used = np.flatnonzero(load)
-                np.bitwise_or.at(bits[i], used // 64, np.uint64(1) << (used % 64).astype(np.uint64))
-                need[i] = int(np.searchsorted(np.cumsum(np.sort(load[used])[::-1]), (t - 1e-6) ** 2)) + 1
-            if not row:
-                continue
-            r = np.concatenate(row)
-            cols = [pa.array(np.concatenate(pair)), pa.array(node[r]), *(pa.array(bits[r, k].view(np.int64)) for k in range(4)), pa.array(need[r])]
-            for a in range(0, len(r), 100_000):
-                yield pa.RecordBatch.from_arrays([c.slice(a, 100_000) for c in cols], ["pair", "node", *BITS, "need"])
-
-    schema = "pair BIGINT, node BIGINT, " + ", ".join(f"{b} BIGINT" for b in BITS) + ", need INT"
+            node, off, dims, vals = _slices(b)
+            slot = ((dims.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)).astype(np.int64)
+            load = np.bincount(np.repeat(np.arange(len(node)), np.diff(off)) * 256 + slot, weights=vals * vals, minlength=len(node) * 256).reshape(-1, 256)
+            bits = np.packbits(load > 0, axis=1, bitorder="little").view(np.int64)
+            need = (np.cumsum(-np.sort(-load, axis=1), axis=1) < (t - 1e-6) ** 2).sum(1) + 1
+            cols = [pa.array(node), *(pa.array(np.ascontiguousarray(bits[:, k])) for k in range(4)), pa.array(need.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(cols, ["node", *BITS, "need"])
+
+    schema = "node BIGINT, " + ", ".join(f"{b} BIGINT" for b in BITS) + ", need INT"
     return nodes.select("node", "dims", "vals").mapInArrow(run, schema)
 
 
+def _plausible(pairs: DataFrame, bits: DataFrame) -> DataFrame:
+    """The pairs (u, v) that share as many buckets as both need."""
+    x = bits.select(F.col("node").alias("u"), F.col("need").alias("xn"), *[F.col(b).alias("x" + b) for b in BITS])
+    y = bits.select(F.col("node").alias("v"), F.col("need").alias("yn"), *[F.col(b).alias("y" + b) for b in BITS])
+    n = bits.count()
+    common = sum((F.bit_count(F.col("x" + b).bitwiseAND(F.col("y" + b))) for b in BITS[1:]), F.bit_count(F.col("xb0").bitwiseAND(F.col("yb0"))))
+    got = pairs.join(broadcast_if_small(x, n), "u").join(broadcast_if_small(y, n), "v")
+    return got.where(common >= F.greatest("xn", "yn")).select("u", "v")
+
+
 def _adjacent(keys: DataFrame) -> DataFrame:
     """(u, v): nodes next to each other in the order of (pair, node). Range partitioning on both
     columns cuts a hot pair into several tasks; what is lost at a cut is left to the check."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            pair, node, need = (b.column(c).to_numpy() for c in ("pair", "node", "need"))
-            bits = np.stack([b.column(c).to_numpy() for c in BITS], 1).view(np.uint64)
+            pair, node = b.column("pair").to_numpy(), b.column("node").to_numpy()
             at = np.flatnonzero((pair[1:] == pair[:-1]) & (node[1:] != node[:-1]))
-            same = np.bitwise_count(bits[at] & bits[at + 1]).sum(1)
-            at = at[same >= np.maximum(need[at], need[at + 1])]
             yield pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(node[at + 1])], ["u", "v"])
 
     ordered = keys.repartitionByRange("pair", "node").sortWithinPartitions("pair", "node")
     got = ordered.mapInArrow(run, "u BIGINT, v BIGINT")
-    return got.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    return got.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
 
 
 def _compared(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -159,9 +170,9 @@ def _nearest(graph: DataFrame, k: int) -> DataFrame:
     return both.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k).drop("rn")
 
 
-def neighbour_graph(keys: DataFrame, nodes: DataFrame, k: int, rounds: int, floor: float) -> DataFrame:
+def neighbour_graph(keys: DataFrame, nodes: DataFrame, bits: DataFrame, k: int, rounds: int, floor: float) -> DataFrame:
     """(u, v, sim) with u < v: the approximate graph of step 3, edges below ``floor`` left out."""
-    graph = materialize(_compared(_adjacent(keys), nodes).where(F.col("sim") >= floor), "graph")
+    graph = materialize(_compared(_plausible(_adjacent(keys), bits).distinct(), nodes).where(F.col("sim") >= floor), "graph")
     for _ in range(rounds):
         near = _nearest(graph, k).select("node", "nb")
         other = near.select("node", F.col("nb").alias("nb2"))
@@ -174,7 +185,7 @@ def neighbour_graph(keys: DataFrame, nodes: DataFrame, k: int, rounds: int, floo
     return graph
 
 
-def _missing_links(keys: DataFrame, nodes: DataFrame, comp: DataFrame, t: float) -> DataFrame:
+def _missing_links(keys: DataFrame, nodes: DataFrame, bits: DataFrame, comp: DataFrame, t: float) -> DataFrame:
     """(u, v, sim >= t): the exact check of step 4.
 
     Pairs of dims all of whose nodes lie in one component are dropped by a partial aggregate.
@@ -182,15 +193,13 @@ def _missing_links(keys: DataFrame, nodes: DataFrame, comp: DataFrame, t: float)
     component never meet each other."""
     labelled = keys.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     mixed = labelled.groupBy("pair").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("pair")
-    open_keys = materialize(labelled.join(mixed, "pair"), "open")
+    open_keys = materialize(labelled.join(mixed, "pair", "left_semi").select("pair", "comp", "node"), "open")
     per = open_keys.select("pair", "comp").distinct()
     meet = per.select("pair", F.col("comp").alias("ca")).join(per.select("pair", F.col("comp").alias("cb")), "pair").where("ca < cb")
-    x = open_keys.select("pair", F.col("comp").alias("ca"), F.col("node").alias("x"), F.col("need").alias("xn"), *[F.col(b).alias("x" + b) for b in BITS])
-    y = open_keys.select("pair", F.col("comp").alias("cb"), F.col("node").alias("y"), F.col("need").alias("yn"), *[F.col(b).alias("y" + b) for b in BITS])
-    common = sum((F.bit_count(F.col("x" + b).bitwiseAND(F.col("y" + b))) for b in BITS[1:]), F.bit_count(F.col("xb0").bitwiseAND(F.col("yb0"))))
-    cand = meet.join(x, ["pair", "ca"]).join(y, ["pair", "cb"]).where(common >= F.greatest("xn", "yn"))
-    cand = cand.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
-    return _compared(cand, nodes).where(F.col("sim") >= t)
+    x = open_keys.select("pair", F.col("comp").alias("ca"), F.col("node").alias("x"))
+    y = open_keys.select("pair", F.col("comp").alias("cb"), F.col("node").alias("y"))
+    cand = meet.join(x, ["pair", "ca"]).join(y, ["pair", "cb"]).select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v"))
+    return _compared(_plausible(cand, bits).distinct(), nodes).where(F.col("sim") >= t)
 
 
 def communities(edges: DataFrame, max_rounds: int = 6) -> DataFrame:
@@ -260,9 +269,10 @@ def similarity_clusters(
     members, nodes = nodes_of(unit_vectors(triplets, doc, dim, val))
     longest = nodes.agg(F.max(F.size("dims")).alias("m")).first()["m"] or 0
     keys = materialize(_keys(nodes, t, longest > LONG), "keys")
-    graph = neighbour_graph(keys, nodes, k, rounds, t)
+    bits = materialize(_bitmaps(nodes, t), "bits")
+    graph = neighbour_graph(keys, nodes, bits, k, rounds, t)
     first = components(graph)
-    added = materialize(_missing_links(keys, nodes, first, t), "added")
+    added = materialize(_missing_links(keys, nodes, bits, first, t), "added")
     edges = materialize(graph.unionByName(added), "edges")
     if not added.limit(1).count():
         return Clustering(members, nodes, edges, first)
