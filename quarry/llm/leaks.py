@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
@@ -138,7 +139,7 @@ def passages(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: st
     groups.append(Probes(ids, lists, length))
     corpus = docs.where(F.col(doc_id).isNotNull() & (F.length(text) > 0)).select(F.col(doc_id).cast("bigint").alias("d"), F.col(text).cast("string").alias("t"))
     schema = "doc_id BIGINT, item_id BIGINT, doc_pos BIGINT, n_words BIGINT"
-    parts = [corpus.mapInPandas(_searcher(spark.sparkContext.broadcast(g)), schema) for g in groups]
+    parts = [corpus.mapInPandas(_searcher(spark.sparkContext.broadcast(vars(g))), schema) for g in groups]
     found = parts[0]
     for p in parts[1:]:
         found = found.unionByName(p)
@@ -147,7 +148,7 @@ def passages(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: st
 
 def _searcher(shared):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        probes = shared.value
+        probes = SimpleNamespace(**shared.value)  # plain arrays travel, not a class executors may lack
         ids, codes, starts, held = [], [], [], 0
 
         def flush() -> pd.DataFrame:
