@@ -118,14 +118,16 @@ def _table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
 
 
 def mix_sources(
-    docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, vocabulary: str = VOCABULARY, seed: int = 17, doc_id: str = "doc_id", text: str = "text", source: str = "source"
+    docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, max_short: float = 0.2, vocabulary: str = VOCABULARY, seed: int = 17, doc_id: str = "doc_id", text: str = "text", source: str = "source"
 ) -> tuple[DataFrame, DataFrame]:
     """(draw, report).
 
     ``draw`` has (doc_id, source, copy_no, n_tokens, finish_time, tokens_so_far), one row for each
     use of a document; ``report`` one row per target source with target and actual share, tokens
     available and drawn, documents and highest repeat, and whether the source was used up.
-    ``total_tokens`` is the budget; None takes the tokens of all documents of target sources.
+    ``total_tokens`` is the budget; None takes the tokens of all documents of target sources, or as
+    much less as keeps the targets: sources that run out (or are absent) may weigh ``max_short``
+    together, and the draw ends before the next one would.
     """
     spark = docs.sparkSession
     want = _targets(targets)
@@ -139,8 +141,16 @@ def mix_sources(
         r["source"]: (r["n"], r["t"], r["m"])
         for r in sized.groupBy("source").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("t"), F.max("n_tokens").alias("m")).collect()
     }
-    budget = sum(t for _, t, _ in have.values()) if total_tokens is None else total_tokens
     live = {s: (w, m * have[s][1], have[s]) for s, (w, m) in want.items() if s in have and m > 0}
+    budget = total_tokens
+    if budget is None:
+        budget = sum(t for _, t, _ in have.values())
+        short = 1 - sum(w for w, _, _ in live.values())
+        for end, w in sorted((cap / w, w) for w, cap, _ in live.values()):
+            short += w
+            if short > max_short + 1e-9:  # this source may not run out
+                budget = min(budget, int(sum(min(w * end, cap) for w, cap, _ in live.values())))
+                break
     # virtual time at which the fluid draw reaches the budget; the real draw is at most one
     # document per source later
     cut, served = 0.0, 0.0

@@ -49,6 +49,15 @@ def test_default_budget_is_the_corpus(spark):
     assert whole - 20 <= draw.agg(F.sum("n_tokens")).first()[0] <= whole
 
 
+def test_default_budget_keeps_targets(spark):
+    """One source holds nearly all tokens: the draw ends before the others run out."""
+    t = targets(spark, [("big", 0.5, 1), ("small", 0.35, 2), ("absent", 0.15, 1)])
+    docs = made(spark, DOCS + [(1000 + i, "word " * 9, "big") for i in range(2000)])
+    got = {r["source"]: r for r in mixing.mix_sources(docs, t)[1].collect()}
+    assert abs(got["big"]["actual_share"] / got["small"]["actual_share"] - 0.5 / 0.35) < 0.05
+    assert got["small"]["tokens_drawn"] > 1.9 * got["small"]["tokens_available"]
+
+
 def test_empty(spark):
     docs = made(spark, DOCS)
     draw, report = mixing.mix_sources(docs.limit(0), targets(spark, [("big", 1.0, 1)]))
