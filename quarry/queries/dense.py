@@ -114,7 +114,7 @@ def svd_singular_values(s: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "scan_dense_labelled": lambda s, d: _dense(s, d).select("id", "label", "split", F.size("features").cast("bigint").alias("n"), F.round(F.aggregate("features", F.lit(0.0), lambda a, x: a + x), 6).alias("total")),
-    "scan_images_limit": lambda s, d: files.first_images(_dense(s, d), 100).select("id", "label"),
+    "scan_images_limit": lambda s, d: files.first_images(_dense(s, d), 50).select("id", "label"),
     "union_train_valid": lambda s, d: _splits(s, d)[0].unionByName(_splits(s, d)[1]).select("id", "label"),
     "vec_sq_euclidean": _pairwise(fn.sq_euclidean, 6),
     "vec_cosine": _pairwise(fn.cosine),
@@ -208,7 +208,7 @@ def _argmax_sql(split: str) -> str:
 
 SQL = {
     "scan_dense_labelled": f"WITH {DN} SELECT id, label, split, len(features) AS n, round(list_sum(features), 6) AS total FROM dn",
-    "scan_images_limit": f"WITH {DN} SELECT id, label FROM dn ORDER BY id LIMIT 100",
+    "scan_images_limit": f"WITH {DN} SELECT id, label FROM dn ORDER BY id LIMIT 50",
     "union_train_valid": f"WITH {DN} SELECT id, label FROM dn WHERE split IN ('train', 'valid')",
     "vec_sq_euclidean": f"{_PAIR} SELECT id, round(q + p - 2 * list_inner_product(f, o), 6) AS value FROM pr",
     "vec_cosine": f"{_PAIR} SELECT id, round(list_inner_product(f, o) / (sqrt(q) * sqrt(p)), 9) AS value FROM pr",
