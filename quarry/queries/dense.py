@@ -179,6 +179,7 @@ _TEST = _rank_sql("jaccard", "a.split = 'test' AND b.split = 'train'")
 _VALID = _rank_sql("jaccard", "a.split = 'valid' AND b.split = 'train'")
 _VOTE = f"""vt AS (SELECT id, label, nb_label, count(*) AS n FROM rk WHERE rank <= {K} GROUP BY 1, 2, 3),
  pd AS (SELECT id, label, nb_label AS pred FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC, nb_label) AS rn FROM vt) WHERE rn = 1)"""
+_BOTH = _rank_sql("jaccard", "a.split = 'test' AND b.split IN ('train', 'valid')").replace("sc ", "sc2 ").replace("rk AS", "rk2 AS").replace("FROM sc)", "FROM sc2)")
 _LONG = f"{DN}, lg AS (SELECT id, label, split, CAST(unnest(range(49)) AS INTEGER) AS dim, unnest(features) AS val FROM dn)"
 # for dot products the rows of G are lists; weights of all labels and lambdas go through one recursion
 _STATS = f"""{_LONG}, t AS MATERIALIZED (SELECT * FROM lg WHERE split = 'train'),
@@ -220,6 +221,11 @@ SQL = {
     "knn_validate_k": f"""WITH {_D2}, {_VALID}, ks AS (SELECT rk.*, k FROM rk, (SELECT CAST(unnest(range(1, {MAX_K + 1})) AS INTEGER) AS k) WHERE rank <= k),
  vt AS (SELECT k, id, label, nb_label, count(*) AS n FROM ks GROUP BY 1, 2, 3, 4), pd AS (SELECT *, row_number() OVER (PARTITION BY k, id ORDER BY n DESC, nb_label) AS rn FROM vt)
  SELECT k, round(avg(CASE WHEN label = nb_label THEN 1.0 ELSE 0.0 END), 9) AS accuracy FROM pd WHERE rn = 1 GROUP BY k""",
+    "knn_classify": f"""WITH {_D2}, {_VALID}, ks AS (SELECT rk.*, k FROM rk, (SELECT unnest(range(1, {MAX_K + 1})) AS k) WHERE rank <= k),
+ vt AS (SELECT k, id, label, nb_label, count(*) AS n FROM ks GROUP BY 1, 2, 3, 4), pd AS (SELECT *, row_number() OVER (PARTITION BY k, id ORDER BY n DESC, nb_label) AS rn FROM vt),
+ best AS (SELECT k FROM pd WHERE rn = 1 GROUP BY k ORDER BY avg(CASE WHEN label = nb_label THEN 1.0 ELSE 0.0 END) DESC, k LIMIT 1), {_BOTH},
+ v2 AS (SELECT id, label, nb_label, count(*) AS n FROM rk2, best WHERE rank <= k GROUP BY 1, 2, 3)
+ SELECT id, label, nb_label AS pred FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC, nb_label) AS rn FROM v2) WHERE rn = 1""",
     **{f"nn_self_match_{m}": _self_sql(m) for m in _SCORE},
     "accuracy": f"WITH {_D2}, {_TEST}, {_VOTE} SELECT round(avg(CASE WHEN label = pred THEN 1.0 ELSE 0.0 END), 9) AS accuracy, count(*) AS n FROM pd",
     "binarize_labels": f"WITH {DN}, t AS (SELECT * FROM dn WHERE split = 'train') SELECT id, l.target, CASE WHEN label = target THEN 1 ELSE -1 END AS y FROM t, (SELECT DISTINCT label AS target FROM t) l",
