@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quarry.plans.lineage import materialize
+from quarry.plans.lineage import broadcast_if_small, materialize
 from quarry.plans.numbering import numbered
 
 RANGE = 1 << 14  # identifiers in one count array
@@ -129,6 +129,8 @@ def distinctive_terms(df: DataFrame, key: str = "newid", text: str = "body", min
     totals = tf.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("words"), F.countDistinct("rec").alias("n")).first()
     size, n = float(totals["words"] or 1), float(totals["n"] or 1)
     coll = tf.groupBy("term").agg(F.sum("tf").alias("cf"), F.count("*").alias("n_records")).where(F.col("n_records") >= min_records)
+    coll = materialize(coll, "terms")  # a counted table: broadcast while it is small
+    coll = broadcast_if_small(coll, coll.count())
     p_c = F.col("cf") / size
     p_d = (F.col("tf") + mu * p_c) / (F.col("len") + mu)
     return tf.join(coll, "term").select(
