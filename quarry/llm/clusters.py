@@ -11,7 +11,9 @@
    improves it: neighbours of a node are compared with each other, the best ``k`` are kept.
 4. Edges of at least the similarity give components. The exact check then compares what is left:
    nodes that share a pair of dims but lie in different components. So no similar pair that
-   would join two components is missed, and pairs inside one component cost nothing.
+   would join two components is missed, and the groups need no pair inside one component.
+   Links, degrees and communities do: for those all nodes of one component that share a pair of
+   dims are compared, so that every link is found, however few the descent has seen.
 5. Communities by modularity (local moving) describe the inside of the components.
 
 A 256-bit bitmap of hashed dims prunes comparisons: a node needs at least ``need`` of its buckets
@@ -24,7 +26,8 @@ takes no part; an empty table gives no groups.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -202,6 +205,13 @@ def _missing_links(keys: DataFrame, nodes: DataFrame, bits: DataFrame, comp: Dat
     return _compared(_plausible(cand, bits).distinct(), nodes).where(F.col("sim") >= t)
 
 
+def _all_links(keys: DataFrame, nodes: DataFrame, bits: DataFrame, comp: DataFrame, t: float) -> DataFrame:
+    """(u, v, sim >= t) with u < v: every link, found among the nodes of one component."""
+    own = materialize(keys.join(comp, "node").select("pair", "comp", "node").distinct(), "own")
+    cand = own.withColumnRenamed("node", "u").join(own.withColumnRenamed("node", "v"), ["pair", "comp"]).where("u < v").select("u", "v")
+    return _compared(_plausible(cand, bits).distinct(), nodes).where(F.col("sim") >= t)
+
+
 def communities(edges: DataFrame, max_rounds: int = 6) -> DataFrame:
     """(node, community) by local moving on modularity, synchronously on alternating halves.
 
@@ -233,15 +243,27 @@ def communities(edges: DataFrame, max_rounds: int = 6) -> DataFrame:
 class Clustering:
     """Result of ``similarity_clusters``: lazy tables over written intermediate ones."""
 
-    def __init__(self, members: DataFrame, nodes: DataFrame, edges: DataFrame, comp: DataFrame) -> None:
-        self.members, self.nodes, self.edges, self.comp = members, nodes, edges, comp
+    def __init__(self, members: DataFrame, nodes: DataFrame, comp: DataFrame, links: Callable[[], DataFrame]) -> None:
+        self.members, self.nodes, self.comp, self._links = members, nodes, comp, links
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        """(u, v, sim) of every link, compared on first use: the groups alone do not need it."""
+        return materialize(self._links(), "edges")
+
+    def _grouped(self) -> DataFrame:
+        node = self.nodes.select("key", "node", "copies").join(self.comp, "node", "left").where("comp IS NOT NULL OR copies > 1")
+        return node.select("key", "node", F.coalesce("comp", "node").alias("cluster_id"))
+
+    def assigned(self) -> DataFrame:
+        """(doc_id, cluster_id) of documents in groups of two or more: cluster_id is the group's
+        smallest doc_id."""
+        return skew_join(self.members, self._grouped().drop("node"), "key").select("doc_id", "cluster_id")
 
     def groups(self) -> DataFrame:
-        """(doc_id, cluster_id, n_links) of documents in groups of two or more: cluster_id is the
-        group's smallest doc_id, n_links the links found to other distinct vectors."""
+        """(doc_id, cluster_id, n_links): ``assigned`` with the links to other distinct vectors."""
         links = self.edges.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-        node = self.nodes.select("key", "node", "copies").join(self.comp, "node", "left").where("comp IS NOT NULL OR copies > 1")
-        node = node.join(links, "node", "left").select("key", F.coalesce("comp", "node").alias("cluster_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        node = self._grouped().join(links, "node", "left").select("key", "cluster_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
         return skew_join(self.members, node, "key").select("doc_id", "cluster_id", "n_links")
 
     def described(self, typical: int = 5) -> DataFrame:
@@ -273,13 +295,13 @@ def similarity_clusters(
     graph = neighbour_graph(keys, nodes, bits, k, rounds, t)
     first = components(graph)
     added = materialize(_missing_links(keys, nodes, bits, first, t), "added")
-    edges = materialize(graph.unionByName(added), "edges")
     if not added.limit(1).count():
-        return Clustering(members, nodes, edges, first)
+        return Clustering(members, nodes, first, lambda: _all_links(keys, nodes, bits, first, t))
     # join components, one link for each two of them
     a, b = first.select(F.col("node").alias("u"), F.col("comp").alias("cu")), first.select(F.col("node").alias("v"), F.col("comp").alias("cv"))
     upper = added.join(a, "u", "left").join(b, "v", "left").select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v")).distinct()
     top = components(upper).select(F.col("node").alias("comp"), F.col("comp").alias("root"))
     known = first.unionByName(upper.select(F.explode(F.array("u", "v")).alias("node")).distinct().select("node", F.col("node").alias("comp"))).distinct()
     final = known.join(top, "comp", "left").select("node", F.coalesce("root", "comp").alias("comp")).groupBy("node").agg(F.min("comp").alias("comp"))
-    return Clustering(members, nodes, edges, materialize(final, "comp"))
+    final = materialize(final, "comp")
+    return Clustering(members, nodes, final, lambda: _all_links(keys, nodes, bits, final, t))

@@ -37,7 +37,7 @@ def p3_counts(s: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(s: SparkSession, d: str) -> DataFrame:
-    return clusters.similarity_clusters(_t(s, d, "sparse_triplets")).groups().select("doc_id", "cluster_id")
+    return clusters.similarity_clusters(_t(s, d, "sparse_triplets")).assigned()
 
 
 def p4_communities(s: SparkSession, d: str) -> DataFrame:

@@ -55,6 +55,21 @@ def test_groups_are_exact(spark, seed, t):
     assert set(got) == brute(v, t) and len(got) == len(set(got))
 
 
+def test_links_are_exact(spark):
+    """Forty vectors that are all alike: far more links than any node has best neighbours."""
+    rng = np.random.default_rng(8)
+    v = {i: {int(d): 4.0 + float(rng.random()) for d in rng.choice(14, 13, replace=False)} for i in range(40)} | {100 + i: x for i, x in made(5, 60).items()}
+    x = np.zeros((200, 60))
+    for i, e in v.items():
+        x[i, list(e)] = list(e.values())
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    want = {(int(i), int(j)) for i, j in np.argwhere(x @ x.T >= 0.8 - 1e-9) if i < j}
+    got = c.similarity_clusters(table(spark, rows(v)))
+    assert {(r["u"], r["v"]) for r in got.edges.collect()} == want
+    for r in got.groups().collect():
+        assert r["n_links"] == sum(r["doc_id"] in e for e in want)
+
+
 def test_check_finds_what_the_graph_misses(spark, monkeypatch):
     """With no start of the graph at all, the exact check still ties every group."""
     monkeypatch.setattr(c, "_adjacent", lambda keys: keys.select(c.F.col("node").alias("u"), c.F.col("node").alias("v")).limit(0))
