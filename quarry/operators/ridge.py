@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -46,20 +47,21 @@ def objective(st: Stats, k: int, w: np.ndarray, lam: float) -> float:
     return float(w @ st.g @ w - 2 * st.b[k] @ w + st.yy[k] + lam * w @ w)
 
 
-def descend(st: Stats, lam: float, nonneg: bool = False, sweeps: int | None = None, tol: float = 1e-4, max_sweeps: int = 1000) -> tuple[np.ndarray, list[int]]:
+def descend(st: Stats, lam: float, nonneg: bool = False, sweeps: int | None = None, tol: float = 1e-4) -> tuple[np.ndarray, list[int]]:
     """(weights by label, sweeps used): from zero, coordinates in order, no intercept, until the
-    objective falls by at most ``tol`` of itself, or for exactly ``sweeps`` sweeps."""
+    objective falls by at most ``tol`` of itself, which it must at last, as it stays above zero;
+    or for exactly ``sweeps`` sweeps."""
     out, used = np.zeros_like(st.b), []
     for k in range(len(st.labels)):
         w = np.zeros(st.g.shape[0])
         last = objective(st, k, w, lam)
-        for sweep in range(1, (sweeps or max_sweeps) + 1):
+        for sweep in count(1):
             for i in range(len(w)):
                 top = st.b[k, i] - st.g[i] @ w + st.g[i, i] * w[i]
                 bottom = st.g[i, i] + lam
                 w[i] = 0.0 if bottom == 0 or (nonneg and top <= 0) else top / bottom
             now = objective(st, k, w, lam)
-            if sweeps is None and last - now <= tol * abs(last):
+            if sweep == sweeps or not sweeps and not last - now > tol * abs(last):
                 break
             last = now
         out[k] = w

@@ -75,24 +75,30 @@ def _trained(nonneg: bool):
     return run
 
 
-def ridge_objective(s: SparkSession, d: str) -> DataFrame:
-    train = _splits(s, d)[0]
-    st = ridge.statistics(train, DIM)
-    w = ridge.descend(st, LAM, sweeps=SWEEPS)[0]
-    rows = [(lab, ridge.objective(st, k, w[k], LAM)) for k, lab in enumerate(st.labels)]
-    return s.createDataFrame(rows, "label INT, objective DOUBLE").withColumn("objective", F.round("objective", 4))
+def _objective(sweeps: int | None):
+    def run(s: SparkSession, d: str) -> DataFrame:
+        train = _splits(s, d)[0]
+        st = ridge.statistics(train, DIM)
+        w = ridge.descend(st, LAM, sweeps=sweeps)[0]
+        rows = [(lab, ridge.objective(st, k, w[k], LAM)) for k, lab in enumerate(st.labels)]
+        return s.createDataFrame(rows, "label INT, objective DOUBLE").withColumn("objective", F.round("objective", 4))
 
+    return run
 
-def ridge_predict(s: SparkSession, d: str) -> DataFrame:
-    train, _, test = _splits(s, d)
-    st = ridge.statistics(train, DIM)
-    return ridge.predict(test, st, ridge.descend(st, LAM, sweeps=SWEEPS)[0])
+
+def _predict(sweeps: int | None):
+    def run(s: SparkSession, d: str) -> DataFrame:
+        train, _, test = _splits(s, d)
+        st = ridge.statistics(train, DIM)
+        return ridge.predict(test, st, ridge.descend(st, LAM, sweeps=sweeps)[0])
+
+    return run
 
 
-def _validate(nonneg: bool):
+def _validate(nonneg: bool, sweeps: int | None):
     def run(s: SparkSession, d: str) -> DataFrame:
         train, valid, _ = _splits(s, d)
-        return ridge.validate(train, valid, DIM, nonneg, sweeps=SWEEPS).withColumn("accuracy", F.round("accuracy", 9))
+        return ridge.validate(train, valid, DIM, nonneg, sweeps=sweeps).withColumn("accuracy", F.round("accuracy", 9))
 
     return run
 
@@ -141,10 +147,16 @@ QUERIES = {
     "nn_ridge_weights_fixed_sweeps": _weights(True),
     "ridge_weights": _trained(False),
     "nn_ridge_weights": _trained(True),
-    "ridge_objective": ridge_objective,
-    "ridge_predict": ridge_predict,
-    "ridge_validate_lambda": _validate(False),
-    "nn_ridge_validate_lambda": _validate(True),
+    # as their SQL has it: weights of SWEEPS sweeps
+    "ridge_objective": _objective(SWEEPS),
+    "ridge_predict": _predict(SWEEPS),
+    "ridge_validate_lambda": _validate(False, SWEEPS),
+    "nn_ridge_validate_lambda": _validate(True, SWEEPS),
+    # weights trained to the operator's own stop
+    "ridge_objective_trained": _objective(None),
+    "ridge_predict_trained": _predict(None),
+    "ridge_validate_lambda_trained": _validate(False, None),
+    "nn_ridge_validate_lambda_trained": _validate(True, None),
     "ridge_classify": lambda s, d: ridge.classify(*_splits(s, d), dim=DIM),
     "nn_ridge_classify": lambda s, d: ridge.classify(*_splits(s, d), dim=DIM, nonneg=True),
     "svd_singular_values": svd_singular_values,

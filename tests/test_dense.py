@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import vectors as fn
 from quarry.operators import matrix, neighbours, ridge
+from quarry.queries import dense
 
 # fixed values: the three-feature toy set of the classic programs
 TRAIN = [(0, 0, [1.0, 0.0, 0.0]), (1, 1, [0.0, 1.0, 0.0]), (2, 2, [0.0, 0.0, 1.0])]
@@ -80,6 +81,46 @@ def test_ridge_matches_closed_form(spark):
         assert ridge.objective(s, k, w[k], 0.5) == pytest.approx(float(((x @ w[k] - t) ** 2).sum() + 0.5 * w[k] @ w[k]))
 
 
+def trained(x, y, labels, lam, nonneg):
+    """Weights by label from the rows themselves, until the objective falls by at most 1e-4 of itself."""
+    out = []
+    for lab in labels:
+        t = np.where(y == lab, 1.0, 0.0 if nonneg else -1.0)
+        w = np.zeros(x.shape[1])
+        value = lambda: float(((x @ w - t) ** 2).sum() + lam * w @ w)  # noqa: B023, E731
+        last, now = np.inf, value()
+        while last == np.inf or last - now > 1e-4 * last:
+            for i in range(len(w)):
+                w[i] = 0.0
+                top = x[:, i] @ (t - x @ w)
+                w[i] = max(top, 0.0) / (x[:, i] @ x[:, i] + lam) if nonneg else top / (x[:, i] @ x[:, i] + lam)
+            last, now = now, value()
+        out.append((w, now))
+    return np.array([w for w, _ in out]), [v for _, v in out]
+
+
+def test_trained_queries(spark, tmp_path):
+    """Correlated features: three sweeps are far from trained weights."""
+    rng = np.random.default_rng(11)
+    base = rng.random((180, 49))
+    x = base + 3 * rng.random((180, 1))
+    y = base[:, :3].argmax(1)
+    split = np.array(["train", "valid", "test"])[np.arange(180) % 3]
+    table = spark.createDataFrame([(i, int(y[i]), str(split[i]), x[i].tolist()) for i in range(180)], "id BIGINT, label INT, split STRING, features ARRAY<DOUBLE>")
+    table.write.parquet(str(tmp_path / "dense_labelled.parquet"))
+    run = lambda name: dense.QUERIES[name](spark, str(tmp_path)).collect()
+    xt, yt = x[split == "train"], y[split == "train"]
+    w, values = trained(xt, yt, range(3), dense.LAM, False)
+    assert [r["objective"] for r in sorted(run("ridge_objective_trained"))] == pytest.approx(values, abs=1e-3)
+    assert max(abs(a["objective"] - v) for a, v in zip(sorted(run("ridge_objective")), values)) > 0.1
+    at = np.flatnonzero(split == "test")
+    assert {r["id"]: r["pred"] for r in run("ridge_predict_trained")} == dict(zip(at.tolist(), (x[at] @ w.T).argmax(1).tolist()))
+    for nonneg, name in ((False, "ridge_validate_lambda_trained"), (True, "nn_ridge_validate_lambda_trained")):
+        got, at = {r["lam"]: r["accuracy"] for r in run(name)}, split == "valid"
+        for lam in ridge.LAMBDAS:
+            assert got[lam] == pytest.approx(((x[at] @ trained(xt, yt, range(3), lam, nonneg)[0].T).argmax(1) == y[at]).mean(), abs=1e-9)
+
+
 def test_nonnegative_ridge_kkt(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(50, 4))
