@@ -14,7 +14,7 @@
    would join two components is missed, and the groups need no pair inside one component.
    Links, degrees and communities do: for those all nodes of one component that share a pair of
    dims are compared, so that every link is found, however few the descent has seen.
-5. Communities by modularity (local moving) describe the inside of the components.
+5. Communities by modularity (local moving and merging until nothing is gained) describe the inside of the components.
 
 A 256-bit bitmap of hashed dims prunes comparisons: a node needs at least ``need`` of its buckets
 to reach the similarity, so a pair with fewer buckets in common is out. This is exact as well.
@@ -30,6 +30,7 @@ from collections.abc import Callable, Iterator
 from functools import cached_property
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,6 +41,7 @@ from quarry.plans.skew import skew_join
 
 BITS = ["b0", "b1", "b2", "b3"]
 LONG = 160
+APART = 200_000  # links of a component that one task settles
 
 
 def unit_vectors(triplets: DataFrame, doc: str, dim: str, val: str) -> DataFrame:
@@ -212,15 +214,76 @@ def _all_links(keys: DataFrame, nodes: DataFrame, bits: DataFrame, comp: DataFra
     return _compared(_plausible(cand, bits).distinct(), nodes).where(F.col("sim") >= t)
 
 
-def communities(edges: DataFrame, max_rounds: int = 6) -> DataFrame:
-    """(node, community) by local moving on modularity, synchronously on alternating halves.
-
-    A node moves to the neighbouring community C with the largest k(i, C) - k(i) tot(C) / 2m,
-    staying on ties; only aggregates of a node's own edges and of communities are formed."""
-    both = materialize(edges.select("u", "v", "sim").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"), "sim")), "both")
-    twice = both.agg(F.coalesce(F.sum("sim"), F.lit(0.0)).alias("m")).first()["m"] or 1.0
-    degree = both.groupBy("u").agg(F.sum("sim").alias("deg"))
-    state = materialize(degree.select(F.col("u").alias("node"), "deg", F.col("u").alias("com")), "state")
+def _louvain(u: np.ndarray, v: np.ndarray, w: np.ndarray, twice: float) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, community of each, numbered): one node at a time moves to the neighbouring community
+    of strictly larger gain until none can, then communities become nodes, until none merge."""
+    nodes, code = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b, top, n = code[: len(u)], code[len(u) :], np.arange(len(nodes)), len(nodes)
+    while True:
+        loop = np.bincount(a[a == b], w[a == b], n)
+        x, y, k = np.concatenate([a[a != b], b[a != b]]), np.concatenate([b[a != b], a[a != b]]), np.tile(w[a != b], 2)
+        order = np.argsort(x, kind="stable")
+        y, k, at = y[order], k[order], np.concatenate([[0], np.cumsum(np.bincount(x, minlength=n))])
+        deg = np.bincount(x[order], k, n) + 2 * loop
+        com, tot, due, moved = np.arange(n), deg.copy(), np.ones(n, bool), True
+        while moved:
+            whole, moved = bool(due.all()), False
+            for i in np.flatnonzero(due):
+                due[i] = False
+                mine = slice(at[i], at[i + 1])
+                to, where = np.unique(com[y[mine]], return_inverse=True)
+                if not len(to):
+                    continue
+                own, tot[com[i]] = com[i], tot[com[i]] - deg[i]
+                gain = np.round(np.bincount(where, k[mine]) - deg[i] * tot[to] / twice, 9)
+                best, held = int(gain.argmax()), np.searchsorted(to, own)
+                stay = gain[held] if held < len(to) and to[held] == own else -deg[i] * tot[own] / twice
+                if gain[best] > stay + 2e-9:
+                    com[i], moved = to[best], True
+                    due[y[mine]] = True
+                tot[com[i]] += deg[i]
+            if not moved and not whole:  # the queue ran dry: one look at all, as totals have changed
+                due[:], moved = True, True
+        names, com = np.unique(com, return_inverse=True)
+        top = com[top]
+        if len(names) == n:
+            return nodes, top
+        lo, hi = np.minimum(com[a], com[b]), np.maximum(com[a], com[b])
+        n = len(names)
+        pair, where = np.unique(lo * n + hi, return_inverse=True)
+        a, b, w = pair // n, pair % n, np.bincount(where, w)
+
+
+def _settled_apart(graph: DataFrame, twice: float) -> DataFrame:
+    """(node, com) of whole components, each in one task."""
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(["u", "v"])
+        nodes, com = _louvain(g["u"].to_numpy(), g["v"].to_numpy(), g["sim"].to_numpy(), twice)
+        return pd.DataFrame({"node": nodes, "com": nodes[np.unique(com, return_index=True)[1]][com]})
+
+    return graph.groupBy("comp").applyInPandas(run, "node BIGINT, com BIGINT")
+
+
+def _settled_together(graph: DataFrame, twice: float, max_rounds: int) -> DataFrame:
+    """(node, com) of components too large for a task: one level of local moving.
+
+    Nodes of alternating halves move at once as long as that raises modularity; a round that does
+    not is taken back. When both halves are out of such rounds, only moves are made that no other
+    move of the round shares a community with: each raises modularity by its own gain, so this ends,
+    and it ends where no node has a better community."""
+    edge = graph.where("u <> v").select("u", "v", "sim")
+    both = materialize(edge.unionByName(edge.select(F.col("v").alias("u"), F.col("u").alias("v"), "sim")), "both")
+    ends = both.select("u", "sim").unionByName(graph.where("u = v").select("u", (2 * F.col("sim")).alias("sim")))
+    state = materialize(ends.groupBy(F.col("u").alias("node")).agg(F.sum("sim").alias("deg")).withColumn("com", F.col("node")), "state")
+
+    def modularity(state: DataFrame) -> float:
+        cu, cv = state.select(F.col("node").alias("u"), F.col("com").alias("cu")), state.select(F.col("node").alias("v"), F.col("com").alias("cv"))
+        inside = both.join(cu, "u").join(cv, "v").where("cu = cv").agg(F.sum("sim").alias("x")).first()["x"] or 0.0
+        total = state.groupBy("com").agg(F.sum("deg").alias("tot")).agg(F.sum(F.col("tot") * F.col("tot")).alias("x")).first()["x"] or 0.0
+        return inside / twice - total / twice**2
+
+    value, refused = modularity(state), 0
     for r in range(max_rounds):
         total = state.groupBy("com").agg(F.sum("deg").alias("tot"))
         link = both.join(state.select(F.col("node").alias("v"), "com"), "v").groupBy(F.col("u").alias("node"), "com").agg(F.sum("sim").alias("k"))
@@ -228,16 +291,64 @@ def communities(edges: DataFrame, max_rounds: int = 6) -> DataFrame:
         scored = link.unionByName(state.select("node", "com", F.lit(0.0).alias("k"))).groupBy("node", "com").agg(F.sum("k").alias("k"))
         scored = scored.join(total, "com").join(mine, "node")
         others = F.col("tot") - F.when(F.col("com") == F.col("own"), F.col("deg")).otherwise(0.0)
-        gain = F.round(F.col("k") - F.col("deg") * others / F.lit(twice), 9)
-        best = scored.groupBy("node", "deg", "own").agg(F.max(F.struct(gain.alias("g"), (F.col("com") == F.col("own")).alias("stay"), (-F.col("com")).alias("c"))).alias("b"))
-        turn = F.pmod(F.xxhash64("node"), F.lit(2)) == r % 2
-        new = best.select("node", "deg", "own", F.when(turn, -F.col("b.c")).otherwise(F.col("own")).alias("com"))
+        scored = scored.withColumn("g", F.round(F.col("k") - F.col("deg") * others / F.lit(twice), 9))
+        best = scored.groupBy("node", "own").agg(F.max(F.struct("g", (-F.col("com")).alias("c"))).alias("b"), F.max(F.when(F.col("com") == F.col("own"), F.col("g"))).alias("stay"))
+        wish = best.select("node", "own", (-F.col("b.c")).alias("to"), (F.col("b.g") - F.col("stay")).alias("more")).where("more > 2e-9")
+        if refused < 2:
+            wish = wish.where(F.pmod(F.xxhash64("node"), F.lit(2)) == r % 2)
+        wish = materialize(wish, "wish")
+        if refused >= 2:
+            first = wish.select(F.explode(F.array("own", "to")).alias("c"), "more", "node").groupBy("c").agg(F.max(F.struct("more", (-F.col("node")).alias("n"))).alias("b"))
+            first = first.select((-F.col("b.n")).alias("node")).groupBy("node").agg(F.count("*").alias("n")).where("n = 2").select("node")
+            wish = wish.join(first, "node", "left_semi")
+        if not wish.limit(1).count():
+            if refused >= 2:
+                break
+            refused += 1
+            continue
+        new = state.join(wish.select("node", "to"), "node", "left").select("node", "deg", F.coalesce("to", "com").alias("com"))
         new = materialize(new, "state")
-        state = new.select("node", "deg", "com")
-        if r and not new.where("com <> own").limit(1).count():
+        if refused < 2:
+            then = modularity(new)
+            if then <= value + 1e-12:
+                refused += 1
+                continue
+            value, refused = then, 0
+        state = new
+    else:
+        raise RuntimeError(f"communities did not settle in {max_rounds} rounds")
+    name = state.groupBy("com").agg(F.min("node").alias("name"))
+    return state.join(name, "com").select("node", F.col("name").alias("com"))
+
+
+def communities(edges: DataFrame, max_rounds: int = 1000, comp: DataFrame | None = None) -> DataFrame:
+    """(node, community) by modularity: local moving until no node has a better neighbouring
+    community (larger k(i, C) - k(i) tot(C) / 2m; ties stay), then the same with communities as
+    nodes, until none merge.
+
+    Communities never span components, which only share the constant 2m. So components (``comp``)
+    of at most ``APART`` links are settled in one task each, larger ones together, round by round,
+    until their communities have as few links. More than ``max_rounds`` rounds of a level raise."""
+    twice = 2 * (edges.agg(F.sum("sim").alias("m")).first()["m"] or 0.5)
+    comp = components(edges) if comp is None else comp
+    graph = materialize(edges.join(comp.select(F.col("node").alias("u"), "comp"), "u").select("comp", "u", "v", "sim"), "graph")
+    names = graph.select(F.explode(F.array("u", "v")).alias("doc")).distinct().withColumn("node", F.col("doc"))
+    while True:
+        big = materialize(graph.groupBy("comp").agg(F.count("*").alias("n")).where(F.col("n") > APART).select("comp"), "big")
+        n = big.count()
+        labels, merged = _settled_apart(graph.join(broadcast_if_small(big, n), "comp", "left_anti") if n else graph, twice), 0
+        if n:
+            graph = graph.join(broadcast_if_small(big, n), "comp", "left_semi")
+            moved = materialize(_settled_together(graph, twice, max_rounds), "moved")
+            labels, merged = labels.unionByName(moved), moved.where("node <> com").limit(1).count()
+        names = materialize(names.join(labels, "node", "left").select("doc", F.coalesce("com", "node").alias("node")), "names")
+        if not merged:
             break
-    name = state.groupBy("com").agg(F.min("node").alias("community"))  # named by its smallest node
-    return state.join(name, "com").select("node", "community")
+        cu, cv = moved.select(F.col("node").alias("u"), F.col("com").alias("cu")), moved.select(F.col("node").alias("v"), F.col("com").alias("cv"))
+        graph = graph.join(cu, "u").join(cv, "v").groupBy("comp", F.least("cu", "cv").alias("u"), F.greatest("cu", "cv").alias("v")).agg(F.sum("sim").alias("sim"))
+        graph = materialize(graph, "graph")
+    name = names.groupBy("node").agg(F.min("doc").alias("community"))  # named by its smallest node
+    return names.join(name, "node").select(F.col("doc").alias("node"), "community")
 
 
 class Clustering:
@@ -269,7 +380,7 @@ class Clustering:
     def described(self, typical: int = 5) -> DataFrame:
         """(cluster_id, community_id, n_docs, n_vectors, typical): communities with their size and
         the documents of highest internal weighted degree. Copies are counted, not spelled out."""
-        com = communities(self.edges)
+        com = communities(self.edges, comp=self.comp)
         inside = self.edges.join(com.select(F.col("node").alias("u"), F.col("community").alias("cu")), "u").join(com.select(F.col("node").alias("v"), F.col("community").alias("cv")), "v").where("cu = cv")
         weight = inside.select(F.explode(F.array("u", "v")).alias("node"), "sim").groupBy("node").agg(F.sum("sim").alias("w"))
         node = self.nodes.select("node", "copies").join(self.comp, "node", "left").join(com, "node", "left").where("comp IS NOT NULL OR copies > 1")

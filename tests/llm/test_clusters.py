@@ -97,6 +97,32 @@ def test_communities_split_a_bridge(spark):
     assert len({got[i] for i in range(5)}) == 1 and len({got[i] for i in range(10, 15)}) == 1 and got[0] != got[10]
 
 
+@pytest.mark.parametrize("apart", [200_000, 0])
+def test_communities_settle(spark, monkeypatch, apart):
+    """With the production default no node has a better neighbouring community, nor two merge."""
+    monkeypatch.setattr(c, "APART", apart)
+    rng = np.random.default_rng(9)
+    chain = [(i, i + 1, 1.0) for i in range(40)]  # settles slowly
+    edge = chain + [(100 + i, 100 + j, float(0.8 + 0.2 * rng.random())) for i in range(40) for j in range(i + 1, 40) if rng.random() < (0.5 if i // 10 == j // 10 else 0.05)]
+    com = {r["node"]: r["community"] for r in c.communities(spark.createDataFrame(edge, "u BIGINT, v BIGINT, sim DOUBLE")).collect()}
+    ids = sorted(com)
+    w = np.zeros((len(ids), len(ids)))
+    for u, v, s in edge:
+        w[ids.index(u), ids.index(v)] = w[ids.index(v), ids.index(u)] = s
+    names = sorted(set(com.values()))
+    m = np.array([[com[i] == n for n in names] for i in ids], float)
+    assert all(min(i for i in ids if com[i] == n) == n for n in names)
+    deg, twice = w.sum(1), w.sum()
+    link, tot = m.T @ w @ m, m.T @ deg
+    gain = link - np.outer(tot, tot) / twice
+    assert (gain[~np.eye(len(names), dtype=bool)] <= 1e-8).all()
+    if apart == 0:
+        state = {r["node"]: r["com"] for r in c._settled_together(spark.createDataFrame(edge, "u BIGINT, v BIGINT, sim DOUBLE"), float(twice), 1000).collect()}
+        one = np.array([[state[i] == n for n in sorted(set(state.values()))] for i in ids], float)
+        score = w @ one - deg[:, None] * (one.T @ deg - one * deg[:, None]) / twice
+        assert (score.max(1, where=w @ one > 0, initial=-np.inf) <= (score * one).sum(1) + 1e-8).all()
+
+
 def test_described(spark):
     v = made(4)
     got = c.similarity_clusters(table(spark, rows(v)))
