@@ -18,10 +18,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.plans.lineage import broadcast_if_small, materialize
+from quarry.plans.lineage import broadcast_if_small, materialize, release
 
 CRITERIA = {"sse": False, "i2": True, "e1": False}  # name -> larger is better
-MAX_DENSE = 5_000_000  # numbers in the k x d matrix a broadcast may hold
+MAX_DENSE = 5_000_000  # numbers in the k x d matrix a broadcast may hold; beyond, composites are a table
+REPLAY = 4  # rounds between two writings of the clusters
 MAX_SEQUENTIAL = 5_000_000  # cells of a collection that one task may hold
 
 
@@ -60,9 +61,10 @@ def sparse_dot(points: DataFrame, comp: DataFrame) -> DataFrame:
     return points.join(small, "dim").groupBy("doc_id", "cluster").agg(F.sum(F.col("val") * F.col("v")).alias("dot"))
 
 
-def _cluster_facts(points: DataFrame, assigned: DataFrame) -> DataFrame:
-    """(cluster, n, dd, dg): size, squared length, product with the global composite."""
-    g = global_composite(points.join(assigned, "doc_id"))
+def _cluster_facts(points: DataFrame, assigned: DataFrame, g: DataFrame | None = None) -> DataFrame:
+    """(cluster, n, dd, dg): size, squared length, product with the global composite ``g``, that
+    of the assigned points where none is given."""
+    g = global_composite(points.join(assigned, "doc_id")) if g is None else g
     c = composites(points, assigned).join(g, "dim").groupBy("cluster").agg(F.sum(F.col("v") * F.col("v")).alias("dd"), F.sum(F.col("v") * F.col("g")).alias("dg"))
     return c.join(sizes(assigned.join(points.select("doc_id").distinct(), "doc_id", "left_semi")), "cluster")
 
@@ -103,26 +105,41 @@ def _join(by: str, n: Column, dd: Column, dg: Column, dx: Column, xx: Column, xg
     return (n + 1) * (dg + xg) / more - n * dg / F.sqrt(dd)
 
 
-def best_moves(points: DataFrame, assigned: DataFrame, by: str) -> DataFrame:
+def best_moves(points: DataFrame, assigned: DataFrame, by: str, unassigned: bool = False) -> DataFrame:
     """(doc_id, cluster, target, delta, moved): each point's best other cluster against frozen
-    composites. It moves where the criterion strictly improves; ties go to the lower cluster."""
+    composites. It moves where the criterion strictly improves; ties go to the lower cluster. With
+    ``unassigned``, points without a cluster come too and only join (cluster null, moved).
+
+    Points are partitioned by doc_id once. Products with the clusters a point shares a dim with are
+    one map a point; every cluster is then scored in that row, so no point-cluster pair moves."""
     by = criterion(by)
-    mine = points.join(assigned, "doc_id", "left_semi")
-    facts = materialize(_cluster_facts(mine, assigned), "facts")
-    x = sq_norms(mine).join(dot_global(mine), "doc_id").join(assigned, "doc_id")
-    dots = sparse_dot(mine, materialize(composites(mine, assigned), "composites"))
-    own = facts.select(F.col("cluster"), F.col("n").alias("on"), F.col("dd").alias("odd"), F.col("dg").alias("odg"))
-    base = x.join(F.broadcast(own), "cluster").join(dots.withColumnRenamed("dot", "odot"), ["doc_id", "cluster"], "left")
+    mine = (points if unassigned else points.join(assigned, "doc_id", "left_semi")).repartition("doc_id")
+    members = points.join(assigned, "doc_id", "left_semi") if unassigned else mine
+    total = global_composite(mine)
+    facts = materialize(_cluster_facts(members, assigned, total), "facts")
+    dots = sparse_dot(mine, materialize(composites(members, assigned), "composites"))
+    dots = dots.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("cluster", "dot"))).alias("dots"))
+    x = mine.join(total, "dim", "left").groupBy("doc_id").agg(F.sum(F.col("val") * F.col("val")).alias("sq"), F.coalesce(F.sum(F.col("val") * F.col("g")), F.lit(0.0)).alias("xg"))
+    x = x.join(assigned, "doc_id", "left" if unassigned else "inner").join(dots, "doc_id", "left")
+    # one row with all clusters is broadcast: k structs
+    every = facts.agg(F.collect_list(F.struct("cluster", "n", "dd", "dg")).alias("every"))
     c = F.col
-    base = base.withColumn("leave", _leave(by, c("on"), c("odd"), c("odg"), F.coalesce("odot", F.lit(0.0)), c("sq"), c("xg")))
-    # one row per cluster is broadcast: every point meets every cluster in the task it is in
-    other = base.join(F.broadcast(facts.withColumnRenamed("cluster", "target")), c("target") != c("cluster"))
-    other = other.join(dots.withColumnRenamed("cluster", "target"), ["doc_id", "target"], "left")
-    delta = F.round(c("leave") + _join(by, c("n"), c("dd"), c("dg"), F.coalesce("dot", F.lit(0.0)), c("sq"), c("xg")), 9)
-    order = -delta if CRITERIA[by] else delta
-    best = other.withColumn("delta", delta).where("delta IS NOT NULL").groupBy("doc_id", "cluster").agg(F.min_by(F.struct("target", "delta"), F.struct(order.alias("o"), "target")).alias("b"))
+    rows = x.crossJoin(F.broadcast(every))
+    dot_with = lambda f: F.coalesce(F.try_element_at("dots", f["cluster"]), F.lit(0.0))
+    own = F.element_at(F.filter("every", lambda f: f["cluster"] == c("cluster")), 1)
+    rows = rows.withColumn("own", F.when(c("cluster").isNotNull(), own)).withColumn("odot", F.when(c("cluster").isNotNull(), F.coalesce(F.try_element_at("dots", c("cluster")), F.lit(0.0))))
+    o = c("own")
+    rows = rows.withColumn("leave", F.when(c("cluster").isNull(), 0.0).otherwise(_leave(by, o["n"], o["dd"], o["dg"], c("odot"), c("sq"), c("xg"))))
+    sign = -1.0 if CRITERIA[by] else 1.0
+
+    def scored(f: Column) -> Column:
+        delta = F.round(c("leave") + _join(by, f["n"], f["dd"], f["dg"], dot_with(f), c("sq"), c("xg")), 9)
+        return F.struct((sign * delta).alias("o"), f["cluster"].alias("target"), delta.alias("delta"))
+
+    other = F.filter("every", lambda f: c("cluster").isNull() | (f["cluster"] != c("cluster")))
+    best = rows.select("doc_id", "cluster", F.array_min(F.filter(F.transform(other, scored), lambda s: s["delta"].isNotNull())).alias("b")).where("b IS NOT NULL")
     better = c("delta") > 0 if CRITERIA[by] else c("delta") < 0
-    return best.select("doc_id", "cluster", "b.target", "b.delta").withColumn("moved", better)
+    return best.select("doc_id", "cluster", "b.target", "b.delta").withColumn("moved", better | c("cluster").isNull())
 
 
 def initial_seeds(points: DataFrame, k: int, seed: int = 1) -> DataFrame:
@@ -166,11 +183,13 @@ def _score(by: str, n: np.ndarray, dd: np.ndarray, dg: np.ndarray, dots: np.ndar
 
 def fit(points: DataFrame, k: int, by: str = "i2", seed: int = 1, max_iter: int = 30, stop: float = 0.1) -> tuple[DataFrame, float]:
     """((doc_id, cluster), objective): batch moves from ``k`` seed points until fewer than ``stop``
-    of the points move or ``max_iter`` rounds are over.
+    of the points move or ``max_iter`` rounds are over. ``e1`` moves alternating halves of the
+    points, since its composites must not all change at once.
 
-    The k x d composites are the only state on the driver, at most ``MAX_DENSE`` numbers; more is
-    an error. The points stay distributed and are written once a round. ``e1`` moves alternating
-    halves of the points, since its composites must not all change at once."""
+    The k x d composites are broadcast while they are at most ``MAX_DENSE`` numbers; beyond that
+    they stay a table and each round is a join (``best_moves``). A dense round is one pass that
+    leaves only sums: points are read with the clusters of the last written round, and the few
+    rounds since are replayed. Every ``REPLAY`` rounds the clusters are written again."""
     by = criterion(by)
     pts = materialize(packed(points), "points")
     top = pts.select(F.max(F.array_max("dims")).alias("m"), F.count("*").alias("n")).first()
@@ -178,70 +197,107 @@ def fit(points: DataFrame, k: int, by: str = "i2", seed: int = 1, max_iter: int
         return points.sparkSession.createDataFrame([], "doc_id BIGINT, cluster INT"), 0.0
     d = top["m"] + 1
     k = min(k, top["n"])
-    if k * d > MAX_DENSE:
-        raise ValueError(f"{k} composites of {d} dims are more than {MAX_DENSE} numbers")
     seeds = initial_seeds(points, k, seed)
-    state = materialize(pts.join(F.broadcast(seeds), "doc_id", "left").withColumn("cluster", F.coalesce("cluster", F.lit(-1))).withColumn("moved", F.lit(False)), "state")
+    if k * d > MAX_DENSE:
+        return _fit_joined(points, seeds, by, max_iter, stop, top["n"])
+    state = pts.join(F.broadcast(seeds), "doc_id", "left").select("doc_id", "dims", "vals", F.coalesce("cluster", F.lit(-1)).alias("cluster"))
+    state = written = materialize(state, "state")
     g = np.zeros(d)
     for r in global_composite(points).collect():
         g[r["dim"]] = r["g"]
-
-    def sums(df: DataFrame) -> tuple[np.ndarray, np.ndarray, float, int]:
-        """Composites, sizes, squared length of all points, points that moved: one pass."""
+    context = points.sparkSession.sparkContext
+
+    def replayed(b: pa.RecordBatch, shared: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Dims and values, point of each, clusters before and after the last of the rounds."""
+        size = np.diff(b.column("dims").offsets.to_numpy())
+        dims, vals = b.column("dims").flatten().to_numpy(), b.column("vals").flatten().to_numpy()
+        row = np.repeat(np.arange(len(size)), size)
+        add = lambda w: np.bincount(row, weights=w, minlength=len(size))
+        xx, xg = add(vals * vals), add(vals * g[dims])
+        own = new = b.column("cluster").to_numpy()
+        for one in shared:
+            m, n, dd, dg, half = one.value
+            own = new
+            dots = np.stack([add(vals * m[j, dims]) for j in range(k)], 1)
+            s = np.round(_score(by, n, dd, dg, dots, xx, xg, own), 12)
+            best = s.argmin(1)
+            go = (own < 0) | (s[np.arange(len(s)), best] < 0)
+            if half is not None:
+                go &= (own < 0) | (b.column("doc_id").to_numpy() % 2 == half)
+            new = np.where(go, best, own).astype(np.int32)
+        return dims, vals, row, own, new
+
+    def sums(df: DataFrame, shared: list) -> tuple[np.ndarray, np.ndarray, float, int]:
+        """Composites, sizes, squared length of all assigned points, points that moved."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            m, n, sq, moved = np.zeros(k * d), np.zeros(k), 0.0, 0
+            total, count, sq, moved = np.zeros(k * d), np.zeros(k), 0.0, 0
             for b in batches:
-                c = b.column("cluster").to_numpy()
-                moved += b.column("moved").true_count
-                size = np.diff(b.column("dims").offsets.to_numpy())
-                dims, vals = b.column("dims").flatten().to_numpy(), b.column("vals").flatten().to_numpy()
-                row = np.repeat(c, size)
-                m += np.bincount((row * d + dims)[row >= 0], weights=vals[row >= 0], minlength=k * d)
-                n += np.bincount(c[c >= 0], minlength=k)
-                sq += float((vals[row >= 0] ** 2).sum())
-            at = np.flatnonzero(m)
-            code = np.concatenate([at, -1 - np.arange(k), [-1 - k, -2 - k]])
-            yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(np.concatenate([m[at], n, [sq, moved]]))], ["code", "v"])
+                dims, vals, row, own, new = replayed(b, shared)
+                moved += int((new != own).sum())
+                at = new[row].astype(np.int64)
+                inside = at >= 0
+                total += np.bincount((at * d + dims)[inside], weights=vals[inside], minlength=k * d)
+                count += np.bincount(new[new >= 0], minlength=k)
+                sq += float((vals[inside] ** 2).sum())
+            hit = np.flatnonzero(total)
+            code = np.concatenate([hit, -1 - np.arange(k), [-1 - k, -2 - k]])
+            yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(np.concatenate([total[hit], count, [sq, moved]]))], ["code", "v"])
 
         got = df.mapInArrow(run, "code BIGINT, v DOUBLE").groupBy("code").agg(F.sum("v").alias("v")).toPandas()
         code, v = got["code"].to_numpy(), got["v"].to_numpy()
-        m, n = np.zeros(k * d), np.zeros(k)
-        m[code[code >= 0]] = v[code >= 0]
-        count = (code < 0) & (code > -1 - k)
-        n[-1 - code[count]] = v[count]
-        return m.reshape(k, d), n, float(v[code == -1 - k].sum()), int(v[code == -2 - k].sum())
-
-    schema = "doc_id BIGINT, dims ARRAY<INT>, vals ARRAY<DOUBLE>, cluster INT, moved BOOLEAN"
-    m, n, sq, _ = sums(state)
-    for it in range(max_iter):
-        dd, dg = (m * m).sum(1), m @ g
-        half = it % 2 if by == "e1" and it else None
+        total, count = np.zeros(k * d), np.zeros(k)
+        total[code[code >= 0]] = v[code >= 0]
+        sizes = (code < 0) & (code > -1 - k)
+        count[-1 - code[sizes]] = v[sizes]
+        return total.reshape(k, d), count, float(v[code == -1 - k].sum()), int(v[code == -2 - k].sum())
 
-        def run(batches: Iterator[pa.RecordBatch], m=m, n=n, dd=dd, dg=dg, half=half) -> Iterator[pa.RecordBatch]:
+    def moved_to(df: DataFrame, shared: list) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                size = np.diff(b.column("dims").offsets.to_numpy())
-                dims, vals = b.column("dims").flatten().to_numpy(), b.column("vals").flatten().to_numpy()
-                row = np.repeat(np.arange(len(size)), size)
-                add = lambda w: np.bincount(row, weights=w, minlength=len(size))
-                dots = np.stack([add(vals * m[j, dims]) for j in range(k)], 1)
-                own = b.column("cluster").to_numpy()
-                s = np.round(_score(by, n, dd, dg, dots, add(vals * vals), add(vals * g[dims]), own), 12)
-                best = s.argmin(1)
-                go = (own < 0) | (s[np.arange(len(s)), best] < 0)
-                if half is not None:
-                    go &= (own < 0) | (b.column("doc_id").to_numpy() % 2 == half)
-                new = np.where(go, best, own).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("dims"), b.column("vals"), pa.array(new), pa.array(new != own)], schema=None, names=["doc_id", "dims", "vals", "cluster", "moved"])
-
-        state = materialize(state.select("doc_id", "dims", "vals", "cluster").mapInArrow(run, schema), "state")
-        m, n, sq, moved = sums(state)
-        if moved < stop * top["n"]:
+                new = replayed(b, shared)[4]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("dims"), b.column("vals"), pa.array(new)], ["doc_id", "dims", "vals", "cluster"])
+
+        return df.mapInArrow(run, "doc_id BIGINT, dims ARRAY<INT>, vals ARRAY<DOUBLE>, cluster INT")
+
+    m, n, sq, _ = sums(state, [])
+    rounds: list = []
+    for it in range(max_iter):
+        rounds.append(context.broadcast((m, n, (m * m).sum(1), m @ g, it % 2 if by == "e1" and it else None)))
+        m, n, sq, moved = sums(written, rounds)
+        last = moved < stop * top["n"] or it + 1 == max_iter
+        if last or len(rounds) == REPLAY:
+            state = materialize(moved_to(written, rounds), "state")
+            release(written)
+            for r in rounds:
+                r.destroy()
+            written, rounds = state, []
+        if last:
             break
     dd = (m * m).sum(1)
     live = n > 0
     value = {"sse": sq - float((dd[live] / n[live]).sum()), "i2": float(np.sqrt(dd).sum()), "e1": float((n[live] * (m @ g)[live] / np.sqrt(dd[live])).sum() / max(np.sqrt(g @ g), 1e-300))}[by]
-    return state.select("doc_id", "cluster"), value
+    return written.select("doc_id", "cluster"), value
+
+
+def _fit_joined(points: DataFrame, seeds: DataFrame, by: str, max_iter: int, stop: float, n: int) -> tuple[DataFrame, float]:
+    """``fit`` with composites as a table: nothing of the size k x d is held in one place."""
+    points = materialize(points, "points")
+    ids = materialize(points.select("doc_id").distinct(), "ids")
+    state = materialize(ids.join(F.broadcast(seeds), "doc_id", "left"), "state")
+    for it in range(max_iter):
+        move = best_moves(points, state.where("cluster IS NOT NULL"), by, unassigned=True).where("moved").select("doc_id", "target", "cluster")
+        if by == "e1" and it:
+            move = move.where(F.col("cluster").isNull() | (F.pmod("doc_id", F.lit(2)) == it % 2))
+        last = state
+        new = last.join(move.select("doc_id", "target"), "doc_id", "left").select("doc_id", F.coalesce("target", "cluster").alias("cluster"), F.col("target").isNotNull().alias("moved"))
+        new = materialize(new, "state")
+        state, moved = new.select("doc_id", "cluster"), new.where("moved").count()
+        release(last)
+        if moved < stop * n:
+            break
+    state = state.where("cluster IS NOT NULL")
+    return state, objective(points, state, by).first()["objective"]
 
 
 def fit_sequential(points: DataFrame, k: int, by: str = "e1", trials: int = 1, max_iter: int = 30, stop: float = 0.1) -> DataFrame:

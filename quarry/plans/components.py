@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.plans.lineage import materialize
+from quarry.plans.lineage import materialize, release
 
 
 def components(edges: DataFrame, a: str = "u", b: str = "v", max_rounds: int = 60) -> DataFrame:
@@ -17,13 +17,16 @@ def components(edges: DataFrame, a: str = "u", b: str = "v", max_rounds: int = 6
     both = edges.select(F.col(a).alias("x"), F.col(b).alias("y"))
     both = materialize(both.unionByName(both.select(F.col("y").alias("x"), F.col("x").alias("y"))).where("x <> y").distinct(), "links")
     labels = materialize(both.groupBy(F.col("x").alias("node")).agg(F.least(F.min("y"), F.col("node")).alias("comp")), "labels")
+    held = labels  # the table behind ``labels``
     for _ in range(max_rounds):
         seen = both.join(labels.select(F.col("node").alias("y"), "comp"), "y").groupBy(F.col("x").alias("node")).agg(F.min("comp").alias("least"))
         low = labels.join(seen, "node").select("node", F.col("comp").alias("was"), F.least("comp", "least").alias("comp"))
         jump = labels.select(F.col("node").alias("comp"), F.col("comp").alias("further"))
         new = low.join(jump, "comp", "left").select("node", "was", F.least("comp", F.coalesce("further", "comp")).alias("comp"))
         new = materialize(new, "labels")
-        labels = new.select("node", "comp")
+        release(held)
+        held, labels = new, new.select("node", "comp")
         if not new.where("comp <> was").limit(1).count():
+            release(both)
             return labels
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -8,11 +8,13 @@ temporary folder of this machine is used, which is right in local mode only.
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _roots: dict[str, str] = {}
 
@@ -27,24 +29,28 @@ def shared_root(spark: SparkSession) -> str:
         if not base:
             if not spark.sparkContext.master.startswith("local"):
                 raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-            base = "file://" + tempfile.mkdtemp(prefix="quarry-")
+            own_folder = tempfile.mkdtemp(prefix="quarry-")
+            atexit.register(shutil.rmtree, own_folder, True)
+            base = "file://" + own_folder
         _roots[app] = f"{base.rstrip('/')}/quarry-{uuid.uuid4().hex}"
         atexit.register(_remove, spark, app)
     return _roots[app]
 
 
-def _remove(spark: SparkSession, app: str) -> None:
-    root = _roots.pop(app, None)
-    if root is None:
-        return
+def _delete(spark: SparkSession, path: str) -> None:
     try:
-        jvm = spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(root)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
     except Exception:  # the JVM may be gone already
         pass
 
 
+def _remove(spark: SparkSession, app: str) -> None:
+    root = _roots.pop(app, None)
+    if root is not None:
+        _delete(spark, root)
+
+
 def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
@@ -54,10 +60,35 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._written = path
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables of ``materialize`` that no later step reads: the last round of an iteration.
+    Other frames are left alone."""
+    for t in tables:
+        if path := getattr(t, "_written", None):
+            _delete(t.sparkSession, path)
+
+
+def row_bytes(schema: T.StructType) -> int | None:
+    """Bytes of a row in memory where all columns are of fixed width, else None."""
+    if any(isinstance(f.dataType, (T.StringType, T.BinaryType, T.ArrayType, T.MapType, T.StructType)) for f in schema.fields):
+        return None
+    return 16 + 8 * len(schema.fields)
+
 
+def broadcast_if_small(df: DataFrame, rows: int, limit: int = 200_000, max_bytes: int = 32 << 20) -> DataFrame:
+    """Hint a broadcast only where the counted ``rows`` are at most ``limit`` and come to at most
+    ``max_bytes``; else leave the choice to the planner, which shuffles.
 
-def broadcast_if_small(df: DataFrame, rows: int, limit: int = 200_000) -> DataFrame:
-    """Hint a broadcast only where the counted ``rows`` are at most ``limit``; else leave
-    the choice to the planner, which shuffles."""
-    return F.broadcast(df) if rows <= limit else df
+    Bytes are rows times their width; with texts or arrays among the columns the width is not
+    known, and the planner's estimate of the size (of the written file for a table) counts
+    threefold, for compression."""
+    if rows > limit:
+        return df
+    width = row_bytes(df.schema)
+    size = rows * width if width else 3 * int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(df) if size <= max_bytes else df

@@ -17,12 +17,13 @@ def numbered(df: DataFrame, order: list[str | Column], name: str, start: int = 0
     parts = materialize(ranged.withColumn("_m", F.monotonically_increasing_id()), "numbered")
     part = F.shiftrightunsigned("_m", 33)  # monotonic ids: partition above bit 33, place below
     counts = sorted((r["p"], r["n"]) for r in parts.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())
-    pairs, at = [], start
+    offsets, at = [], start
     for p, n in counts:
-        pairs += [F.lit(p), F.lit(at)]
+        offsets.append((p, at))
         at += n
-    base = F.create_map(*pairs)[part] if pairs else F.lit(start)
-    return parts.withColumn(name, (base + F.col("_m").bitwiseAND((1 << 33) - 1)).cast("bigint")).drop("_m")
+    base = df.sparkSession.createDataFrame(offsets, "_p INT, _base BIGINT")  # one row a partition
+    placed = parts.withColumn("_p", part.cast("int")).join(F.broadcast(base), "_p")
+    return placed.withColumn(name, F.col("_base") + F.col("_m").bitwiseAND((1 << 33) - 1)).drop("_m", "_p", "_base")
 
 
 def one_row_per_key(df: DataFrame, key: str, value: str) -> DataFrame:

@@ -71,6 +71,20 @@ def test_sequential_moves_improve(spark, by, monkeypatch):
         ops.fit_sequential(pts, 3, by)
 
 
+@pytest.mark.parametrize("by", ["sse", "i2", "e1"])
+def test_fit_with_composites_as_a_table(spark, monkeypatch, by):
+    """Beyond the dense limit the rounds are joins, with the same clusters."""
+    rng = np.random.default_rng(4)
+    rows = [(i, int(j), 1 + float(rng.random())) for i in range(80) for j in rng.choice(30, 6, replace=False)]
+    pts = spark.createDataFrame(rows, "doc_id BIGINT, dim INT, val DOUBLE")
+    got, value = ops.fit(pts, 4, by, max_iter=4, stop=0.0)
+    dense = {r["doc_id"]: r["cluster"] for r in got.collect()}
+    monkeypatch.setattr(ops, "MAX_DENSE", 10)
+    other, same = ops.fit(pts, 4, by, max_iter=4, stop=0.0)
+    joined = {r["doc_id"]: r["cluster"] for r in other.collect()}
+    assert joined == dense and same == pytest.approx(value)
+
+
 def test_fit_edge_cases(spark):
     none = spark.createDataFrame([], "doc_id BIGINT, dim INT, val DOUBLE")
     assert ops.fit(none, 3)[0].count() == 0

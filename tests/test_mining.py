@@ -1,3 +1,7 @@
+import random
+from collections import Counter
+from itertools import combinations
+
 import pytest
 
 from quarry.operators import itemsets as ops
@@ -100,3 +104,30 @@ def test_other_sinks(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "t")).where("weighting = 'sqrt'").first()["val"] == 0.7
     files.write_csv(t.select("doc_id", "dim", "val"), str(tmp_path / "c"))
     assert files.read_triplets(spark, str(tmp_path / "c")).count() == 2
+
+
+def test_large_itemsets_have_their_rules(spark):
+    """Twenty-one items: every split comes out, in digits of a mask; more than 62 items raise."""
+    sets = spark.createDataFrame([(list(range(1, 22)), 3)], "items ARRAY<INT>, freq BIGINT")
+    got = ops.rule_splits(sets)
+    assert got.count() == 2**21 - 2
+    assert got.where("size(lhs) + size(rhs) <> 21 OR size(lhs) = 0 OR size(rhs) = 0").count() == 0
+    with pytest.raises(Exception, match="62"):
+        ops.rule_splits(spark.createDataFrame([(list(range(63)), 3)], "items ARRAY<INT>, freq BIGINT")).limit(1).collect()
+
+
+@pytest.mark.parametrize(("rows", "baskets", "candidates"), [(4_000_000, 64, 2_000_000), (2000, 8, 2_000_000), (2000, 8, 3), (100, 64, 2_000_000)])
+def test_itemsets_in_blocks(spark, monkeypatch, rows, baskets, candidates):
+    """One block, several, too many candidates, and baskets too many for a block: the same sets."""
+    monkeypatch.setattr(ops, "BLOCK_ROWS", rows)
+    monkeypatch.setattr(ops, "BASKETS", baskets)
+    monkeypatch.setattr(ops, "MAX_CANDIDATES", candidates)
+    rng = random.Random(3)
+    sets = {t: set(rng.choices(range(1, 25), weights=range(25, 1, -1), k=rng.randint(1, 9))) for t in range(2000)}
+    want = Counter()
+    for x in sets.values():
+        for k in range(1, len(x) + 1):
+            want.update(combinations(sorted(x), k))
+    df = spark.createDataFrame([(t, i) for t, x in sets.items() for i in x], "tid INT, item INT")
+    got = {tuple(r["items"]): r["freq"] for r in ops.frequent_itemsets(df, 60).collect()}
+    assert got == {k: v for k, v in want.items() if v >= 60} and len(got) > 50

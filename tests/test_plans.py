@@ -64,6 +64,20 @@ def test_setting_names_the_folder(monkeypatch):
         lineage.shared_root(Stub(None, "spark://host:7077"))
 
 
+def test_release_deletes_the_table(spark):
+    got = lineage.materialize(spark.range(5))
+    lineage.release(got, spark.range(3))
+    with pytest.raises(Exception):
+        got.count()
+
+
+def test_broadcast_is_bounded_by_bytes(spark):
+    assert lineage.broadcast_if_small(df := spark.range(1000), 1000, max_bytes=20_000) is df
+    text = lineage.materialize(spark.range(50).select(F.expr("repeat(uuid(), 1000)").alias("t")))
+    assert lineage.broadcast_if_small(text, 50, max_bytes=1000) is text
+    assert lineage.broadcast_if_small(text, 50) is not text
+
+
 def test_broadcast_only_small(spark):
     df = spark.range(3)
     assert lineage.broadcast_if_small(df, 10, 5) is df and lineage.broadcast_if_small(df, 3, 5) is not df
