@@ -29,11 +29,12 @@ NODE_SCHEMA = (
     "file_key BIGINT, record_no INT, record_key BIGINT, node_no INT, parent_no INT, "
     "tag STRING, parent_tag STRING, depth INT, place INT, entry STRING"
 )
-_NAME = 24
 _ATTR = re.compile(r"""([A-Za-z_][\w.-]*)\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)""")
 _COMMENT = re.compile(r"<!--.*?-->", re.S)
 _TAG = re.compile(r"<[^>]*>")
 _SPACE = re.compile(r"\s+")
+_QUOTE = re.compile(rb"[>\"']")
+_KEY = re.compile(r"[0-9]+")
 
 
 def plain(raw: str) -> str:
@@ -54,7 +55,7 @@ def structural_index(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     a = np.frombuffer(data, np.uint8)
     n = len(a)
     lt, gt = np.flatnonzero(a == 60), np.flatnonzero(a == 62)
-    padded = np.concatenate([a, np.zeros(_NAME + 4, np.uint8)])
+    padded = np.concatenate([a, np.zeros(4, np.uint8)])
     cover = np.zeros(n + 1, np.int32)
     starts = lt[(padded[lt + 1] == 33) & (padded[lt + 2] == 45) & (padded[lt + 3] == 45)]
     if len(starts):
@@ -71,29 +72,51 @@ def structural_index(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     close = padded[lt + 1] == 47
     first = padded[lt + 1 + close] | 32
     lt, close = (x[(first >= 97) & (first <= 122) & ~hidden[lt]] for x in (lt, close))
-    # a tag ends at the first > after which both kinds of quotes are even
     k = np.searchsorted(gt, lt)
     lt, close, k = (x[k < len(gt)] for x in (lt, close, k))
-    double = np.concatenate([[0], np.cumsum(a == 34)])
-    for _ in range(64):
-        end = gt[k] + 1
-        odd = ((double[end] - double[lt]) & 1) == 1
-        nxt = np.concatenate([lt[1:], [n]])
-        odd &= (k + 1 < len(gt)) & (gt[np.minimum(k + 1, len(gt) - 1)] < nxt)
-        if not odd.any():
-            break
-        k = k + odd
-    end = gt[k] + 1
-    names = padded[(lt + 1 + close)[:, None] + np.arange(_NAME)[None, :]]
-    lower = np.where((names >= 65) & (names <= 90), names + 32, names)
-    part = ((lower >= 97) & (lower <= 122)) | ((lower >= 48) & (lower <= 57)) | (lower == 45) | (lower == 95)
-    lower = np.where(np.logical_and.accumulate(part, axis=1), lower, 0).astype(np.uint8)
-    names = np.ascontiguousarray(lower).view(f"S{_NAME}").ravel() if len(lower) else np.empty(0, f"S{_NAME}")
+    end = _tag_ends(a, data, lt, gt, k)
+    # a name runs to the first byte that cannot be part of one
+    part = ((a >= 97) & (a <= 122)) | ((a >= 65) & (a <= 90)) | ((a >= 48) & (a <= 57)) | (a == 45) | (a == 95)
+    stop = np.append(np.flatnonzero(~part), n)
+    begin = lt + 1 + close
+    length = np.minimum(stop[np.searchsorted(stop, begin)], end) - begin
+    width = max(int(length.max(initial=0)), 1)
+    if len(lt) * width <= 1 << 26:
+        at = np.minimum(begin[:, None] + np.arange(width)[None, :], n - 1)
+        raw = np.where(np.arange(width)[None, :] < length[:, None], a[at], 0).astype(np.uint8)
+        raw = np.where((raw >= 65) & (raw <= 90), raw + 32, raw)
+        names = np.ascontiguousarray(raw).view(f"S{width}").ravel() if len(lt) else np.empty(0, "S1")
+    else:  # one name so long that a table of all would be too wide
+        names = np.array([data[b : b + m].lower() for b, m in zip(begin.tolist(), length.tolist())], object)
     selfclosed = a[np.maximum(end - 2, 0)] == 47
     step = np.where(close, -1, np.where(selfclosed, 0, 1))
     return lt, end, names, step
 
 
+def _tag_ends(a: np.ndarray, data: bytes, lt: np.ndarray, gt: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """End (after ``>``) of the tags that start at ``lt``, whose next ``>`` is number ``k``.
+
+    A ``>`` inside a quoted value ends nothing, whichever kind the quotes are: of the kinds, the one
+    opened first counts, and the other is plain text inside it. Tags whose span to the first ``>``
+    holds neither kind in odd number are done; the few others are walked quote by quote. A value
+    that is not closed before the next ``<`` of a tag is no quoted value: the tag ends at the ``>``."""
+    end = gt[k] + 1
+    kinds = [np.concatenate([[0], np.cumsum(a == q)]) for q in (34, 39)]
+    counts = [c[end] - c[lt] for c in kinds]
+    nxt = np.append(lt[1:], len(a))
+    for i in np.flatnonzero((counts[0] > 0) & (counts[1] > 0) | (counts[0] & 1 == 1) | (counts[1] & 1 == 1)).tolist():
+        at, limit = int(lt[i]), int(nxt[i])
+        while m := _QUOTE.search(data, at, limit):
+            if m.group() == b">":
+                end[i] = m.end()
+                break
+            shut = data.find(m.group(), m.end(), limit) if data[int(lt[i]) : m.start()].rstrip()[-1:] == b"=" else m.start()  # a quote opens a value after =
+            if shut < 0:
+                break
+            at = shut + 1
+    return end
+
+
 def record_spans(names: np.ndarray, step: np.ndarray, tag: bytes) -> list[tuple[int, int]]:
     """Tag numbers (first, last) of the records that end before another starts."""
     at = np.flatnonzero((names == tag) & (step != 0))
@@ -121,10 +144,13 @@ def _links(names: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray,
             above = opens[(depth[opens] == d - 1) & (step[opens] == 1)]
             own = opens[((depth[opens] == d) & (step[opens] == 1))]
             parent[own] = above[np.searchsorted(above, own) - 1]
-    for i in np.flatnonzero(step == 0).tolist():
-        up = np.flatnonzero((step[:i] == 1) & (shut[:i] > i))
-        parent[i] = up[-1] if len(up) else -1
-        depth[i] = depth[parent[i]] + 1
+    # a self-closed element's depth already counts those open around it: its parent is the last of
+    # the depth above that was opened before it
+    alone = np.flatnonzero(step == 0)
+    for d in np.unique(depth[alone]).tolist():
+        above = opens[(depth[opens] == d - 1) & (step[opens] == 1)]
+        own = alone[depth[alone] == d]
+        parent[own] = above[np.searchsorted(above, own) - 1]
     return depth, parent, shut
 
 
@@ -164,7 +190,7 @@ def parse_payload(text: str, record_tag: str, key_attr: str, attr: str, leaves:
         depth, parent, shut = _links(nm, st) or _links_by_stack(nm, st)
         found = attributes(data[start[i] : end[i]].decode("utf-8", "replace"))
         key = found.get(key_attr, "").strip()
-        key_value = int(key) if key.isdigit() and len(key) < 19 else None
+        key_value = int(key) if _KEY.fullmatch(key) and int(key) < 1 << 63 else None
         opens = np.flatnonzero(st >= 0)
         number = {int(t): k for k, t in enumerate(opens)}
         seen: dict[tuple[int, str], int] = {}
@@ -193,6 +219,7 @@ def nodes(
 ) -> DataFrame:
     """One linked row per element of every whole record: the table the flat ones come from."""
     wanted = frozenset(leaves)
+    whole = {"record_key", "parent_no", "place", "file_key"}
     names = [f.split()[0] for f in NODE_SCHEMA.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -200,10 +227,9 @@ def nodes(
             out: list[tuple] = []
             for k, p in zip(b["k"], b["p"]):
                 out += [(k, no, *rest) for no, *rest in parse_payload(p, record_tag, key_attr, attr, wanted)]
-            pdf = pd.DataFrame(out, columns=names)
-            for c in ("record_key", "parent_no", "place", "file_key"):
-                pdf[c] = pdf[c].astype("Int64")
-            yield pdf
+            # whole columns with nulls as they are: keys near 2**63 would not survive as doubles
+            cols = zip(names, zip(*out) if out else [()] * len(names))
+            yield pd.DataFrame({n: pd.array(list(v), "Int64") if n in whole else list(v) for n, v in cols})
 
     got = df.select(F.coalesce(F.col(key).cast("bigint"), F.lit(-1)).alias("k"), F.col(payload).cast("string").alias("p"))
     return got.where(F.length("p") > 0).mapInPandas(run, NODE_SCHEMA)

@@ -58,6 +58,39 @@ def test_empty_table(spark):
     assert markup.nodes(spark.createDataFrame([], "file_id BIGINT, payload STRING")).count() == 0
 
 
+def test_long_tag_names(spark):
+    """Names that share their first 26 letters are different tags."""
+    a, b = "abcdefghijklmnopqrstuvwxyza", "abcdefghijklmnopqrstuvwxyzb" + "c" * 300
+    df = spark.createDataFrame([(1, f"<reuters newid='1'><{a}><d>x</d></{a}><{b}><D>y</D></{b}></reuters>")], "file_id BIGINT, payload STRING")
+    got = {(r["parent_tag"], r["place"], r["entry"]) for r in markup.nodes(df).where("tag = 'd'").collect()}
+    assert got == {(a, 1, "x"), (b, 1, "y")}
+
+
+def test_quoted_values(spark):
+    """Any number of > in a value, either kind of quote, one kind inside the other."""
+    many = ">" * 70
+    p = f"""<reuters newid="1" x="{many}" lewissplit="A"></reuters><REUTERS NEWID='2' X='a>b' LEWISSPLIT='B'></REUTERS>
+<reuters newid="3" x="it's > so" lewissplit='C"'></reuters><reuters newid="4" x = 'say ">"' lewissplit="D"><title>t</title></reuters>
+<reuters newid=5 o'clock lewissplit=E><title>u</title></reuters>"""
+    got = flat(spark, [p])
+    assert {(r[0], r[3]) for r in got if r[1] == "reuters"} == {(1, "A"), (2, "B"), (3, 'C"'), (4, "D"), (5, "E")}
+    assert {(r[0], r[3]) for r in got if r[1] == "title"} == {(4, "t"), (5, "u")}
+
+
+def test_keys(spark):
+    """Digits of other scripts are no key; a BIGINT of 19 digits is."""
+    p = "".join(f'<reuters newid="{k}" lewissplit="s"></reuters>' for k in ("\u00b2", "9223372036854775807", "9223372036854775808", " 7 ", "x"))
+    assert {r[0] for r in flat(spark, [p])} == {9223372036854775807, 7}
+
+
+def test_self_closed_elements(spark):
+    df = spark.createDataFrame([(1, "<reuters newid='1'><br/><a><b><br/></b><br/></a><br/></reuters>")], "file_id BIGINT, payload STRING")
+    rows = {r["node_no"]: r for r in markup.nodes(df).collect()}
+    assert [(rows[i]["tag"], rows[i]["parent_tag"], rows[i]["depth"]) for i in sorted(rows)] == [
+        ("reuters", None, 0), ("br", "reuters", 1), ("a", "reuters", 1), ("b", "a", 2), ("br", "b", 3), ("br", "a", 2), ("br", "reuters", 1),
+    ]
+
+
 def regex_rows(p):
     p, out = re.sub(r"<!--.*?-->", "", p, flags=re.S), set()
     for m in re.finditer(r"(?is)<reuters\b([^>]*)>((?:(?!<reuters\b).)*?)</reuters>", p):
