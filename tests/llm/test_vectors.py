@@ -109,6 +109,39 @@ def test_cross_split(spark):
     assert sum(r["n_rows"] for r in counts) == sum(r[3] != "train" for r in rows)
 
 
+@pytest.mark.parametrize(("hot", "run", "suffixes"), [(64, 65_536, 2_000_000), (2, 65_536, 300), (10**6, 3, 2_000_000)])
+def test_suffix_array(spark, monkeypatch, hot, run, suffixes):
+    """Forty-nine values at three scales, near copies up to the limit: all found, also where spans
+    are so common that the rows are searched by radius."""
+    monkeypatch.setattr(v, "HOT_SPAN", hot)
+    monkeypatch.setattr(v, "RUN", run)
+    monkeypatch.setattr(v, "SUFFIXES", suffixes)
+    rng = np.random.default_rng(11)
+    rows = []
+    for i in range(90):
+        base = rng.normal(100, 40, 49) * (1e-6, 1.0, -1e9)[i % 3]
+        for j in range(3):
+            noise = rng.normal(size=49)
+            noise *= rng.uniform(0.0, 1.3) * np.linalg.norm(base) / 20 / np.linalg.norm(noise) * (j > 0)
+            rows.append((1000 * i + j, 0, (base + noise).tolist(), ("train", "test", "valid")[(i + j) % 3], "s"))
+    got = v.match_pairs(*v.cross_split_matches(table(spark, rows + dirty(49)), dim=49)).collect()
+    want = cross(rows, 400)
+    assert {(r["train_id"], r["held_out_id"]) for r in got} == want and len(got) == len(want) > 60
+
+
+def test_suffix_words_sort_as_suffixes():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(50, 49))
+    row, level = v._leveled(x, 0.05, False)
+    words = v._suffix_keys(x, level, 400.0)
+    unit = v._layout(49, 400.0)[0]
+    letters = np.floor(x / (unit * v.LEVEL ** level)[:, None])
+    same = level == level[0]
+    for i, s in enumerate(v._layout(49, 400.0)[4][:5]):
+        order = sorted(np.flatnonzero(same), key=lambda r: tuple(letters[r, s : s + v.SPAN]))
+        assert (np.diff(words[order, i].astype(object)) >= 0).all()
+
+
 @pytest.mark.parametrize("hot", [5, 50_000])
 def test_cross_split_copies(spark, monkeypatch, hot):
     monkeypatch.setattr(skew, "HOT", hot)
