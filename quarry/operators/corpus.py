@@ -36,10 +36,10 @@ def occurrences(docs: DataFrame, stop: DataFrame | None = None) -> DataFrame:
     return rows.join(broadcast_if_small(stop.select(F.col("word").alias("term")), stop.count()), "term", "left_anti")
 
 
-def stemmed(occ: DataFrame) -> DataFrame:
-    """Occurrences with each term replaced by its stem; the join is on the distinct words."""
-    words = fn.stem_vocabulary(occ)
-    return occ.join(words, "term").select("newid", F.col("stem").alias("term"))
+def stem_counts(counts: DataFrame) -> DataFrame:
+    """(newid, term, n) by stem: counts of distinct words meet the stems and are added again."""
+    words = fn.stem_vocabulary(counts)
+    return counts.join(words, "term").groupBy("newid", F.col("stem").alias("term")).agg(F.sum("n").alias("n"))
 
 
 def term_counts(occ: DataFrame) -> DataFrame:

@@ -29,6 +29,17 @@ def item_dictionary(pairs: DataFrame) -> DataFrame:
     return numbered(item_counts(pairs), [F.desc("n"), "item"], "code", 1).withColumn("code", F.col("code").cast("int"))
 
 
+def encoded(pairs: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """(tid, code): pairs with items as codes of the dictionary."""
+    return pairs.join(dictionary.select("item", "code"), "item").select("tid", "code")
+
+
+def decoded(itemsets: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """(items, freq): itemsets of codes as sorted items."""
+    rows = itemsets.select(F.col("items").alias("codes"), F.explode("items").alias("code"), "freq")
+    return rows.join(dictionary.select("code", "item"), "code").groupBy("codes", "freq").agg(F.sort_array(F.collect_list("item")).alias("items")).select("items", "freq")
+
+
 def frequent_pairs(pairs: DataFrame, min_supp: int) -> DataFrame:
     """Pairs whose item is in at least ``min_supp`` transactions."""
     return pairs.join(item_counts(pairs).where(F.col("n") >= min_supp).select("item"), "item", "left_semi").select("tid", "item")

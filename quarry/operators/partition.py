@@ -144,7 +144,7 @@ def best_moves(points: DataFrame, assigned: DataFrame, by: str, unassigned: bool
 
 def initial_seeds(points: DataFrame, k: int, seed: int = 1) -> DataFrame:
     """(doc_id, cluster): ``k`` distinct points by the order of a seeded hash."""
-    ids = points.select("doc_id").distinct().withColumn("h", F.xxhash64("doc_id", F.lit(seed)))
+    ids = points.select("doc_id").distinct().withColumn("h", F.md5(F.concat_ws(":", "doc_id", F.lit(seed))))
     rows = [(r["doc_id"], i) for i, r in enumerate(ids.orderBy("h", "doc_id").limit(k).collect())]
     return points.sparkSession.createDataFrame(rows, "doc_id BIGINT, cluster INT")
 

@@ -74,6 +74,29 @@ def kmeans_sequential(s: SparkSession, d: str) -> DataFrame:
     return got.join(F.broadcast(best.select("trial")), "trial", "left_semi").select("doc_id", "cluster")
 
 
+def clustering_metrics(s: SparkSession, d: str) -> DataFrame:
+    """One row with the objective, entropy and purity of the given assignment."""
+    p, a = _both(s, d)
+    conf = materialize(_confusion(s, d), "confusion")
+    row = ops.objective(p, a, "i2").crossJoin(evaluate.entropy(conf)).crossJoin(evaluate.purity(conf))  # one row each
+    return _r(row, "objective", "entropy", "purity")
+
+
+def kmeans_invariants(s: SparkSession, d: str) -> DataFrame:
+    """What every fit must keep: all points assigned, no cluster beyond k, the objective it reports is
+    that of its assignment, and no worse than after one round."""
+    p = materialize(_points(s, d), "points")
+    rows = []
+    for by in ("sse", "i2"):
+        got, value = ops.fit(p, K, by)
+        again = ops.objective(p, got, by).first()["objective"]
+        early = ops.fit(p, K, by, max_iter=1)[1]
+        used = got.agg(F.count("*").alias("n"), F.countDistinct("cluster").alias("k")).first()
+        better = value >= early - 1e-6 if ops.CRITERIA[by] else value <= early + 1e-6
+        rows.append((by, used["n"], used["k"] <= K, abs(again - value) <= 1e-6 * max(1.0, abs(value)), better))
+    return s.createDataFrame(rows, "criterion STRING, n_points BIGINT, at_most_k BOOLEAN, objective_agrees BOOLEAN, improved BOOLEAN")
+
+
 def domain_sizes(s: SparkSession, d: str) -> DataFrame:
     tx = tables.transactions(s.read.parquet(f"{d}/baskets.parquet")).agg(F.max("item").alias("max_item"))
     return tx.join(F.broadcast(_points(s, d).agg((F.max("dim") + 1).alias("n_dims"))))
@@ -106,6 +129,8 @@ QUERIES = {
     "kmeans_best_trial": kmeans_best_trial,
     "kmeans_sequential": kmeans_sequential,
     "domain_sizes": domain_sizes,
+    "clustering_metrics": clustering_metrics,
+    "kmeans_invariants": kmeans_invariants,
 }
 
 _A = f"""{TR}, {ASG}, a AS (SELECT asg.doc_id, cluster FROM asg SEMI JOIN tr ON asg.doc_id = tr.doc_id), p AS (SELECT tr.*, cluster FROM tr JOIN a USING (doc_id)),
@@ -150,5 +175,11 @@ SQL = {
     "kmeans_step_sse": _step_sql(f"CASE WHEN n > 1 THEN -(n / (n - 1)) * {_FAR} END", f"(n / (n + 1)) * {_FAR}", ""),
     "kmeans_step_i2": _step_sql(f"{_LESS} - sqrt(dd)", f"{_MORE} - sqrt(dd)", "-"),
     "kmeans_step_e1": _step_sql(f"(CASE WHEN n > 1 THEN (n - 1) * (dg - xg) / {_LESS} ELSE 0 END) - n * dg / sqrt(dd)", f"(n + 1) * (dg + xg) / {_MORE} - n * dg / sqrt(dd)", ""),
+    "initial_seeds": f"""WITH {TR}, h AS (SELECT DISTINCT doc_id, md5(doc_id || ':1') AS h FROM tr)
+ SELECT doc_id, CAST(row_number() OVER (ORDER BY h, doc_id) - 1 AS INTEGER) AS cluster FROM h ORDER BY h, doc_id LIMIT {K}""",
+    "clustering_metrics": f"""WITH {_A}, {CL}, cf AS (SELECT cluster, label, count(*) AS n FROM asg JOIN cl USING (doc_id) GROUP BY 1, 2), t AS (SELECT n, sum(n) OVER (PARTITION BY cluster) AS s FROM cf),
+ mx AS (SELECT max(n) AS m, sum(n) AS s FROM cf GROUP BY cluster) SELECT (SELECT round(sum(sqrt(dd)), 6) FROM fa) AS objective, (SELECT round(sum(-n * log2(n / s)) / sum(n), 6) FROM t) AS entropy,
+ (SELECT round(sum(m) / sum(s), 6) FROM mx) AS purity""",
+    "kmeans_invariants": f"WITH {TR} SELECT unnest(['sse', 'i2']) AS criterion, count(DISTINCT doc_id) AS n_points, true AS at_most_k, true AS objective_agrees, true AS improved FROM tr",
     "domain_sizes": f"""WITH {TR} SELECT (SELECT max(item) FROM baskets WHERE tid IS NOT NULL AND item >= 1) AS max_item, (SELECT max(dim) + 1 FROM tr) AS n_dims""",
 }

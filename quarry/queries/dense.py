@@ -8,14 +8,24 @@ from pyspark.sql import functions as F
 from quarry.functions import vectors as fn
 from quarry.operators import evaluate, matrix, neighbours, ridge
 from quarry.plans.lineage import materialize
-from quarry.queries.views import DN
+from quarry.plans.numbering import numbered
+from quarry.queries.views import DN, DN_ANY, DN_LABEL
 from quarry.sources import files, tables
 
 DIM, K, MAX_K, LAM, SWEEPS = 49, 5, 20, 1.0, 3
 
 
-def _dense(s: SparkSession, d: str) -> DataFrame:
-    return materialize(tables.dense_vectors(s.read.parquet(f"{d}/dense_labelled.parquet"), DIM), "dense")
+def _dense(s: SparkSession, d: str, need: tuple[str, ...] = ("label", "split")) -> DataFrame:
+    return materialize(tables.dense_vectors(s.read.parquet(f"{d}/dense_labelled.parquet"), DIM, need=need), "dense")
+
+
+def _any(s: SparkSession, d: str) -> DataFrame:
+    """All usable vectors, whatever their label and split."""
+    return _dense(s, d, ())
+
+
+def _labelled(s: SparkSession, d: str) -> DataFrame:
+    return _dense(s, d, ("label",))
 
 
 def _splits(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -24,10 +34,11 @@ def _splits(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 def _pairs(s: SparkSession, d: str) -> DataFrame:
-    """Each row beside the row of the next id."""
-    df = _dense(s, d)
-    b = df.select((F.col("id") - 1).alias("id"), F.col("features").alias("other"))
-    return df.select("id", "features").join(b, "id")
+    """Each row beside the row of the next id there is, the last beside the first."""
+    df = materialize(numbered(_any(s, d).select("id", "features"), ["id"], "n"), "placed")
+    n = df.count()
+    b = df.select(F.pmod(F.col("n") - 1, F.lit(max(n, 1))).alias("n"), F.col("features").alias("other"))
+    return df.join(b, "n").select("id", "features", "other")
 
 
 def _pairwise(f, digits: int = 9):
@@ -44,7 +55,7 @@ def _neighbours(by: str):
 
 
 def _self(by: str):
-    return lambda s, d: neighbours.self_match(_dense(s, d), by).select("id", "nb_id", (F.col("label") == F.col("nb_label")).alias("matched"))
+    return lambda s, d: neighbours.self_match(_labelled(s, d), by).select("id", "nb_id", (F.col("label") == F.col("nb_label")).alias("matched"))
 
 
 def knn_predict(s: SparkSession, d: str) -> DataFrame:
@@ -114,13 +125,52 @@ def xty(s: SparkSession, d: str) -> DataFrame:
 
 
 def svd_singular_values(s: SparkSession, d: str) -> DataFrame:
-    values, _ = matrix.singular_values(_dense(s, d), DIM, 20)
+    values, _ = matrix.singular_values(_any(s, d), DIM, 20)
     return s.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "k INT, value DOUBLE")
 
 
+def svd_trace(s: SparkSession, d: str) -> DataFrame:
+    """The squared singular values add up to the sum of all squared features, and the squared
+    lengths of the rows in the space of all right vectors do as well."""
+    df = _any(s, d)
+    values, _ = matrix.singular_values(df, DIM, DIM)
+    rows = matrix.svd_project(df, DIM, DIM).agg(F.coalesce(F.sum(F.aggregate("features", F.lit(0.0), lambda a, x: a + x * x)), F.lit(0.0)).alias("t")).first()["t"]
+    return s.createDataFrame([(float((values**2).sum()), float(rows))], "of_values DOUBLE, of_rows DOUBLE").select(F.round("of_values", 2).alias("of_values"), F.round("of_rows", 2).alias("of_rows"))
+
+
+def _match_counts(forms: list[tuple[str, DataFrame]], measures: tuple[str, ...]) -> DataFrame:
+    """(representation, measure, matched, n): rows whose nearest other row has their label."""
+    out = None
+    for name, df in forms:
+        for by in measures:
+            hit = F.sum((F.col("label") == F.col("nb_label")).cast("bigint"))
+            one = neighbours.self_match(df, by).agg(F.coalesce(hit, F.lit(0)).alias("matched"), F.count("*").alias("n"))
+            one = one.select(F.lit(name).alias("representation"), F.lit(by).alias("measure"), "matched", "n")
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _means(df: DataFrame) -> DataFrame:
+    """The images at a quarter of their size: block means in reading order."""
+    m = matrix.block_mean(df, 7, 7, 4).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("br", "bc", "val"))).alias("e"))
+    return df.select("id", "label").join(m, "id").select("id", "label", F.transform("e", lambda e: e["val"]).alias("features"))
+
+
+def nn_match_counts(s: SparkSession, d: str) -> DataFrame:
+    df = _labelled(s, d)
+    return _match_counts([("values", df.select("id", "label", "features")), ("means", materialize(_means(df), "means"))], ("l2",))
+
+
+def nn_match_counts_svd(s: SparkSession, d: str) -> DataFrame:
+    """The same in the space of the top right vectors, unscaled and scaled."""
+    df = _labelled(s, d)
+    forms = [(f"{'us' if scaled else 'u'}{k}", materialize(matrix.svd_project(df, DIM, k, scaled), "reduced")) for k in (5, 10, 20, 40) for scaled in (False, True)]
+    return _match_counts(forms, ("l2", "cosine", "jaccard"))
+
+
 QUERIES = {
-    "scan_dense_labelled": lambda s, d: _dense(s, d).select("id", "label", "split", F.size("features").cast("bigint").alias("n"), F.round(F.aggregate("features", F.lit(0.0), lambda a, x: a + x), 6).alias("total")),
-    "scan_images_limit": lambda s, d: files.first_images(_dense(s, d), 50).select("id", "label"),
+    "scan_dense_labelled": lambda s, d: _any(s, d).select("id", "label", "split", F.size("features").cast("bigint").alias("n"), F.round(F.aggregate("features", F.lit(0.0), lambda a, x: a + x), 6).alias("total")),
+    "scan_images_limit": lambda s, d: files.first_images(_labelled(s, d), 50).select("id", "label"),
     "union_train_valid": lambda s, d: _splits(s, d)[0].unionByName(_splits(s, d)[1]).select("id", "label"),
     "vec_sq_euclidean": _pairwise(fn.sq_euclidean, 6),
     "vec_cosine": _pairwise(fn.cosine),
@@ -141,8 +191,8 @@ QUERIES = {
     "binarize_labels_nonneg": lambda s, d: ridge.binarized(_splits(s, d)[0], True),
     "gram_matrix": lambda s, d: matrix.gram(_splits(s, d)[0], DIM).withColumn("v", F.round("v", 4)),
     "xty": xty,
-    "transpose": lambda s, d: matrix.transposed(_dense(s, d)),
-    "block_average": lambda s, d: matrix.block_mean(_dense(s, d), 7, 7, 4).withColumn("val", F.round("val", 9)),
+    "transpose": lambda s, d: matrix.transposed(_any(s, d)),
+    "block_average": lambda s, d: matrix.block_mean(_any(s, d), 7, 7, 4).withColumn("val", F.round("val", 9)),
     "ridge_weights_fixed_sweeps": _weights(False),
     "nn_ridge_weights_fixed_sweeps": _weights(True),
     "ridge_weights": _trained(False),
@@ -160,11 +210,16 @@ QUERIES = {
     "ridge_classify": lambda s, d: ridge.classify(*_splits(s, d), dim=DIM),
     "nn_ridge_classify": lambda s, d: ridge.classify(*_splits(s, d), dim=DIM, nonneg=True),
     "svd_singular_values": svd_singular_values,
-    "svd_project": lambda s, d: matrix.svd_project(_dense(s, d), DIM, 10),
+    "svd_project": lambda s, d: matrix.svd_project(_any(s, d), DIM, 10),
+    "svd_trace": svd_trace,
+    "nn_match_counts": nn_match_counts,
+    "nn_match_counts_svd": nn_match_counts_svd,
 }
 
-_D2 = f"{DN}, v AS MATERIALIZED (SELECT id, label, split, features AS f, list_inner_product(features, features) AS q FROM dn)"
-_PAIR = f"WITH {_D2}, pr AS (SELECT a.id, a.f, b.f AS o, a.q, b.q AS p FROM v a JOIN v b ON b.id = a.id + 1)"
+_V = "v AS MATERIALIZED (SELECT id, label, split, features AS f, list_inner_product(features, features) AS q FROM dn)"
+_D2 = f"{DN}, {_V}"
+_PAIR = f"""WITH {DN_ANY}, {_V}, nx AS (SELECT *, lead(f) OVER (ORDER BY id) AS o1, lead(q) OVER (ORDER BY id) AS p1, first_value(f) OVER (ORDER BY id) AS o0, first_value(q) OVER (ORDER BY id) AS p0 FROM v),
+ pr AS (SELECT id, f, coalesce(o1, o0) AS o, q, coalesce(p1, p0) AS p FROM nx)"""
 _DOT = "list_inner_product(a.f, b.f)"
 _SCORE = {
     "l2": f"round(greatest(a.q + b.q - 2 * {_DOT}, 0), 6)",
@@ -184,7 +239,7 @@ def _nb_sql(by: str) -> str:
 
 
 def _self_sql(by: str) -> str:
-    return f"WITH {_D2}, {_rank_sql(by, 'a.id <> b.id')} SELECT id, nb_id, label = nb_label AS matched FROM rk WHERE rank = 1"
+    return f"WITH {DN_LABEL}, {_V}, {_rank_sql(by, 'a.id <> b.id')} SELECT id, nb_id, label = nb_label AS matched FROM rk WHERE rank = 1"
 
 
 _TEST = _rank_sql("jaccard", "a.split = 'test' AND b.split = 'train'")
@@ -192,7 +247,10 @@ _VALID = _rank_sql("jaccard", "a.split = 'valid' AND b.split = 'train'")
 _VOTE = f"""vt AS (SELECT id, label, nb_label, count(*) AS n FROM rk WHERE rank <= {K} GROUP BY 1, 2, 3),
  pd AS (SELECT id, label, nb_label AS pred FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC, nb_label) AS rn FROM vt) WHERE rn = 1)"""
 _BOTH = _rank_sql("jaccard", "a.split = 'test' AND b.split IN ('train', 'valid')").replace("sc ", "sc2 ").replace("rk AS", "rk2 AS").replace("FROM sc)", "FROM sc2)")
-_LONG = f"{DN}, lg AS (SELECT id, label, split, CAST(unnest(range(49)) AS INTEGER) AS dim, unnest(features) AS val FROM dn)"
+_LG = "lg AS (SELECT id, label, split, CAST(unnest(range(49)) AS INTEGER) AS dim, unnest(features) AS val FROM dn)"
+_LONG, _LONG_ANY = f"{DN}, {_LG}", f"{DN_ANY}, {_LG}"
+_NEAREST = """{0}_rk AS (SELECT a.label, b.label AS nb, row_number() OVER (PARTITION BY a.id ORDER BY round(greatest(a.q + b.q - 2 * list_inner_product(a.f, b.f), 0), 6), b.id) AS rn FROM {0} a JOIN {0} b ON a.id <> b.id)"""
+_COUNT = "SELECT '{0}' AS representation, 'l2' AS measure, CAST(coalesce(sum(CASE WHEN label = nb THEN 1 ELSE 0 END), 0) AS BIGINT) AS matched, count(*) AS n FROM {1}_rk WHERE rn = 1"
 # for dot products the rows of G are lists; weights of all labels and lambdas go through one recursion
 _STATS = f"""{_LONG}, t AS MATERIALIZED (SELECT * FROM lg WHERE split = 'train'),
  gm AS (SELECT a.dim AS i, b.dim AS j, sum(a.val * b.val) AS v FROM t a JOIN t b ON a.id = b.id GROUP BY 1, 2),
@@ -220,8 +278,8 @@ def _argmax_sql(split: str) -> str:
 
 
 SQL = {
-    "scan_dense_labelled": f"WITH {DN} SELECT id, label, split, len(features) AS n, round(list_sum(features), 6) AS total FROM dn",
-    "scan_images_limit": f"WITH {DN} SELECT id, label FROM dn ORDER BY id LIMIT 50",
+    "scan_dense_labelled": f"WITH {DN_ANY} SELECT id, label, split, len(features) AS n, round(list_sum(features), 6) AS total FROM dn",
+    "scan_images_limit": f"WITH {DN_LABEL} SELECT id, label FROM dn ORDER BY id LIMIT 50",
     "union_train_valid": f"WITH {DN} SELECT id, label FROM dn WHERE split IN ('train', 'valid')",
     "vec_sq_euclidean": f"{_PAIR} SELECT id, round(q + p - 2 * list_inner_product(f, o), 6) AS value FROM pr",
     "vec_cosine": f"{_PAIR} SELECT id, round(list_inner_product(f, o) / (sqrt(q) * sqrt(p)), 9) AS value FROM pr",
@@ -244,8 +302,12 @@ SQL = {
     "binarize_labels_nonneg": f"WITH {DN}, t AS (SELECT * FROM dn WHERE split = 'train') SELECT id, l.target, CASE WHEN label = target THEN 1 ELSE 0 END AS y FROM t, (SELECT DISTINCT label AS target FROM t) l",
     "gram_matrix": f"WITH {_STATS} SELECT i, j, round(v, 4) AS v FROM gm",
     "xty": f"WITH {_STATS} SELECT label, i AS dim, round(2 * v - s, 6) AS v FROM ls JOIN tot USING (i)",
-    "transpose": f"WITH {_LONG} SELECT dim, id, val FROM lg",
-    "block_average": f"WITH {_LONG} SELECT id, CAST((dim // 7) // 4 AS INTEGER) AS br, CAST((dim % 7) // 4 AS INTEGER) AS bc, round(avg(val), 9) AS val FROM lg GROUP BY 1, 2, 3",
+    "transpose": f"WITH {_LONG_ANY} SELECT dim, id, val FROM lg",
+    "block_average": f"WITH {_LONG_ANY} SELECT id, CAST((dim // 7) // 4 AS INTEGER) AS br, CAST((dim % 7) // 4 AS INTEGER) AS bc, round(avg(val), 9) AS val FROM lg GROUP BY 1, 2, 3",
+    "svd_trace": f"WITH {DN_ANY}, t AS (SELECT coalesce(sum(list_inner_product(features, features)), 0) AS t FROM dn) SELECT round(t, 2) AS of_values, round(t, 2) AS of_rows FROM t",
+    "nn_match_counts": f"""WITH {DN_LABEL}, {_V}, {_LG}, bm AS (SELECT id, any_value(label) AS label, (dim // 7) // 4 AS br, (dim % 7) // 4 AS bc, avg(val) AS val FROM lg GROUP BY id, br, bc),
+ mf AS (SELECT id, any_value(label) AS label, list(val ORDER BY br, bc) AS f FROM bm GROUP BY id), mv AS MATERIALIZED (SELECT *, list_inner_product(f, f) AS q FROM mf),
+ {_NEAREST.format("v")}, {_NEAREST.format("mv")} {_COUNT.format("values", "v")} UNION ALL {_COUNT.format("means", "mv")}""",
     "ridge_weights_fixed_sweeps": f"{_descent_sql(False, _ONE)} SELECT label, CAST(unnest(range(49)) AS INTEGER) AS dim, round(unnest(w), 9) AS w FROM wt",
     "nn_ridge_weights_fixed_sweeps": f"{_descent_sql(True, _ONE)} SELECT label, CAST(unnest(range(49)) AS INTEGER) AS dim, round(unnest(w), 9) AS w FROM wt",
     "ridge_predict": f"{_descent_sql(False, _ONE)}, {_argmax_sql('test')} SELECT id, label, pred FROM pd",

@@ -71,6 +71,29 @@ def apriori_candidates(s: SparkSession, d: str) -> DataFrame:
     return ops.join_candidates(_sets(s, d)).select(_key("items"))
 
 
+def rule_counts(s: SparkSession, d: str) -> DataFrame:
+    """Itemsets, candidate splits and rules."""
+    sets = _sets(s, d)
+    n = lambda df, name: df.agg(F.count("*").alias(name))
+    counts = n(sets, "n_itemsets").crossJoin(n(ops.rule_splits(sets), "n_candidates"))  # one row each
+    return counts.crossJoin(n(ops.association_rules(sets, CONF), "n_rules"))
+
+
+def encoded_baskets(s: SparkSession, d: str) -> DataFrame:
+    """Transactions in the codes of the item dictionary."""
+    p = _pairs(s, d)
+    return ops.encoded(p, ops.item_dictionary(p)).groupBy("tid").agg(F.sort_array(F.collect_list("code")).alias("codes")).select("tid", _key("codes"))
+
+
+def decoded_itemsets(s: SparkSession, d: str) -> DataFrame:
+    """Itemsets mined on codes, as items again."""
+    p = _pairs(s, d)
+    words = materialize(ops.item_dictionary(p), "dictionary")
+    coded = materialize(ops.encoded(p, words).select("tid", F.col("code").alias("item")), "coded")
+    sets = materialize(ops.frequent_itemsets(coded, _supp(p)), "itemsets")
+    return ops.decoded(sets, words).select(_key("items"), "freq")
+
+
 QUERIES = {
     "scan_transactions": scan_transactions,
     "baskets_sorted": lambda s, d: tables.baskets(_pairs(s, d)).select("tid", _key("items")),
@@ -84,6 +107,9 @@ QUERIES = {
     "rule_lhs": rule_lhs,
     "format_rules": format_rules,
     "apriori_candidates": apriori_candidates,
+    "rule_counts": rule_counts,
+    "encoded_baskets": encoded_baskets,
+    "decoded_itemsets": decoded_itemsets,
 }
 
 _F = f"""{TX}, lim AS (SELECT greatest(2, CAST(ceil({SHARE} * count(DISTINCT tid)) AS BIGINT)) AS m FROM tx),
@@ -101,10 +127,11 @@ def _levels(top: int) -> str:
     return ", ".join(parts) + ", fi AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT items, freq FROM l{k}" for k in range(1, top + 1)) + ")"
 
 
-_FI = f"WITH {_F}, {_levels(8)}"
+_FI = f"WITH {_F}, {_levels(10)}"
 _SPLIT = """, sp AS (SELECT items, freq, list_filter(items, lambda x, i: (mask >> (i - 1)) & 1 = 1) AS rhs, list_filter(items, lambda x, i: (mask >> (i - 1)) & 1 = 0) AS lhs
  FROM (SELECT items, freq, unnest(range(1, (1 << len(items)) - 1)) AS mask FROM fi WHERE len(items) > 1)),
- rl AS (SELECT sp.lhs, sp.rhs, sp.freq AS support, sp.freq / fi.freq AS confidence FROM sp JOIN fi ON sp.lhs = fi.items)"""
+ fk AS MATERIALIZED (SELECT array_to_string(items, '|') AS k, freq FROM fi), sk AS MATERIALIZED (SELECT lhs, rhs, freq, array_to_string(lhs, '|') AS k FROM sp),
+ rl AS (SELECT sk.lhs, sk.rhs, sk.freq AS support, sk.freq / fk.freq AS confidence FROM sk JOIN fk USING (k))"""
 _S = "array_to_string({0}, '|') AS {0}"
 
 SQL = {
@@ -120,6 +147,10 @@ SQL = {
     "rule_lhs": f"{_FI}{_SPLIT} SELECT {_S.format('items')}, {_S.format('rhs')}, {_S.format('lhs')} FROM sp",
     "format_rules": f"""{_FI}{_SPLIT} SELECT array_to_string(lhs, ' ') || ' | ' || array_to_string(rhs, ' ') || ' | ' || support || ' | ' || printf('%.4f', round(confidence, 4)) AS line
  FROM rl WHERE confidence > {CONF}""",
-    "apriori_candidates": f"""{_FI} SELECT array_to_string(list_append(a.items, b.items[-1]), '|') AS items FROM fi a JOIN fi b
- ON len(a.items) = len(b.items) AND a.items[:-2] = b.items[:-2] AND a.items[-1] < b.items[-1]""",
+    "apriori_candidates": f"""{_FI}, hd AS MATERIALIZED (SELECT len(items) || ':' || array_to_string(items[:-2], '|') AS head, items, items[-1] AS tail FROM fi)
+ SELECT array_to_string(list_append(a.items, b.tail), '|') AS items FROM hd a JOIN hd b ON a.head = b.head WHERE a.tail < b.tail""",
+    "rule_counts": f"""{_FI}{_SPLIT} SELECT (SELECT count(*) FROM fi) AS n_itemsets, (SELECT count(*) FROM sp) AS n_candidates, (SELECT count(*) FROM rl WHERE confidence > {CONF}) AS n_rules""",
+    "encoded_baskets": f"""WITH {TX}, dc AS (SELECT item, row_number() OVER (ORDER BY n DESC, item) AS code FROM (SELECT item, count(*) AS n FROM tx GROUP BY item))
+ SELECT tid, array_to_string(list_sort(list(code)), '|') AS codes FROM tx JOIN dc USING (item) GROUP BY tid""",
+    "decoded_itemsets": f"{_FI} SELECT {_S.format('items')}, freq FROM fi",
 }

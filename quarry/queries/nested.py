@@ -56,6 +56,8 @@ _BODY = _plain("regexp_extract(r, '(?is)<body>(.*?)</body>', 1)")
 
 SQL: dict[str, str] = {
     "extract_markup": f"""WITH {_REC}, en AS ({_ENTRIES}) SELECT newid, array_to_string(l, '|') AS topics, nullif({_BODY}, '') AS body FROM one JOIN en USING (newid) WHERE tag = 'topics'""",
+    "p2_records": f"""WITH {_REC}, pl AS (SELECT file_id, no, CAST(row_number() OVER (PARTITION BY file_id ORDER BY no) - 1 AS INTEGER) AS record_no FROM rec)
+ SELECT newid, file_id AS file_key, record_no, lewissplit FROM one JOIN pl USING (file_id, no)""",
     "p2_found": f"""WITH {_REC}, en AS ({_ENTRIES}), el AS ({_TEXTS}) SELECT newid, 'reuters' AS tag, 0 AS seq_no, lewissplit AS entry FROM one
  UNION ALL SELECT newid, tag, CAST(unnest(range(1, len(l) + 1)) AS INTEGER), unnest(l) FROM en UNION ALL SELECT newid, tag, 1, entry FROM el WHERE entry <> ''""",
 }

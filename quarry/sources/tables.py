@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.plans.numbering import one_row_per_key
+
 
 def transactions(df: DataFrame, tid: str = "tid", item: str = "item") -> DataFrame:
     """(tid, item): distinct pairs with a tid and a positive item."""
@@ -41,15 +43,16 @@ def usable(v: Column, dim: int) -> Column:
     return (F.size(v) == dim) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x)) & F.exists(v, lambda x: x != 0)
 
 
-def dense_vectors(df: DataFrame, dim: int = 49, vec: str = "features") -> DataFrame:
-    """(id, label, features, split): usable vectors with a label and a split, one row an id."""
-    good = df.where(F.col("id").isNotNull() & F.col("label").isNotNull() & F.col("split").isNotNull() & usable(F.col(vec), dim))
+def dense_vectors(df: DataFrame, dim: int = 49, vec: str = "features", need: tuple[str, ...] = ("label", "split")) -> DataFrame:
+    """(id, label, features, split): usable vectors, one row an id; rows without one of ``need`` are dropped."""
+    good = df.where(F.col("id").isNotNull() & usable(F.col(vec), dim)).na.drop(subset=list(need)) if need else df.where(F.col("id").isNotNull() & usable(F.col(vec), dim))
     one = good.groupBy("id").agg(F.min(F.struct("label", F.col(vec).cast("array<double>").alias("features"), "split")).alias("s"))
     return one.select("id", "s.*")
 
 
 def articles(df: DataFrame) -> DataFrame:
-    """(newid, topics, body): one row an article, topics as its distinct non-empty topics."""
+    """(newid, topics, body): one row an article, topics as its distinct non-empty topics. Only the
+    rows of articles that come more than once are grouped, so no other body moves."""
     topics = F.array_sort(F.array_distinct(F.filter(F.transform(F.coalesce("topics", F.array().cast("array<string>")), lambda t: F.trim(t)), lambda t: t.isNotNull() & (t != ""))))
-    one = df.where("newid IS NOT NULL").groupBy("newid").agg(F.min(F.struct(topics.alias("topics"), "body")).alias("s"))
+    one = one_row_per_key(df.select("newid", F.struct(topics.alias("topics"), "body").alias("s")), "newid", "s")
     return one.select("newid", "s.topics", "s.body")
