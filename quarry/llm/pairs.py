@@ -11,8 +11,9 @@ Inside a block of whole baskets
 
 With a minimum count T, items below it are dropped before any exchange (exact: a pair is
 never more frequent than its items), and a first pass keeps only pairs that reach their
-proportional share of T in at least one block. Every pair that reaches T does so, so the
-second pass, which counts the kept pairs in all blocks, loses none.
+proportional share of T in at least one block, or among the baskets that are too large for a
+block. Every pair that reaches T does so, so the second pass, which counts the kept pairs in all
+blocks, loses none. It takes the kept pairs in groups of ``GROUP``, one pass over the blocks each.
 
 Defined results: null baskets, null items and items below ``min_item`` are ignored, lines
 repeated in a basket count once, an empty table gives no pairs. A basket with more than
@@ -29,11 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.plans.lineage import broadcast_if_small, materialize
+from quarry.plans.lineage import broadcast_if_small, materialize, release
 
 HEAVY = 64
 BLOCK_ITEMS = 1_000_000
-MAX_CANDIDATES = 2_000_000
+GROUP = 2_000_000  # candidate pairs counted in one pass, 8 bytes each: a bound that does not grow
 
 
 def tree_baskets(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -42,7 +43,7 @@ def tree_baskets(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Paths come from pointer doubling: after round r a node knows its 2**r nearest items, so
     the depth d takes log2(d) joins. Repeated nodes count once (the smallest row of a node_id);
-    a node whose parent is missing starts its own path.
+    a node whose parent is missing starts its own path. Parents that form a circle are an error.
     """
     one = nodes.where("node_id IS NOT NULL AND node_count IS NOT NULL").groupBy("node_id").agg(
         F.min(F.struct("parent_id", "item", "node_count")).alias("s")
@@ -56,11 +57,17 @@ def tree_baskets(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
         "node_id", F.col("parent_id").alias("up"), F.when(F.col("item") >= 1, F.array(F.col("item").cast("int"))).otherwise(empty).alias("items")
     ).join(ends, "node_id")
     path = materialize(path, "path")
+    left = one.count().bit_length() + 1  # doublings that the longest path can take
     while path.where("up IS NOT NULL").limit(1).count():
+        left -= 1
+        if left < 0:
+            raise ValueError("the parents of some nodes form a circle")
+        last = path
         above = path.select(F.col("node_id").alias("up"), F.col("up").alias("up2"), F.col("items").alias("more"))
         path = materialize(
             path.join(above, "up", "left").select("node_id", F.col("up2").alias("up"), F.concat("items", F.coalesce("more", empty)).alias("items"), "w"), "path"
         )
+        release(last)
     rows = path.where("w > 0").select(F.col("node_id").alias("bid"), F.explode(F.array_distinct("items")).alias("item"), "w")
     return rows, total
 
@@ -135,9 +142,9 @@ def _count_block(values: np.ndarray, sizes: np.ndarray, weight: np.ndarray, heav
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def _pair_pass(sets: DataFrame, heavy: np.ndarray, share: float, kept: np.ndarray | None, singles: bool) -> DataFrame:
-    """(item_a, item_b, n) of every block: pairs with n >= ``share`` times the block's weight, or
-    with a code in ``kept``; with ``singles`` also each item's count as (a, a, n)."""
+def _pair_pass(sets: DataFrame, heavy: np.ndarray, need: int, total: int, kept, singles: bool) -> DataFrame:
+    """(item_a, item_b, n) of every block: pairs with n at least ``need / total`` of the block's weight,
+    or with a code in the broadcast ``kept``; with ``singles`` also each item's count as (a, a, n)."""
 
     def rows(sizes: list, values: list, weights: list) -> pa.RecordBatch | None:
         size, value, weight = np.concatenate(sizes), np.concatenate(values).astype(np.int64), np.concatenate(weights)
@@ -146,10 +153,12 @@ def _pair_pass(sets: DataFrame, heavy: np.ndarray, share: float, kept: np.ndarra
         a, b, n = _count_block(value, size, weight, heavy)
         if kept is not None:
             code = (a << 32) | b
-            at = np.minimum(np.searchsorted(kept, code), max(len(kept) - 1, 0))
-            keep = kept[at] == code if len(kept) else np.zeros(len(code), bool)
+            wanted = kept.value
+            at = np.minimum(np.searchsorted(wanted, code), max(len(wanted) - 1, 0))
+            keep = wanted[at] == code if len(wanted) else np.zeros(len(code), bool)
         else:
-            keep = n >= share * weight.sum()
+            least = -(-need * int(weight.sum()) // total)  # in whole numbers: n * total >= need * weight
+            keep = n >= least
         a, b, n = a[keep], b[keep], n[keep]
         if singles:
             u, inv = np.unique(value, return_inverse=True)
@@ -230,13 +239,28 @@ def cooccurrence(
     # what is left holds at most ``big`` items in any basket, so gathering a basket is bounded
     sets = lines.groupBy("kind", "bid").agg(F.collect_set("item").alias("items"), F.max("w").alias("w"))
     sets = materialize(sets.select("items", "w"), "sets")
-    kept = None
-    if need > 1 and large is None:
-        cand = _pair_pass(sets, heavy, need / total, None, False).select("item_a", "item_b").distinct().limit(MAX_CANDIDATES + 1)
-        got = cand.toPandas()
-        if len(got) <= MAX_CANDIDATES:
-            kept = np.sort((got["item_a"].to_numpy(np.int64) << 32) | got["item_b"].to_numpy(np.int64))
-    found = _pair_pass(sets, heavy, 0.0, kept, True)
+    code = (F.shiftleft(F.col("item_a").cast("bigint"), 32).bitwiseOR(F.col("item_b").cast("bigint"))).alias("code")
+    if large is not None:
+        large = materialize(large, "large")
+        single = materialize(single, "single")
+    if need > 1:
+        cand = _pair_pass(sets, heavy, need, total, None, False).select(code)
+        if large is not None:
+            share = -(-need * sizes.count() // total)
+            cand = cand.unionByName(large.where(F.col("n") >= share).select(code))
+        cand = materialize(cand.distinct(), "candidates")
+        groups = max(1, math.ceil(cand.count() / GROUP))
+        found = None
+        for g in range(groups):
+            mine = cand.where(F.pmod(F.xxhash64("code"), F.lit(groups)) == g) if groups > 1 else cand
+            kept = baskets.sparkSession.sparkContext.broadcast(np.sort(mine.toPandas()["code"].to_numpy(np.int64)))
+            part = materialize(_pair_pass(sets, heavy, need, total, kept, g == 0), "counts")
+            kept.destroy()
+            found = part if found is None else found.unionByName(part)
+        if large is not None:
+            large = large.withColumn("code", code).join(cand, "code", "left_semi").drop("code")
+    else:
+        found = _pair_pass(sets, heavy, 0, 1, None, True)
     if large is not None:
         found = found.unionByName(large).unionByName(single.select(F.col("item").alias("item_a"), F.col("item").alias("item_b"), "n"))
     sums = materialize(found.groupBy("item_a", "item_b").agg(F.sum("n").alias("n_ab")), "sums")

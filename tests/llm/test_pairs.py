@@ -55,10 +55,13 @@ def test_min_count_loses_nothing(spark, need, monkeypatch):
     assert got == want and want
 
 
-def test_too_many_candidates_count_all(spark, monkeypatch):
-    monkeypatch.setattr(p, "MAX_CANDIDATES", 3)
+@pytest.mark.parametrize("big", [20_000, 5])
+def test_candidates_in_groups(spark, monkeypatch, big):
+    """More candidates than one pass takes, with and without baskets too large for a block."""
+    monkeypatch.setattr(p, "GROUP", 30)
+    monkeypatch.setattr(p, "BLOCK_ITEMS", 300)
     sets = made(2)
-    got = result(p.cooccurrence(lines(spark, sets), min_count=6))
+    got = result(p.cooccurrence(lines(spark, sets), min_count=6, big=big))
     assert got == {k: v for k, v in brute([(s, 1) for s in sets.values()]).items() if v[0] >= 6}
 
 
@@ -74,6 +77,12 @@ def test_trees(spark):
     assert got == brute([(s, 1) for s in base.values()] + trees)
 
 
+def test_circle_of_parents_raises(spark):
+    df = spark.createDataFrame([(1, 1, 2, 5, 3), (1, 2, 1, 6, 3)], "tree_no INT, node_id BIGINT, parent_id BIGINT, item INT, node_count BIGINT")
+    with pytest.raises(ValueError, match="circle"):
+        p.cooccurrence(lines(spark, made(3, 5)), df)
+
+
 def test_long_paths(spark):
     nodes = [(1, 0, None, None, 1)] + [(1, i, i - 1, i, 1) for i in range(1, 40)]
     df = spark.createDataFrame(nodes, "tree_no INT, node_id BIGINT, parent_id BIGINT, item INT, node_count BIGINT")
