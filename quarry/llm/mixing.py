@@ -91,11 +91,11 @@ def running_total(df: DataFrame, order: list[str], value: str, name: str) -> Dat
     parts = materialize(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranged")
     start, at = [], 0
     for r in sorted(parts.groupBy("_part").agg(F.sum(value).alias("v")).collect(), key=lambda r: r["_part"]):
-        start += [F.lit(r["_part"]), F.lit(at)]
+        start.append((r["_part"], at))
         at += r["v"]
-    base = F.create_map(*start)[F.col("_part")] if start else F.lit(0)
+    base = F.broadcast(df.sparkSession.createDataFrame(start, "_part INT, _base BIGINT"))  # one row a partition
     w = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return parts.withColumn(name, (base + F.sum(value).over(w)).cast("bigint")).drop("_part")
+    return parts.withColumn(name, F.sum(value).over(w)).join(base, "_part").withColumn(name, (F.col("_base") + F.col(name)).cast("bigint")).drop("_part", "_base")
 
 
 def _targets(targets: DataFrame) -> dict[str, tuple[float, int]]:
@@ -118,16 +118,16 @@ def _table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
 
 
 def mix_sources(
-    docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, max_short: float = 0.2, vocabulary: str = VOCABULARY, seed: int = 17, doc_id: str = "doc_id", text: str = "text", source: str = "source"
+    docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, vocabulary: str = VOCABULARY, seed: int = 17, doc_id: str = "doc_id", text: str = "text", source: str = "source"
 ) -> tuple[DataFrame, DataFrame]:
     """(draw, report).
 
     ``draw`` has (doc_id, source, copy_no, n_tokens, finish_time, tokens_so_far), one row for each
     use of a document; ``report`` one row per target source with target and actual share, tokens
-    available and drawn, documents and highest repeat, and whether the source was used up.
-    ``total_tokens`` is the budget; None takes the tokens of all documents of target sources, or as
-    much less as keeps the targets: sources that run out (or are absent) may weigh ``max_short``
-    together, and the draw ends before the next one would.
+    available and drawn, the tokens it falls short of its target share of the draw, documents and
+    highest repeat, and whether the source was used up. ``total_tokens`` is the budget; None takes
+    the tokens of all documents of target sources. Sources that end at their cap, or are absent, fall
+    short by what the report says, and the others go on in their proportions.
     """
     spark = docs.sparkSession
     want = _targets(targets)
@@ -145,12 +145,6 @@ def mix_sources(
     budget = total_tokens
     if budget is None:
         budget = sum(t for _, t, _ in have.values())
-        short = 1 - sum(w for w, _, _ in live.values())
-        for end, w in sorted((cap / w, w) for w, cap, _ in live.values()):
-            short += w
-            if short > max_short + 1e-9:  # this source may not run out
-                budget = min(budget, int(sum(min(w * end, cap) for w, cap, _ in live.values())))
-                break
     # virtual time at which the fluid draw reaches the budget; the real draw is at most one
     # document per source later
     cut, served = 0.0, 0.0
@@ -189,6 +183,7 @@ def mix_sources(
         "source", "target_share", "max_repeats", "docs_available", "tokens_available",
         F.coalesce("docs", F.lit(0)).alias("docs_drawn"), F.coalesce("most_used", F.lit(0)).alias("most_used"), tokens.alias("tokens_drawn"),
         F.coalesce(tokens / F.nullif(F.sum(tokens).over(whole), F.lit(0)), F.lit(0.0)).alias("actual_share"),
+        F.greatest(F.round(F.col("target_share") * F.coalesce(F.sum(tokens).over(whole), F.lit(0))).cast("bigint") - tokens, F.lit(0)).alias("tokens_short"),
         (F.coalesce("uses", F.lit(0)) >= F.col("docs_available") * F.col("max_repeats")).alias("used_up"),
     )
     return drawn, report
