@@ -1,13 +1,14 @@
 """Evaluation passages inside a corpus: suffix arrays over corpus shards.
 
-The corpus is cut into shards of whole documents. A shard's words become one integer
-sequence over the evaluation vocabulary (a word that occurs in no item gets a code of its
-own kind that matches nothing), its suffixes are sorted to the passage length by prefix
-doubling, and every suffix of every item is binary-searched in that order. Positions
-between the two bounds are the verbatim matches; they are extended to their longest length.
+The corpus is cut into shards of whole documents. A shard's words become one sequence of word
+codes (63-bit hashes, so the order of a shard does not depend on the items), and all its suffixes
+are sorted to the passage length at least: its suffix array. Every suffix of every item is then
+binary-searched in it. Between the two bounds lie all places that hold its first words verbatim;
+they are extended to their longest length.
 
-The evaluation side is broadcast in groups of items of at most ``GROUP_WORDS`` words, a bound
-that does not grow with the data; more items mean more groups, each passed over all shards.
+Items are searched in groups of at most ``GROUP_WORDS`` words, ``AT_ONCE`` groups a pass. A pass reads
+the corpus once, sorts each shard once and searches all its groups there; its groups are released
+before the next pass. None of these bounds grows with the data; more items mean more passes.
 
 Words are maximal runs of Unicode letters or digits, lower-cased. An item shorter than the
 passage length matches as a whole. Null, empty and wordless texts and items match nothing;
@@ -16,101 +17,115 @@ repeated ids give one row; an empty table gives no rows.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
-from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.plans.lineage import materialize
+
 WORD = re.compile(r"[^\W_]+")
 SHARD_WORDS = 1_000_000
-GROUP_WORDS = 2_000_000
+GROUP_WORDS = 500_000
+AT_ONCE = 4
+KNOWN = 1_000_000  # distinct words whose codes a task remembers
 
 
 def words(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-class Probes:
-    """All items of a group, prepared for searching: vocabulary, code sequence, passages."""
-
-    def __init__(self, ids: list[int], lists: list[list[str]], length: int) -> None:
-        self.length = length
-        self.vocab: dict[str, int] = {}
-        for ws in lists:
-            for w in ws:
-                self.vocab.setdefault(w, len(self.vocab) + 1)
-        self.codes = np.array([self.vocab[w] for ws in lists for w in ws], np.int32)
-        self.ids = np.array(ids)
-        sizes = np.array([len(ws) for ws in lists], int)
-        ends = np.cumsum(sizes)
-        at, item, span = [], [], []
-        for i, (n, e) in enumerate(zip(sizes.tolist(), ends.tolist())):
-            k = max(1, n - length + 1) if n else 0
-            at.append(np.arange(e - n, e - n + k))
-            item.append(np.full(k, i))
-            span.append(np.full(k, min(n, length)))
-        self.at, self.item, self.span = (np.concatenate(x) if x else np.empty(0, int) for x in (at, item, span))
-
-
-class Suffixes:
-    """Ranks of the suffixes of one shard and of the probes, by prefix doubling.
-
-    ``rank(s)`` ranks suffixes by their first ``s`` words; equal ranks, equal prefixes. A corpus
-    suffix whose prefix begins no probe gets -1 and takes no further part, so each doubling
-    sorts only the suffixes that may still match."""
-
-    def __init__(self, codes: np.ndarray, probe_codes: np.ndarray) -> None:
-        self.offset = len(codes) + 1
-        self.known = {1: np.concatenate([codes, [-1], probe_codes, [-1]]).astype(np.int64)}
-
-    def _join(self, rank: np.ndarray, shift: int) -> np.ndarray:
-        at = np.flatnonzero(rank[: len(rank) - shift] >= 0)
-        at = at[rank[at + shift] >= 0]
-        out = np.full(len(rank), -1, np.int64)
-        if len(at):
-            u, inv = np.unique(rank[at] * (int(rank.max()) + 1) + rank[at + shift], return_inverse=True)
-            probed = np.zeros(len(u), bool)
-            probed[inv[at >= self.offset]] = True
-            out[at] = np.where(probed[inv], inv, -1)
-        return out
-
-    def rank(self, s: int) -> np.ndarray:
-        if s not in self.known:
-            p = 1 << (s.bit_length() - 1)
-            self.known[s] = self._join(self.rank(p // 2), p // 2) if s == p else self._join(self.rank(p), s - p)
-        return self.known[s]
-
-
-def search_shard(codes: np.ndarray, bounds: np.ndarray, probes: Probes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(document number, item number, word position in the document, matched words).
-
-    ``codes`` holds the shard's documents, each followed by a code that matches nothing;
-    ``bounds`` their starts. Corpus and probe suffixes are ranked in one sequence, so the
-    binary search of a probe compares ranks instead of words."""
-    out: list[tuple[np.ndarray, ...]] = []
-    suffixes = Suffixes(codes, probes.codes)
-    for span in np.unique(probes.span).tolist():
-        mine = np.flatnonzero(probes.span == span)
-        rank = suffixes.rank(span)
-        order = np.flatnonzero(rank[: len(codes)] >= 0)
-        order = order[np.argsort(rank[order], kind="stable")]  # the shard's suffix array to this depth
-        ranked = rank[order]
-        want = rank[suffixes.offset + probes.at[mine]]
-        lo, hi = np.searchsorted(ranked, want, "left"), np.searchsorted(ranked, want, "right")
-        n = hi - lo
-        if not n.sum():
-            continue
-        pos = order[np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())]
-        probe = np.repeat(mine, n)
-        doc = np.searchsorted(bounds, pos, "right") - 1
-        out.append((doc, probes.item[probe], pos - bounds[doc], probes.span[probe], pos - probes.at[probe]))
-    if not out:
+def code_of(word: str) -> int:
+    """63 bits of a hash; never the code that ends a document, which is -1."""
+    return int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") >> 1
+
+
+def probes_of(ids: list[int], lists: list[list[str]], length: int) -> tuple[np.ndarray, ...]:
+    """A group of items for searching: (ids, codes, item, place in the codes, span) with one entry of
+    the last three for every suffix of at least a passage, or for the whole of a shorter item."""
+    codes = np.array([code_of(w) for ws in lists for w in ws], np.int64)
+    ends = np.cumsum([len(ws) for ws in lists])
+    at, item, span = [], [], []
+    for i, (ws, e) in enumerate(zip(lists, ends.tolist())):
+        n = len(ws)
+        k = max(1, n - length + 1) if n else 0
+        at.append(np.arange(e - n, e - n + k))
+        item.append(np.full(k, i))
+        span.append(np.full(k, min(n, length)))
+    return np.array(ids, np.int64), codes, *(np.concatenate(x) if x else np.empty(0, int) for x in (item, at, span))
+
+
+def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
+    """Starts of all suffixes in the order of their first ``depth`` words or more.
+
+    Ranks by one word come first; then as many ranks as a 64-bit word holds make the ranks by that
+    many times more words, until the depth is reached."""
+    n = len(codes)
+    rank = np.unique(codes, return_inverse=True)[1].astype(np.int64) + 1  # 0: behind the end
+    known = 1
+    while known < depth:
+        bits = int(rank.max(initial=1)).bit_length()
+        times = max(2, min(62 // bits, -(-depth // known)))
+        key = np.zeros(n, np.int64)
+        for j in range(times):
+            part = np.zeros(n, np.int64)
+            part[: max(n - j * known, 0)] = rank[j * known :]
+            key = (key << bits) | part
+        known *= times
+        if known >= depth:
+            return np.argsort(key, kind="stable")
+        rank = np.unique(key, return_inverse=True)[1].astype(np.int64) + 1
+    return np.argsort(rank, kind="stable")
+
+
+def _bounds(codes: np.ndarray, order: np.ndarray, probe: np.ndarray, at: np.ndarray, span: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and behind-last place in the suffix array of the suffixes that begin with each probe's
+    words: all probes are searched at once, word by word where the first ones are equal."""
+    got = []
+    for upper in (False, True):
+        lo, hi = np.zeros(len(at), np.int64), np.full(len(at), len(order), np.int64)
+        while True:
+            live = np.flatnonzero(lo < hi)
+            if not len(live):
+                break
+            mid = (lo[live] + hi[live]) >> 1
+            pos, want, left = order[mid], at[live], span[live]
+            sign = np.zeros(len(live), np.int64)  # of the suffix against the probe
+            same = np.arange(len(live))
+            for j in range(int(span.max())):
+                same = same[left[same] > j]
+                if not len(same):
+                    break
+                place = pos[same] + j
+                a = np.where(place < len(codes), codes[np.minimum(place, len(codes) - 1)], -2)
+                b = probe[want[same] + j]
+                sign[same] = np.where(a < b, -1, np.where(a > b, 1, 0))
+                same = same[a == b]
+            right = sign < 0 if not upper else sign <= 0
+            lo[live] = np.where(right, mid + 1, lo[live])
+            hi[live] = np.where(right, hi[live], mid)
+        got.append(lo)
+    return got[0], got[1]
+
+
+def search_shard(codes: np.ndarray, order: np.ndarray, bounds: np.ndarray, group: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document number, item number, word position in the document, matched words) of one group of
+    items in a shard: ``codes`` holds its documents, each followed by -1, ``bounds`` their starts."""
+    _, probe, items, at, span = group
+    if not len(at) or not len(codes):
+        return (np.empty(0, int),) * 4
+    lo, hi = _bounds(codes, order, probe, at, span)
+    n = hi - lo
+    if not n.sum():
         return (np.empty(0, int),) * 4
-    doc, item, pos, span, diagonal = (np.concatenate(x) for x in zip(*out))
+    pos = order[np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())]
+    which = np.repeat(np.arange(len(at)), n)
+    doc, item, span, diagonal = np.searchsorted(bounds, pos, "right") - 1, items[which], span[which], pos - at[which]
+    pos = pos - bounds[doc]
     # windows on one diagonal that follow each other are one passage, extended to its full length
     o = np.lexsort((pos, diagonal, item, doc))
     doc, item, pos, span, diagonal = doc[o], item[o], pos[o], span[o], diagonal[o]
@@ -126,46 +141,64 @@ def passages(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: st
     at its longest, with its word position in the document (from 0)."""
     spark = docs.sparkSession
     asked = items.where(F.col(item_id).isNotNull() & (F.length(item_text) > 0)).select(F.col(item_id).cast("bigint").alias("i"), F.col(item_text).cast("string").alias("t")).distinct()
-    groups: list[Probes] = []
-    ids, lists, held = [], [], 0
-    for r in asked.toLocalIterator():
+    corpus = docs.where(F.col(doc_id).isNotNull() & (F.length(text) > 0)).select(F.col(doc_id).cast("bigint").alias("d"), F.col(text).cast("string").alias("t"))
+    schema = "doc_id BIGINT, item_id BIGINT, doc_pos BIGINT, n_words BIGINT"
+    found = None
+    for groups in _passes(asked.toLocalIterator(), length):
+        shared = spark.sparkContext.broadcast(groups)  # plain arrays travel, not a class executors may lack
+        part = materialize(corpus.mapInPandas(_searcher(shared, length), schema), "passages")
+        shared.destroy()
+        found = part if found is None else found.unionByName(part)
+    return spark.createDataFrame([], schema) if found is None else found
+
+
+def _passes(rows: Iterator, length: int) -> Iterator[list[tuple[np.ndarray, ...]]]:
+    """The groups of each pass; only those of one pass are held."""
+    groups, ids, lists, held = [], [], [], 0
+    for r in rows:
         ws = words(r["t"])
         if held and held + len(ws) > GROUP_WORDS:
-            groups.append(Probes(ids, lists, length))
+            groups.append(probes_of(ids, lists, length))
             ids, lists, held = [], [], 0
+            if len(groups) == AT_ONCE:
+                yield groups
+                groups = []
         ids.append(r["i"])
         lists.append(ws)
         held += len(ws)
-    groups.append(Probes(ids, lists, length))
-    corpus = docs.where(F.col(doc_id).isNotNull() & (F.length(text) > 0)).select(F.col(doc_id).cast("bigint").alias("d"), F.col(text).cast("string").alias("t"))
-    schema = "doc_id BIGINT, item_id BIGINT, doc_pos BIGINT, n_words BIGINT"
-    parts = [corpus.mapInPandas(_searcher(spark.sparkContext.broadcast(vars(g))), schema) for g in groups]
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    return found
+    if held:
+        groups.append(probes_of(ids, lists, length))
+    if groups:
+        yield groups
 
 
-def _searcher(shared):
+def _searcher(shared, length: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        probes = SimpleNamespace(**shared.value)  # plain arrays travel, not a class executors may lack
+        groups = shared.value
         ids, codes, starts, held = [], [], [], 0
+        known: dict[str, int] = {}
 
         def flush() -> pd.DataFrame:
-            doc, item, pos, n = search_shard(np.concatenate(codes), np.array(starts), probes)
-            return pd.DataFrame({"doc_id": np.array(ids)[doc], "item_id": probes.ids[item] if len(item) else [], "doc_pos": pos, "n_words": n}, dtype="int64")
+            shard, at, names = np.concatenate(codes), np.array(starts), np.array(ids)
+            order = suffix_array(shard, length)
+            parts = []
+            for g in groups:
+                doc, item, pos, n = search_shard(shard, order, at, g)
+                parts.append(pd.DataFrame({"doc_id": names[doc], "item_id": g[0][item], "doc_pos": pos, "n_words": n}, dtype="int64"))
+            return pd.concat(parts)
 
-        if not len(probes.at):
-            return
-        get = probes.vocab.get
         for b in batches:
             for d, t in zip(b["d"], b["t"]):
-                # -1: a word of no item; it equals no probe code, nor can a passage cross it
-                c = np.array([get(w, -1) for w in words(t)] + [-1], np.int32)
+                ws = words(t)
+                if len(known) > KNOWN:
+                    known.clear()
+                for w in set(ws).difference(known):
+                    known[w] = code_of(w)
+                # -1 ends a document: no item has it, so no passage crosses it
                 ids.append(d)
                 starts.append(held)
-                codes.append(c)
-                held += len(c)
+                codes.append(np.array([*map(known.__getitem__, ws), -1], np.int64))
+                held += len(ws) + 1
                 if held >= SHARD_WORDS:
                     yield flush()
                     ids, codes, starts, held = [], [], [], 0

@@ -39,6 +39,25 @@ def test_against_brute_force(spark, monkeypatch, shard, group):
     assert got == brute(docs, items, 5) and got
 
 
+@pytest.mark.parametrize("at_once", [1, 2])
+def test_several_passes(spark, monkeypatch, at_once):
+    monkeypatch.setattr(leaks, "GROUP_WORDS", 6)
+    monkeypatch.setattr(leaks, "AT_ONCE", at_once)
+    docs = [(i, f"w{i} a b c d e f") for i in range(12)]
+    items = [(i, f"w{i} a b") for i in range(12)] + [(90, "c d e"), (91, "e d c")]
+    got = {tuple(r) for r in leaks.leaked_documents(*tables(spark, docs, items), length=3).collect()}
+    assert got == brute(docs, items, 3) and len(got) == 24
+
+
+@pytest.mark.parametrize("depth", [1, 2, 5, 10])
+def test_suffix_array_is_sorted(depth):
+    rng = np.random.default_rng(depth)
+    codes = np.concatenate([rng.integers(0, 3, 400), rng.integers(0, 2**62, 100), np.full(30, 7), [-1]])
+    order = leaks.suffix_array(codes, depth)
+    cut = [tuple(codes[i : i + depth].tolist()) for i in order]
+    assert sorted(order.tolist()) == list(range(len(codes))) and cut == sorted(cut)
+
+
 def test_passages_are_longest(spark):
     a = "zero one two three four five six seven"
     t = tables(spark, [(1, "x y ONE two, three; four five q one two three"), (2, "one two")], [(9, a)])
