@@ -60,6 +60,19 @@ SQL: dict[str, str] = {
  p AS (SELECT tf.newid, tf.term, tf, df, n.n, cf / s AS pc, (tf + 2000.0 * (cf / s)) / (len + 2000.0) AS pd
  FROM tf JOIN ct ON tf.term = ct.term JOIN len ON tf.newid = len.newid, n, size WHERE df >= 2)
  SELECT newid, term, tf, df AS n_records, round(pd * ln(pd / pc), 9) AS divergence, round(tf * ln(n / df), 6) AS tf_idf FROM p""",
+    "p6_top": f"""WITH {_WORDS}, size AS (SELECT sum(tf) AS s FROM tf), len AS (SELECT newid, sum(tf) AS len FROM tf GROUP BY 1),
+ p AS (SELECT tf.newid, tf.term, cf / s AS pc, (tf + 2000.0 * (cf / s)) / (len + 2000.0) AS pd FROM tf JOIN ct ON tf.term = ct.term JOIN len ON tf.newid = len.newid, size WHERE df >= 2),
+ rk AS (SELECT newid, term, CAST(row_number() OVER (PARTITION BY newid ORDER BY round(pd * ln(pd / pc), 9) DESC, term) AS INTEGER) AS rank FROM p) SELECT * FROM rk WHERE rank <= 3""",
+    "p10_ungraded": rf"""WITH RECURSIVE w AS (SELECT doc_id, min(text) AS text FROM documents WHERE doc_id IS NOT NULL GROUP BY 1), c AS MATERIALIZED (SELECT doc_id, {_TEXT.format('text')} AS w,
+ len(list_filter(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(10), 'g'), chr(10)), lambda s: regexp_matches(s, '[\p{{L}}\p{{N}}]'))) AS s FROM w),
+ g AS MATERIALIZED (SELECT doc_id, 4.71 * list_sum(list_transform(w, lambda x: length(x))) / len(w) + 0.5 * len(w) / s - 21.43 AS g FROM c WHERE len(w) >= 20),
+ m AS (SELECT avg(g) AS m FROM g), ue AS MATERIALIZED (SELECT doc_id, unnest(list_distinct(w)) AS word FROM c WHERE len(w) BETWEEN 1 AND 19),
+ uw AS (SELECT word, count(*) AS fc FROM ue GROUP BY 1), gw AS (SELECT word, sum(g) AS s, count(*) AS c FROM (SELECT doc_id, unnest(list_distinct(w)) AS word FROM c) JOIN g USING (doc_id) GROUP BY 1),
+ wd AS MATERIALIZED (SELECT word, coalesce(s, 0) AS s, coalesce(c, 0) + fc AS n FROM uw LEFT JOIN gw USING (word)),
+ it AS (SELECT 0 AS step, doc_id, m AS x FROM (SELECT DISTINCT doc_id FROM ue), m
+  UNION ALL SELECT any_value(v.step) + 1, ue.doc_id, avg(v.v) FROM ue JOIN (SELECT any_value(step) AS step, ue.word, (any_value(wd.s) + sum(it.x)) / any_value(wd.n) AS v FROM it JOIN ue USING (doc_id) JOIN wd ON wd.word = ue.word GROUP BY ue.word) v
+   ON ue.word = v.word WHERE v.step < 200 GROUP BY ue.doc_id)
+ SELECT it.doc_id, round(x, 3) AS level, len(w) AS n_words FROM it JOIN c USING (doc_id) WHERE step = 200""",
     "p7_found": f"WITH RECURSIVE {_PAIRS} SELECT item_a, item_b FROM pr WHERE n_ab >= 5 AND 500 * n_ab >= n_baskets AND n_ab * n_baskets >= 3 * n_a * n_b",
     "p7_pairs": f"WITH RECURSIVE {_PAIRS} SELECT item_a, item_b, n_ab, n_a, n_b, n_baskets, round(n_ab * CAST(n_baskets AS DOUBLE) / (n_a * n_b), 9) AS lift FROM pr",
     "p8_found": f"WITH {_LEAKS} SELECT doc_id, item_id FROM lk",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm import clusters, leaks, mixing, pairs, reading, terms, vectors
 from quarry.llm.oracles import SQL  # noqa: F401
+from quarry.plans.lineage import materialize
 
 
 def _t(s: SparkSession, d: str, name: str) -> DataFrame:
@@ -54,13 +55,19 @@ def p5_terms(s: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(s: SparkSession, d: str) -> DataFrame:
+    scored = materialize(terms.distinctive_terms(_t(s, d, "reuters")), "scored")
+    return terms.top_by_divergence(scored, 3).select(F.col("rec").alias("newid"), "term")
+
+
+def p6_top(s: SparkSession, d: str) -> DataFrame:
+    """The 3 terms of each article with the largest divergence."""
     scored = terms.distinctive_terms(_t(s, d, "reuters"))
-    return terms.top_terms(scored, "tf_idf", 3).select(F.col("rec").alias("newid"), "term")
+    return terms.top_terms(scored, "divergence", 3, 9).select(F.col("rec").alias("newid"), "term", "rank")
 
 
 def p6_scores(s: SparkSession, d: str) -> DataFrame:
     """Every term of every article with its divergence score."""
-    return terms.distinctive_terms(_t(s, d, "reuters")).withColumnRenamed("rec", "newid").withColumn("divergence", F.round("divergence", 9)).withColumn("tf_idf", F.round("tf_idf", 6))
+    return terms.distinctive_terms(_t(s, d, "reuters")).drop("len", "cf", "size", "n").withColumnRenamed("rec", "newid").withColumn("divergence", F.round("divergence", 9)).withColumn("tf_idf", F.round("tf_idf", 6))
 
 
 def p7_found(s: SparkSession, d: str) -> DataFrame:
@@ -106,6 +113,12 @@ def p10_levels(s: SparkSession, d: str) -> DataFrame:
     return reading.reading_levels(_t(s, d, "documents")).withColumn("level", F.round("level", 6))
 
 
+def p10_ungraded(s: SparkSession, d: str) -> DataFrame:
+    """The propagated levels of the documents too short to be graded."""
+    levels = reading.reading_levels(_t(s, d, "documents"), tolerance=1e-6)
+    return levels.where("NOT graded AND level IS NOT NULL").select("doc_id", F.round("level", 3).alias("level"), "n_words")
+
+
 def p10_ends(s: SparkSession, d: str) -> DataFrame:
     """The 50 easiest and the 50 hardest documents."""
     levels = reading.reading_levels(_t(s, d, "documents")).where("level IS NOT NULL").select("doc_id", F.round("level", 6).alias("level"))
@@ -124,6 +137,7 @@ QUERIES = {
     "p5_terms": p5_terms,
     "p6_found": p6_found,
     "p6_scores": p6_scores,
+    "p6_top": p6_top,
     "p7_found": p7_found,
     "p7_pairs": p7_pairs,
     "p8_found": p8_found,
@@ -133,5 +147,6 @@ QUERIES = {
     "p9_shares": p9_shares,
     "p10_found": p10_found,
     "p10_levels": p10_levels,
+    "p10_ungraded": p10_ungraded,
     "p10_ends": p10_ends,
 }

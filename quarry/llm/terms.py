@@ -17,7 +17,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quarry.plans.lineage import broadcast_if_small, materialize
-from quarry.plans.numbering import numbered
+from quarry.plans.numbering import numbered, one_row_per_key
 
 RANGE = 1 << 14  # identifiers in one count array
 FLUSH = 2_000_000
@@ -30,10 +30,9 @@ def words(text: Column) -> Column:
 
 
 def record_terms(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(rec, term, tf, len): occurrences of each term in each record, and the record's words.
-
-    The only exchange is on the record key, and the counts reuse its partitioning."""
-    one = df.where(F.col(key).isNotNull()).groupBy(F.col(key).cast("bigint").alias("rec")).agg(F.min(F.col(text).cast("string")).alias("text"))
+    """(rec, term, tf, len): occurrences of each term in each record, and the record's words. Texts
+    move only where their key comes more than once; a record's terms are counted where it is read."""
+    one = one_row_per_key(df.select(F.col(key).cast("bigint").alias("rec"), F.col(text).cast("string").alias("text")), "rec", "text")
     listed = one.select("rec", words(F.col("text")).alias("ws")).where(F.size("ws") > 0)
     return listed.select("rec", F.size("ws").alias("len"), F.explode("ws").alias("term")).groupBy("rec", "len", "term").agg(F.count("*").alias("tf")).select("rec", "term", "tf", "len")
 
@@ -118,8 +117,9 @@ def term_frequencies(df: DataFrame, key: str = "newid", text: str = "body", rare
 
 
 def distinctive_terms(df: DataFrame, key: str = "newid", text: str = "body", min_records: int = 2, mu: float = 2000.0) -> DataFrame:
-    """(rec, term, tf, n_records, divergence, tf_idf) of every term that occurs in at least
-    ``min_records`` records.
+    """(rec, term, tf, len, cf, n_records, divergence, tf_idf) of every term that occurs in at least
+    ``min_records`` records, with the record's words and the term's occurrences in the
+    collection, and the words (``size``) and records (``n``) of the collection.
 
     ``divergence`` is the term's contribution p(t|d) ln(p(t|d) / p(t|C)) to the relative entropy
     between the record's Dirichlet-smoothed distribution, p(t|d) = (tf + mu p(t|C)) / (len + mu),
@@ -134,11 +134,62 @@ def distinctive_terms(df: DataFrame, key: str = "newid", text: str = "body", min
     p_c = F.col("cf") / size
     p_d = (F.col("tf") + mu * p_c) / (F.col("len") + mu)
     return tf.join(coll, "term").select(
-        "rec", "term", "tf", "n_records", (p_d * F.log(p_d / p_c)).alias("divergence"), (F.col("tf") * F.log(F.lit(n) / F.col("n_records"))).alias("tf_idf")
-    )
+        "rec", "term", "tf", "len", "cf", "n_records", (p_d * F.log(p_d / p_c)).alias("divergence"), (F.col("tf") * F.log(F.lit(n) / F.col("n_records"))).alias("tf_idf"),
+        F.lit(size).alias("size"), F.lit(n).alias("n"),
+    )
 
 
-def top_terms(scored: DataFrame, score: str, k: int) -> DataFrame:
-    """The ``k`` best terms of each record by ``score`` rounded to 6 decimals, then by term."""
-    w = Window.partitionBy("rec").orderBy(F.round(score, 6).desc(), "term")
+def top_terms(scored: DataFrame, score: str, k: int, digits: int = 6) -> DataFrame:
+    """The ``k`` best terms of each record by ``score`` rounded to ``digits`` decimals, then by term."""
+    w = Window.partitionBy("rec").orderBy(F.round(score, digits).desc(), "term")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def least_divergence(length: np.ndarray, weight: np.ndarray, size: float, n: float, spread: float, mu: float) -> np.ndarray:
+    """A divergence that no term falls short of whose tf ln(N / df) is at least ``weight`` in a record
+    of ``length`` words.
+
+    With p = cf / size a term's share of the collection and ``spread`` the largest cf / df, df is at
+    least p size / spread, so tf is at least weight / ln(n spread / (size p)), and at least 1. The
+    divergence grows with tf from where its ratio is 1 / e. What is left is the smallest value over p,
+    taken over intervals of p with the bounds of each."""
+    edge = np.geomspace(1 / size, 1.0, 257)
+    a, b = edge[:-1], edge[1:]
+    room = np.log(np.maximum(n * spread / (size * a), 1.0))
+    least = np.full(len(length), np.inf)
+    for i in range(0, len(length), 4096):
+        w, l = weight[i : i + 4096, None], length[i : i + 4096, None]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            tf = np.where(w > 0, np.maximum(w / room[None, :], 1.0), 1.0)
+            ratio = (tf / b + mu) / (l + mu)
+            up = (tf + mu * a) / (l + mu) * np.log(ratio)
+            down = np.where(ratio >= 1 / np.e, b * ratio * np.log(ratio), -b / np.e)
+        d = np.where(ratio >= 1, up, down)
+        d = np.where((tf > l) & (w > 0), np.inf, d)  # more occurrences than words: no such term
+        least[i : i + 4096] = np.minimum(d.min(1), least[i : i + 4096])
+    return np.where(weight > 0, least, -np.inf)
+
+
+def top_by_divergence(scored: DataFrame, k: int, mu: float = 2000.0) -> DataFrame:
+    """The ``k`` best terms of each record by tf_idf, found by divergence.
+
+    A record's ``k`` terms of largest divergence come first. The smallest tf_idf among them is one the
+    k best must reach, and ``least_divergence`` turns it into a divergence they must reach: only the
+    terms above that are candidates, and an exact ranking of those follows. None is lost."""
+    facts = scored.agg(F.max(F.col("cf") / F.col("n_records")).alias("spread"), F.max("size").alias("size"), F.max("n").alias("n")).first()
+    if facts["size"] is None:
+        return scored.drop("size", "n").withColumn("rank", F.lit(1))
+    size, n, spread = float(facts["size"]), float(facts["n"]), float(facts["spread"])
+    first = Window.partitionBy("rec").orderBy(F.desc("divergence"), "term")
+    head = scored.select("rec", "term", "len", "divergence", "tf_idf").withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= k)
+    head = head.groupBy("rec", "len").agg(F.min("tf_idf").alias("w"), F.count("*").alias("c"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            w = np.where(b.column("c").to_numpy() >= k, b.column("w").to_numpy(zero_copy_only=False) - 1e-6, 0.0)
+            least = least_divergence(b.column("len").to_numpy().astype(float), w, size, n, spread, mu)
+            yield pa.RecordBatch.from_arrays([b.column("rec"), pa.array(least - 1e-12)], ["rec", "least"])
+
+    floor = head.mapInArrow(run, "rec BIGINT, least DOUBLE")
+    found = scored.drop("size", "n").join(floor, "rec").where("divergence >= least").drop("least")
+    return top_terms(found, "tf_idf", k)

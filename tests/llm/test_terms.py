@@ -1,6 +1,7 @@
 import math
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from quarry.llm import terms as t
@@ -48,6 +49,33 @@ def test_scores(docs):
         assert r["divergence"] == pytest.approx(pd * math.log(pd / pc))
 
 
+def test_top_by_divergence_loses_none(spark):
+    """Records of one kind of word, of few words, of very many, of common words only."""
+    rng = np.random.default_rng(4)
+    say = lambda n, m: " ".join(f"w{i}" for i in rng.zipf(1.3, n) % m)
+    rows = [(i, say(int(rng.integers(1, 80)), 300)) for i in range(150)] + [(200 + i, "w1 " * (i + 1) + "w2 w3") for i in range(20)] + [(300, say(9000, 40)), (301, "w1"), (302, "w250 " * 50 + "w1 w2 w3 " * 800), (303, None)]
+    df = t.distinctive_terms(spark.createDataFrame(rows, "newid BIGINT, body STRING")).cache()
+    top = lambda got: {(r["rec"], r["term"], r["rank"]) for r in got.collect()}
+    assert top(t.top_by_divergence(df, 3)) == top(t.top_terms(df, "tf_idf", 3))
+    assert t.top_by_divergence(df.limit(0), 3).count() == 0
+
+
+def test_least_divergence_is_a_bound():
+    """No term of any make-up falls below the divergence its weight calls for."""
+    rng = np.random.default_rng(6)
+    size, n, mu = 2e5, 3000.0, 2000.0
+    df = rng.integers(2, 2999, 20_000)
+    cf = np.minimum(df * rng.uniform(1, 9, len(df)), size / 2)
+    spread = float((cf / df).max())
+    length = rng.integers(1, 6000, len(df)).astype(float)
+    tf = np.minimum(np.ceil(rng.exponential(6, len(df))), length)
+    pc = cf / size
+    pd = (tf + mu * pc) / (length + mu)
+    weight = tf * np.log(n / df)
+    least = t.least_divergence(length, weight, size, n, spread, mu)
+    assert (pd * np.log(pd / pc) >= least - 1e-12).all() and np.isfinite(least).mean() > 0.9
+
+
 def test_top_terms_break_ties_by_term(spark):
     rows = spark.createDataFrame([(1, "b", 1.0), (1, "a", 1.0000000001), (1, "c", 2.0), (1, "d", 0.5)], "rec BIGINT, term STRING, s DOUBLE")
     assert [r["term"] for r in t.top_terms(rows, "s", 3).orderBy("rank").collect()] == ["c", "a", "b"]
