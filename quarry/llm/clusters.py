@@ -4,17 +4,20 @@
 2. Every node emits the pairs of dims of its prefix. With dims ordered from rare to common, the
    prefix ends where the rest together with any one dim of the prefix can no longer reach the
    similarity, so two similar vectors share at least two dims of both prefixes: one emitted
-   pair. (A vector in which one dim alone can reach it emits that dim, too.) This is exact. Where
-   vectors of more than ``LONG`` dims occur, pairs would be too many: every node then emits the
-   single dims of a shorter prefix, of which similar vectors share at least one.
+   pair. (A vector in which one dim alone can reach it emits that dim, too.) This is exact. A vector
+   of more than ``LONG`` dims would have too many pairs: it emits the single dims of a shorter
+   prefix instead, of which it shares at least one with any similar vector, and of the others'
+   single dims only those are kept that a long vector emits. Two short ones never meet by them.
 3. Nodes that are neighbours in the order of (pair, node) start the graph; neighbour descent
    improves it: neighbours of a node are compared with each other, the best ``k`` are kept.
-4. Edges of at least the similarity give components. The exact check then compares what is left:
-   nodes that share a pair of dims but lie in different components. So no similar pair that
-   would join two components is missed, and the groups need no pair inside one component.
-   Links, degrees and communities do: for those all nodes of one component that share a pair of
-   dims are compared, so that every link is found, however few the descent has seen.
-5. Communities by modularity (local moving and merging until nothing is gained) describe the inside of the components.
+4. Communities of that graph by modularity: local moving and merging until nothing is gained. A
+   community lies within one component of the graph, so it is a part of one group.
+5. The exact check ties communities to groups: their links in the graph, then what is left, nodes
+   that share a pair of dims but lie in different components of that. No similar pair that would
+   join two groups is missed, and the groups need no pair inside one.
+   Links, degrees and the described communities do: for those all nodes of one group that share a
+   pair of dims are compared, so that every link is found, however few the descent has seen, and
+   communities are settled again on all links.
 
 A 256-bit bitmap of hashed dims prunes comparisons: a node needs at least ``need`` of its buckets
 to reach the similarity, so a pair with fewer buckets in common is out. This is exact as well.
@@ -41,7 +44,8 @@ from quarry.plans.skew import skew_join
 
 BITS = ["b0", "b1", "b2", "b3"]
 LONG = 160
-APART = 200_000  # links of a component that one task settles
+CROWD = 2_000  # nodes or components under one pair of dims that meet in one group
+APART = 50_000  # links of a component that one task settles
 
 
 def unit_vectors(triplets: DataFrame, doc: str, dim: str, val: str) -> DataFrame:
@@ -74,7 +78,7 @@ def prefix_pairs(dims: np.ndarray, vals: np.ndarray, t: float, single: bool = Fa
     p = int(done[0]) + 1 if len(done) else len(dims)
     mix = lambda x, y: (x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (y.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(0x165667B19E3779F9))
     if single:
-        return mix(dims[:p], np.full(p, 2**62)).view(np.int64)
+        return mix(dims[:p], np.full(p, 2**61)).view(np.int64)
     i, j = np.triu_indices(p, 1)
     out = mix(dims[i], dims[j])
     alone = dims[np.abs(vals) >= t - 1e-6]
@@ -88,17 +92,31 @@ def _slices(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return b.column("node").to_numpy(), off - off[0], b.column("dims").flatten().to_numpy(), b.column("vals").flatten().to_numpy()
 
 
-def _keys(nodes: DataFrame, t: float, single: bool) -> DataFrame:
-    """(pair, node) of every node's prefix pairs."""
+def _keys(nodes: DataFrame, t: float) -> DataFrame:
+    """(pair, node, kind) of every node's prefix: 0 pairs of short vectors, 1 single dims of long ones,
+    2 single dims of short ones that a long one has as well."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            node, off, dims, vals = _slices(b)
-            found = [prefix_pairs(dims[i:j], vals[i:j], t, single) for i, j in zip(off[:-1], off[1:])]
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(np.repeat(node, [len(p) for p in found]))], ["pair", "node"])
+    def emitted(single: bool, kind: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                node, off, dims, vals = _slices(b)
+                found = [prefix_pairs(dims[i:j], vals[i:j], t, single) for i, j in zip(off[:-1], off[1:])]
+                if found:
+                    n = [len(p) for p in found]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(np.repeat(node, n)), pa.array(np.full(sum(n), kind, np.int32))], ["pair", "node", "kind"])
 
-    return nodes.select("node", "dims", "vals").mapInArrow(run, "pair BIGINT, node BIGINT")
+        return run
+
+    schema = "pair BIGINT, node BIGINT, kind INT"
+    size = F.size("dims")
+    cols = nodes.select("node", "dims", "vals")
+    pairs = cols.where(size <= LONG).mapInArrow(emitted(False, 0), schema)
+    long = nodes.where(size > LONG).limit(1).count()
+    if not long:
+        return materialize(pairs, "keys")
+    singles = materialize(cols.where(size > LONG).mapInArrow(emitted(True, 1), schema), "singles")
+    others = cols.where(size <= LONG).mapInArrow(emitted(True, 2), schema).join(singles.select("pair").distinct(), "pair", "left_semi")
+    return materialize(pairs.unionByName(singles).unionByName(others.select("pair", "node", "kind")), "keys")
 
 
 def _bitmaps(nodes: DataFrame, t: float) -> DataFrame:
@@ -134,8 +152,8 @@ def _adjacent(keys: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            pair, node = b.column("pair").to_numpy(), b.column("node").to_numpy()
-            at = np.flatnonzero((pair[1:] == pair[:-1]) & (node[1:] != node[:-1]))
+            pair, node, kind = (b.column(c).to_numpy() for c in ("pair", "node", "kind"))
+            at = np.flatnonzero((pair[1:] == pair[:-1]) & (node[1:] != node[:-1]) & ((kind[1:] != 2) | (kind[:-1] != 2)))
             yield pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(node[at + 1])], ["u", "v"])
 
     ordered = keys.repartitionByRange("pair", "node").sortWithinPartitions("pair", "node")
@@ -190,27 +208,41 @@ def neighbour_graph(keys: DataFrame, nodes: DataFrame, bits: DataFrame, k: int,
     return graph
 
 
+def _in_blocks(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides of the join of ``keys`` (pair, item, ...) with itself on ``pair``, on (pair, a, b): the
+    items of a pair that more than ``CROWD`` have fall into blocks, and any two blocks meet as a
+    group of their own, so no task holds a crowded pair."""
+    size = keys.groupBy("pair").agg(F.count("*").alias("n")).where("n > 1").select("pair", F.ceil(F.col("n") / CROWD).cast("int").alias("blocks"))
+    k = skew_join(keys, materialize(size, "sizes"), "pair").withColumn("a", F.pmod(F.xxhash64("item"), F.col("blocks")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    k = materialize(k, "blocks")
+    return k.withColumn("b", every).drop("blocks"), k.withColumnRenamed("a", "b").withColumn("a", every).drop("blocks")
+
+
 def _missing_links(keys: DataFrame, nodes: DataFrame, bits: DataFrame, comp: DataFrame, t: float) -> DataFrame:
-    """(u, v, sim >= t): the exact check of step 4.
+    """(u, v, sim >= t): the exact check of step 5.
 
     Pairs of dims all of whose nodes lie in one component are dropped by a partial aggregate.
     For the others, components are paired first and members after, so that members of one large
     component never meet each other."""
     labelled = keys.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    mixed = labelled.groupBy("pair").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("pair")
-    open_keys = materialize(labelled.join(mixed, "pair", "left_semi").select("pair", "comp", "node"), "open")
-    per = open_keys.select("pair", "comp").distinct()
-    meet = per.select("pair", F.col("comp").alias("ca")).join(per.select("pair", F.col("comp").alias("cb")), "pair").where("ca < cb")
-    x = open_keys.select("pair", F.col("comp").alias("ca"), F.col("node").alias("x"))
-    y = open_keys.select("pair", F.col("comp").alias("cb"), F.col("node").alias("y"))
-    cand = meet.join(x, ["pair", "ca"]).join(y, ["pair", "cb"]).select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v"))
+    mixed = labelled.groupBy("pair").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("kind").alias("k")).where("lo < hi AND k < 2").select("pair")
+    open_keys = materialize(labelled.join(mixed, "pair", "left_semi").select("pair", "comp", "node", "kind"), "open")
+    x, y = _in_blocks(open_keys.groupBy("pair", F.col("comp").alias("item")).agg(F.min("kind").alias("kind")))
+    meet = x.select("pair", "a", "b", F.col("item").alias("ca"), F.col("kind").alias("ka")).join(y.select("pair", "a", "b", F.col("item").alias("cb"), F.col("kind").alias("kb")), ["pair", "a", "b"])
+    meet = meet.where("ca < cb AND (ka < 2 OR kb < 2)").select("pair", "ca", "cb")
+    x = open_keys.select("pair", F.col("comp").alias("ca"), F.col("node").alias("x"), F.col("kind").alias("kx"))
+    y = open_keys.select("pair", F.col("comp").alias("cb"), F.col("node").alias("y"), F.col("kind").alias("ky"))
+    cand = meet.join(x, ["pair", "ca"]).join(y, ["pair", "cb"]).where("kx < 2 OR ky < 2").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v"))
     return _compared(_plausible(cand, bits).distinct(), nodes).where(F.col("sim") >= t)
 
 
 def _all_links(keys: DataFrame, nodes: DataFrame, bits: DataFrame, comp: DataFrame, t: float) -> DataFrame:
     """(u, v, sim >= t) with u < v: every link, found among the nodes of one component."""
-    own = materialize(keys.join(comp, "node").select("pair", "comp", "node").distinct(), "own")
-    cand = own.withColumnRenamed("node", "u").join(own.withColumnRenamed("node", "v"), ["pair", "comp"]).where("u < v").select("u", "v")
+    own = keys.join(comp, "node").groupBy("pair", "comp", F.col("node").alias("item")).agg(F.min("kind").alias("kind"))
+    x, y = _in_blocks(own)
+    cand = x.withColumnsRenamed({"item": "u", "kind": "ku"}).join(y.withColumnsRenamed({"item": "v", "kind": "kv"}), ["pair", "a", "b", "comp"])
+    cand = cand.where("u < v AND (ku < 2 OR kv < 2)").select("u", "v")
     return _compared(_plausible(cand, bits).distinct(), nodes).where(F.col("sim") >= t)
 
 
@@ -400,19 +432,22 @@ def similarity_clusters(
         raise ValueError("similarity must be in (0, 1]")
     t = similarity - 1e-9
     members, nodes = nodes_of(unit_vectors(triplets, doc, dim, val))
-    longest = nodes.agg(F.max(F.size("dims")).alias("m")).first()["m"] or 0
-    keys = materialize(_keys(nodes, t, longest > LONG), "keys")
+    keys = _keys(nodes, t)
     bits = materialize(_bitmaps(nodes, t), "bits")
-    graph = neighbour_graph(keys, nodes, bits, k, rounds, t)
-    first = components(graph)
+    graph = materialize(neighbour_graph(keys, nodes, bits, k, rounds, t), "graph")
+    first = communities(graph).withColumnRenamed("community", "comp")
+    first = _tied(graph, materialize(first, "communities"))
     added = materialize(_missing_links(keys, nodes, bits, first, t), "added")
-    if not added.limit(1).count():
-        return Clustering(members, nodes, first, lambda: _all_links(keys, nodes, bits, first, t))
-    # join components, one link for each two of them
-    a, b = first.select(F.col("node").alias("u"), F.col("comp").alias("cu")), first.select(F.col("node").alias("v"), F.col("comp").alias("cv"))
-    upper = added.join(a, "u", "left").join(b, "v", "left").select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v")).distinct()
-    top = components(upper).select(F.col("node").alias("comp"), F.col("comp").alias("root"))
-    known = first.unionByName(upper.select(F.explode(F.array("u", "v")).alias("node")).distinct().select("node", F.col("node").alias("comp"))).distinct()
-    final = known.join(top, "comp", "left").select("node", F.coalesce("root", "comp").alias("comp")).groupBy("node").agg(F.min("comp").alias("comp"))
-    final = materialize(final, "comp")
+    final = _tied(added, first) if added.limit(1).count() else first
     return Clustering(members, nodes, final, lambda: _all_links(keys, nodes, bits, final, t))
+
+
+def _tied(links: DataFrame, comp: DataFrame) -> DataFrame:
+    """(node, comp): ``comp`` with the parts that links tie together as one, named by its smallest node."""
+    a, b = comp.select(F.col("node").alias("u"), F.col("comp").alias("cu")), comp.select(F.col("node").alias("v"), F.col("comp").alias("cv"))
+    upper = links.select("u", "v").join(a, "u", "left").join(b, "v", "left").select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v")).where("u <> v").distinct()
+    upper = materialize(upper, "upper")
+    top = components(upper).select(F.col("node").alias("comp"), F.col("comp").alias("root"))
+    new = upper.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(comp.select("comp").distinct().withColumnRenamed("comp", "node"), "node", "left_anti")
+    known = comp.unionByName(new.select("node", F.col("node").alias("comp")))
+    return materialize(known.join(top, "comp", "left").select("node", F.coalesce("root", "comp").alias("comp")), "comp")
