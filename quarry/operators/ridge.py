@@ -16,9 +16,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.operators.matrix import gram_matrix, label_sums, stacked
+from quarry.plans.lineage import materialize
 
 #: fixed values: the regularisation grid of the classic experiment
 LAMBDAS = (0.01, 0.05, 0.1, 0.5, 1.0, 2.0, 5.0)
+MAX_LABELS = 10_000
 
 
 @dataclass
@@ -76,8 +78,10 @@ def weight_table(df: DataFrame, st: Stats, w: np.ndarray) -> DataFrame:
 
 
 def binarized(df: DataFrame, nonneg: bool = False) -> DataFrame:
-    """(id, target, y): each row against each label of the data."""
-    labels = df.select(F.col("label").alias("target")).distinct()
+    """(id, target, y): each row against each label of the data; more than ``MAX_LABELS`` are an error."""
+    labels = materialize(df.select(F.col("label").alias("target")).distinct(), "labels")
+    if (n := labels.count()) > MAX_LABELS:
+        raise ValueError(f"{n} labels are more than {MAX_LABELS}")
     y = F.when(F.col("label") == F.col("target"), 1).otherwise(0 if nonneg else -1)
     return df.select("id", "label").join(F.broadcast(labels)).select("id", "target", y.alias("y"))
 
