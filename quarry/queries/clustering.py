@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.operators import evaluate
 from quarry.operators import partition as ops
-from quarry.plans.lineage import materialize
+from quarry.plans.lineage import materialize, shared_root
 from quarry.queries.views import ASG, CL, TR
-from quarry.sources import tables
+from quarry.sources import files, tables
 
 K = 20
 
@@ -97,6 +99,22 @@ def kmeans_invariants(s: SparkSession, d: str) -> DataFrame:
     return s.createDataFrame(rows, "criterion STRING, n_points BIGINT, at_most_k BOOLEAN, objective_agrees BOOLEAN, improved BOOLEAN")
 
 
+def trial_report(s: SparkSession, d: str) -> DataFrame:
+    """Trials of the sum of squared errors, and whether the kept one has the best objective."""
+    p = materialize(_points(s, d), "points")
+    got, log = ops.best_trial(p, K, "sse", trials=2, max_iter=3)
+    kept = ops.objective(p, got, "sse").first()["objective"]
+    best = float(log["objective"].min())
+    return s.createDataFrame([(len(log), abs(kept - best) <= 1e-6 * max(1.0, abs(best)))], "n_trials BIGINT, kept_the_best BOOLEAN")
+
+
+def read_back_triplets(s: SparkSession, d: str) -> DataFrame:
+    """The points as text lines, parsed again."""
+    path = f"{shared_root(s)}/triplets-{uuid.uuid4().hex}"
+    files.write_csv(_points(s, d), path)
+    return files.read_triplets(s, path)
+
+
 def domain_sizes(s: SparkSession, d: str) -> DataFrame:
     tx = tables.transactions(s.read.parquet(f"{d}/baskets.parquet")).agg(F.max("item").alias("max_item"))
     return tx.join(F.broadcast(_points(s, d).agg((F.max("dim") + 1).alias("n_dims"))))
@@ -120,6 +138,7 @@ QUERIES = {
     "objective_sse_partial": _objective("sse", True),
     "objective_i2": _objective("i2"),
     "objective_e1": _objective("e1"),
+    "objective_any_case": _objective("SsE"),
     "kmeans_step_sse": _step("sse"),
     "kmeans_step_i2": _step("i2"),
     "kmeans_step_e1": _step("e1"),
@@ -129,6 +148,8 @@ QUERIES = {
     "kmeans_best_trial": kmeans_best_trial,
     "kmeans_sequential": kmeans_sequential,
     "domain_sizes": domain_sizes,
+    "trial_report": trial_report,
+    "read_back_triplets": read_back_triplets,
     "clustering_metrics": clustering_metrics,
     "kmeans_invariants": kmeans_invariants,
 }
@@ -171,6 +192,7 @@ SQL = {
     "objective_sse": f"WITH {_A} SELECT round((SELECT sum(val * val) FROM p) - sum(dd / n), 6) AS objective FROM fa",
     "objective_sse_partial": f"WITH {_A} SELECT round(sum((val - v / n) * (val - v / n)), 6) AS objective FROM p JOIN co USING (cluster, dim) JOIN sz USING (cluster)",
     "objective_i2": f"WITH {_A} SELECT round(sum(sqrt(dd)), 6) AS objective FROM fa",
+    "objective_any_case": f"WITH {_A} SELECT round((SELECT sum(val * val) FROM p) - sum(dd / n), 6) AS objective FROM fa",
     "objective_e1": f"WITH {_A} SELECT round(sum(n * dg / sqrt(dd)) / (SELECT sqrt(sum(g * g)) FROM g), 6) AS objective FROM fa",
     "kmeans_step_sse": _step_sql(f"CASE WHEN n > 1 THEN -(n / (n - 1)) * {_FAR} END", f"(n / (n + 1)) * {_FAR}", ""),
     "kmeans_step_i2": _step_sql(f"{_LESS} - sqrt(dd)", f"{_MORE} - sqrt(dd)", "-"),
@@ -181,5 +203,7 @@ SQL = {
  mx AS (SELECT max(n) AS m, sum(n) AS s FROM cf GROUP BY cluster) SELECT (SELECT round(sum(sqrt(dd)), 6) FROM fa) AS objective, (SELECT round(sum(-n * log2(n / s)) / sum(n), 6) FROM t) AS entropy,
  (SELECT round(sum(m) / sum(s), 6) FROM mx) AS purity""",
     "kmeans_invariants": f"WITH {TR} SELECT unnest(['sse', 'i2']) AS criterion, count(DISTINCT doc_id) AS n_points, true AS at_most_k, true AS objective_agrees, true AS improved FROM tr",
+    "trial_report": "SELECT CAST(2 AS BIGINT) AS n_trials, true AS kept_the_best",
+    "read_back_triplets": f"WITH {TR} SELECT * FROM tr",
     "domain_sizes": f"""WITH {TR} SELECT (SELECT max(item) FROM baskets WHERE tid IS NOT NULL AND item >= 1) AS max_item, (SELECT max(dim) + 1 FROM tr) AS n_dims""",
 }

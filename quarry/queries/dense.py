@@ -45,7 +45,7 @@ def _pairwise(f, digits: int = 9):
     return lambda s, d: _pairs(s, d).select("id", F.round(f(F.col("features"), F.col("other")), digits).alias("value"))
 
 
-def _neighbours(by: str):
+def _neighbours(by: str | int):
     def run(s: SparkSession, d: str) -> DataFrame:
         train, _, test = _splits(s, d)
         got = neighbours.neighbours(train, test, K, by)
@@ -180,6 +180,7 @@ QUERIES = {
     "knn_neighbors_l2": _neighbours("l2"),
     "knn_neighbors_cosine": _neighbours("cosine"),
     "knn_neighbors_jaccard": _neighbours("jaccard"),
+    "knn_neighbors_by_number": _neighbours(3),
     "knn_predict": knn_predict,
     "knn_validate_k": knn_validate_k,
     "knn_classify": lambda s, d: neighbours.classify(*_splits(s, d), max_k=MAX_K),
@@ -287,6 +288,7 @@ SQL = {
     "vec_dot": f"{_PAIR} SELECT id, round(list_inner_product(f, o), 6) AS value FROM pr",
     "vec_axpby": f"{_PAIR}, e AS (SELECT id, CAST(unnest(range(49)) AS INTEGER) AS dim, unnest(f) AS x, unnest(o) AS y FROM pr) SELECT id, dim, round(2 * x - y, 6) AS val FROM e",
     **{f"knn_neighbors_{m}": _nb_sql(m) for m in _SCORE},
+    "knn_neighbors_by_number": _nb_sql("jaccard"),
     "knn_predict": f"WITH {_D2}, {_TEST}, {_VOTE} SELECT id, label, pred FROM pd",
     "knn_validate_k": f"""WITH {_D2}, {_VALID}, ks AS (SELECT rk.*, k FROM rk, (SELECT CAST(unnest(range(1, {MAX_K + 1})) AS INTEGER) AS k) WHERE rank <= k),
  vt AS (SELECT k, id, label, nb_label, count(*) AS n FROM ks GROUP BY 1, 2, 3, 4), pd AS (SELECT *, row_number() OVER (PARTITION BY k, id ORDER BY n DESC, nb_label) AS rn FROM vt)

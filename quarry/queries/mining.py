@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.operators import itemsets as ops
-from quarry.plans.lineage import materialize
+from quarry.plans.lineage import materialize, shared_root
 from quarry.queries.views import TX
 from quarry.sources import files, tables
 
@@ -94,6 +95,13 @@ def decoded_itemsets(s: SparkSession, d: str) -> DataFrame:
     return ops.decoded(sets, words).select(_key("items"), "freq")
 
 
+def read_back_transactions(s: SparkSession, d: str) -> DataFrame:
+    """Transactions as text lines, parsed again."""
+    path = f"{shared_root(s)}/transactions-{uuid.uuid4().hex}"
+    files.write_lines(_pairs(s, d), F.concat_ws(" ", "tid", "item"), path)
+    return files.read_transactions(s, path)
+
+
 QUERIES = {
     "scan_transactions": scan_transactions,
     "baskets_sorted": lambda s, d: tables.baskets(_pairs(s, d)).select("tid", _key("items")),
@@ -107,6 +115,7 @@ QUERIES = {
     "rule_lhs": rule_lhs,
     "format_rules": format_rules,
     "apriori_candidates": apriori_candidates,
+    "read_back_transactions": read_back_transactions,
     "rule_counts": rule_counts,
     "encoded_baskets": encoded_baskets,
     "decoded_itemsets": decoded_itemsets,
@@ -149,6 +158,7 @@ SQL = {
  FROM rl WHERE confidence > {CONF}""",
     "apriori_candidates": f"""{_FI}, hd AS MATERIALIZED (SELECT len(items) || ':' || array_to_string(items[:-2], '|') AS head, items, items[-1] AS tail FROM fi)
  SELECT array_to_string(list_append(a.items, b.tail), '|') AS items FROM hd a JOIN hd b ON a.head = b.head WHERE a.tail < b.tail""",
+    "read_back_transactions": f"WITH {TX} SELECT tid, item FROM tx",
     "rule_counts": f"""{_FI}{_SPLIT} SELECT (SELECT count(*) FROM fi) AS n_itemsets, (SELECT count(*) FROM sp) AS n_candidates, (SELECT count(*) FROM rl WHERE confidence > {CONF}) AS n_rules""",
     "encoded_baskets": f"""WITH {TX}, dc AS (SELECT item, row_number() OVER (ORDER BY n DESC, item) AS code FROM (SELECT item, count(*) AS n FROM tx GROUP BY item))
  SELECT tid, array_to_string(list_sort(list(code)), '|') AS codes FROM tx JOIN dc USING (item) GROUP BY tid""",
