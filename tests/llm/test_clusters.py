@@ -77,6 +77,38 @@ def test_check_finds_what_the_graph_misses(spark, monkeypatch):
     assert {tuple(r)[:2] for r in c.similarity_clusters(table(spark, rows(v))).groups().collect()} == brute(v, 0.8)
 
 
+def test_crowded_pairs(spark, monkeypatch):
+    """Pairs of dims that more nodes share than meet in one group: in blocks, with the same links."""
+    v = made(1)
+    got = c.similarity_clusters(table(spark, rows(v)))
+    want = {(r["u"], r["v"]) for r in got.edges.collect()}
+    monkeypatch.setattr(c, "CROWD", 2)
+    monkeypatch.setattr(c, "LONG", 6)
+    got = c.similarity_clusters(table(spark, rows(v)))
+    assert {tuple(r)[:2] for r in got.groups().collect()} == brute(v, 0.8)
+    assert {(r["u"], r["v"]) for r in got.edges.collect()} == want and len(want) > 20
+
+
+def test_communities_are_no_worse_than_components(spark):
+    """Modularity of the settled communities is at least that of the groups."""
+    edges = c.similarity_clusters(table(spark, rows(made(2, 200)))).edges
+    link = [(r["u"], r["v"], r["sim"]) for r in edges.collect()]
+
+    def modularity(part):
+        twice, deg = 2 * sum(w for *_, w in link), {}
+        for u, v, w in link:
+            deg[u], deg[v] = deg.get(u, 0) + w, deg.get(v, 0) + w
+        inside = sum(2 * w for u, v, w in link if part[u] == part[v]) / twice
+        tot = {}
+        for n, x in deg.items():
+            tot[part[n]] = tot.get(part[n], 0) + x
+        return inside - sum((x / twice) ** 2 for x in tot.values())
+
+    com = {r["node"]: r["community"] for r in c.communities(edges).collect()}
+    comp = {r["node"]: r["comp"] for r in c.components(edges).collect()}
+    assert modularity(com) >= modularity(comp) - 1e-12 and len(set(com.values())) >= len(set(comp.values()))
+
+
 def test_long_vectors(spark, monkeypatch):
     monkeypatch.setattr(c, "LONG", 5)
     v = made(7)
