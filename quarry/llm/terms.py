@@ -17,7 +17,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quarry.plans.lineage import broadcast_if_small, materialize
-from quarry.plans.numbering import numbered, one_row_per_key
+from quarry.plans.numbering import numbered
 
 RANGE = 1 << 14  # identifiers in one count array
 FLUSH = 2_000_000
@@ -30,9 +30,11 @@ def words(text: Column) -> Column:
 
 
 def record_terms(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(rec, term, tf, len): occurrences of each term in each record, and the record's words. Texts
-    move only where their key comes more than once; a record's terms are counted where it is read."""
-    one = one_row_per_key(df.select(F.col(key).cast("bigint").alias("rec"), F.col(text).cast("string").alias("text")), "rec", "text")
+    """(rec, term, tf, len): occurrences of each term in each record, and the record's words.
+
+    The only exchange is on the record key, of whole texts, and the counts reuse its partitioning:
+    terms that were counted before an exchange would be several times the texts."""
+    one = df.where(F.col(key).isNotNull()).groupBy(F.col(key).cast("bigint").alias("rec")).agg(F.min(F.col(text).cast("string")).alias("text"))
     listed = one.select("rec", words(F.col("text")).alias("ws")).where(F.size("ws") > 0)
     return listed.select("rec", F.size("ws").alias("len"), F.explode("ws").alias("term")).groupBy("rec", "len", "term").agg(F.count("*").alias("tf")).select("rec", "term", "tf", "len")
 
@@ -190,6 +192,7 @@ def top_by_divergence(scored: DataFrame, k: int, mu: float = 2000.0) -> DataFram
             least = least_divergence(b.column("len").to_numpy().astype(float), w, size, n, spread, mu)
             yield pa.RecordBatch.from_arrays([b.column("rec"), pa.array(least - 1e-12)], ["rec", "least"])
 
-    floor = head.mapInArrow(run, "rec BIGINT, least DOUBLE")
+    floor = materialize(head.mapInArrow(run, "rec BIGINT, least DOUBLE"), "floor")
+    floor = broadcast_if_small(floor, floor.count())
     found = scored.drop("size", "n").join(floor, "rec").where("divergence >= least").drop("least")
     return top_terms(found, "tf_idf", k)
