@@ -63,7 +63,7 @@ def unit_vectors(triplets: DataFrame, doc: str, dim: str, val: str) -> DataFrame
 def nodes_of(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(members, nodes): each document's copy key, and one node per distinct unit vector, named
     by its smallest doc_id. Values equal to 9 decimals count as equal: far above the similarity."""
-    key = F.unhex(F.md5(F.concat_ws(",", F.transform("dims", lambda d: d.cast("string")), F.transform("vals", lambda v: F.format_string("%.9f", v)))))
+    key = F.unhex(F.md5(F.concat_ws(",", F.transform("dims", lambda d: d.cast("string")), F.transform("vals", lambda v: F.round(v * 1e9).cast("bigint").cast("string")))))
     keyed = materialize(vectors.withColumn("key", key), "vectors")
     nodes = keyed.groupBy("key").agg(F.min(F.struct("doc_id", "dims", "vals")).alias("s"), F.count("*").alias("copies"))
     return keyed.select("doc_id", "key"), materialize(nodes.select("key", F.col("s.doc_id").alias("node"), F.col("s.dims").alias("dims"), F.col("s.vals").alias("vals"), "copies"), "nodes")
