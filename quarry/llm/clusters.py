@@ -19,6 +19,10 @@
    pair of dims are compared, so that every link is found, however few the descent has seen, and
    communities are settled again on all links.
 
+Keys are never all on disk: they are made anew from the prefixes for one range of their hashes after
+another, and the pairs found are compared in parts as soon as they take the same room, which follows
+the size of the vectors (``ROOM``). What is dropped by then is no longer read.
+
 A 256-bit bitmap of hashed dims prunes comparisons: a node needs at least ``need`` of its buckets
 to reach the similarity, so a pair with fewer buckets in common is out. This is exact as well.
 
@@ -39,23 +43,29 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.plans.components import components
-from quarry.plans.lineage import broadcast_if_small, materialize
+from quarry.plans.lineage import broadcast_if_small, gathered, materialize, release
 from quarry.plans.skew import skew_join
 
 BITS = ["b0", "b1", "b2", "b3"]
 LONG = 160
 CROWD = 2_000  # nodes or components under one pair of dims that meet in one group
+BUCKETS = 1 << 16  # of dims, whose frequency orders them
+SINGLE, ALONE = 2**61, 2**62
+SLOTS = 1 << 16  # of the keys' hashes
+ROOM = 64 << 20  # bytes of keys, pairs or vectors on disk at once, or half as much again as the vectors take
+KEY_BYTES, PAIR_BYTES = 64, 24  # about, in a shuffle
 APART = 50_000  # links of a component that one task settles
 
 
 def unit_vectors(triplets: DataFrame, doc: str, dim: str, val: str) -> DataFrame:
-    """(doc_id, dims, vals): unit vectors, dims from rare to common (then by number)."""
+    """(doc_id, dims, vals): unit vectors, dims from rare to common (then by number). How common is
+    counted in buckets of dims, whose counts any task can hold, so triplets move once, by document."""
     t = triplets.select(F.col(doc).cast("bigint").alias("doc_id"), F.col(dim).cast("bigint").alias("dim"), F.col(val).cast("double").alias("val"))
     t = t.where("doc_id IS NOT NULL AND dim >= 0 AND val IS NOT NULL AND NOT isnan(val) AND val <> 0")
-    t = materialize(t.groupBy("doc_id", "dim").agg(F.min("val").alias("val")), "triplets")
-    df = t.groupBy("dim").agg(F.count("*").alias("df"))
-    t = t.join(broadcast_if_small(df, df.count()), "dim")
-    v = t.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("df", "dim", "val"))).alias("e"))
+    bucket = F.pmod(F.xxhash64("dim"), F.lit(BUCKETS)).cast("int").alias("bucket")
+    df = materialize(t.groupBy(bucket).agg(F.count("*").alias("df")), "df")
+    t = t.repartition("doc_id").groupBy("doc_id", "dim").agg(F.min("val").alias("val"))
+    v = t.withColumn("bucket", bucket).join(F.broadcast(df), "bucket").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("df", "dim", "val"))).alias("e"))
     norm = F.sqrt(F.aggregate("e", F.lit(0.0), lambda a, x: a + x["val"] * x["val"]))
     return v.select("doc_id", F.transform("e", lambda x: x["dim"]).alias("dims"), F.transform("e", lambda x: x["val"] / norm).alias("vals"))
 
@@ -66,25 +76,33 @@ def nodes_of(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     key = F.unhex(F.md5(F.concat_ws(",", F.transform("dims", lambda d: d.cast("string")), F.transform("vals", lambda v: F.round(v * 1e9).cast("bigint").cast("string")))))
     keyed = materialize(vectors.withColumn("key", key), "vectors")
     nodes = keyed.groupBy("key").agg(F.min(F.struct("doc_id", "dims", "vals")).alias("s"), F.count("*").alias("copies"))
-    return keyed.select("doc_id", "key"), materialize(nodes.select("key", F.col("s.doc_id").alias("node"), F.col("s.dims").alias("dims"), F.col("s.vals").alias("vals"), "copies"), "nodes")
+    nodes = materialize(nodes.select("key", F.col("s.doc_id").alias("node"), F.col("s.dims").alias("dims"), F.col("s.vals").alias("vals"), "copies"), "nodes")
+    members = materialize(keyed.select("doc_id", "key"), "members")
+    release(keyed)
+    return members, nodes
 
 
-def prefix_pairs(dims: np.ndarray, vals: np.ndarray, t: float, single: bool = False) -> np.ndarray:
-    """Codes of the dim pairs and single dims a unit vector has to be found by; see step 2."""
+def _prefix(vals: np.ndarray, t: float, single: bool) -> int:
+    """Length of the prefix of step 2."""
     sq = vals * vals
     rest = np.maximum(1 - np.cumsum(sq), 0)
     top = 0.0 if single else np.maximum.accumulate(sq)
     done = np.flatnonzero(rest + top < (t - 1e-6) ** 2)
-    p = int(done[0]) + 1 if len(done) else len(dims)
-    mix = lambda x, y: (x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (y.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(0x165667B19E3779F9))
+    return int(done[0]) + 1 if len(done) else len(vals)
+
+
+def _mix(x: np.ndarray, y: np.ndarray | int) -> np.ndarray:
+    y = np.asarray(y).astype(np.uint64)
+    return ((x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (y * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(0x165667B19E3779F9))).view(np.int64)
+
+
+def prefix_pairs(dims: np.ndarray, vals: np.ndarray, t: float, single: bool = False) -> np.ndarray:
+    """Codes of the dim pairs and single dims a unit vector has to be found by; see step 2."""
+    p = _prefix(vals, t, single)
     if single:
-        return mix(dims[:p], np.full(p, 2**61)).view(np.int64)
+        return _mix(dims[:p], SINGLE)
     i, j = np.triu_indices(p, 1)
-    out = mix(dims[i], dims[j])
-    alone = dims[np.abs(vals) >= t - 1e-6]
-    if len(alone):
-        out = np.concatenate([out, mix(alone, np.full(len(alone), 2**62))])
-    return out.view(np.int64)
+    return np.concatenate([_mix(dims[i], dims[j]), _mix(dims[np.abs(vals) >= t - 1e-6], ALONE)])
 
 
 def _slices(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -92,35 +110,10 @@ def _slices(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return b.column("node").to_numpy(), off - off[0], b.column("dims").flatten().to_numpy(), b.column("vals").flatten().to_numpy()
 
 
-def _keys(nodes: DataFrame, t: float) -> DataFrame:
-    """(pair, node, kind) of every node's prefix: 0 pairs of short vectors, 1 single dims of long ones,
-    2 single dims of short ones that a long one has as well."""
-
-    def emitted(single: bool, kind: int):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                node, off, dims, vals = _slices(b)
-                found = [prefix_pairs(dims[i:j], vals[i:j], t, single) for i, j in zip(off[:-1], off[1:])]
-                if found:
-                    n = [len(p) for p in found]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(np.repeat(node, n)), pa.array(np.full(sum(n), kind, np.int32))], ["pair", "node", "kind"])
-
-        return run
-
-    schema = "pair BIGINT, node BIGINT, kind INT"
-    size = F.size("dims")
-    cols = nodes.select("node", "dims", "vals")
-    pairs = cols.where(size <= LONG).mapInArrow(emitted(False, 0), schema)
-    long = nodes.where(size > LONG).limit(1).count()
-    if not long:
-        return materialize(pairs, "keys")
-    singles = materialize(cols.where(size > LONG).mapInArrow(emitted(True, 1), schema), "singles")
-    others = cols.where(size <= LONG).mapInArrow(emitted(True, 2), schema).join(singles.select("pair").distinct(), "pair", "left_semi")
-    return materialize(pairs.unionByName(singles).unionByName(others.select("pair", "node", "kind")), "keys")
-
-
-def _bitmaps(nodes: DataFrame, t: float) -> DataFrame:
-    """(node, b0..b3, need): hashed dims as 256 bits, and how many buckets a similar node shares."""
+def _heads(nodes: DataFrame, t: float) -> DataFrame:
+    """(node, dims, alone, single, long, need, b0..b3): the dims of each node's prefix and how many of
+    those make the shorter one, the dims that reach the similarity alone, hashed dims as 256 bits, and
+    how many buckets a similar node shares."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -129,31 +122,161 @@ def _bitmaps(nodes: DataFrame, t: float) -> DataFrame:
             load = np.bincount(np.repeat(np.arange(len(node)), np.diff(off)) * 256 + slot, weights=vals * vals, minlength=len(node) * 256).reshape(-1, 256)
             bits = np.packbits(load > 0, axis=1, bitorder="little").view(np.int64)
             need = (np.cumsum(-np.sort(-load, axis=1), axis=1) < (t - 1e-6) ** 2).sum(1) + 1
-            cols = [pa.array(node), *(pa.array(np.ascontiguousarray(bits[:, k])) for k in range(4)), pa.array(need.astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(cols, ["node", *BITS, "need"])
-
-    schema = "node BIGINT, " + ", ".join(f"{b} BIGINT" for b in BITS) + ", need INT"
+            long = np.diff(off) > LONG
+            single = np.array([_prefix(vals[i:j], t, True) for i, j in zip(off[:-1], off[1:])], np.int32)
+            size = np.array([s if w else _prefix(vals[i:j], t, False) for i, j, s, w in zip(off[:-1], off[1:], single, long)], np.int64)
+            ends = np.concatenate([[0], np.cumsum(size)])
+            head = dims[np.repeat(off[:-1] - ends[:-1], size) + np.arange(ends[-1])]
+            heavy = (np.abs(vals) >= t - 1e-6) & ~np.repeat(long, np.diff(off))
+            at = np.concatenate([[0], np.cumsum(heavy)])[off]
+            cols = [pa.array(node), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(head)), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(dims[heavy]))]
+            cols += [pa.array(single), pa.array(long), pa.array(need.astype(np.int32)), *(pa.array(np.ascontiguousarray(bits[:, k])) for k in range(4))]
+            yield pa.RecordBatch.from_arrays(cols, ["node", "dims", "alone", "single", "long", "need", *BITS])
+
+    schema = "node BIGINT, dims ARRAY<BIGINT>, alone ARRAY<BIGINT>, single INT, long BOOLEAN, need INT, " + ", ".join(f"{b} BIGINT" for b in BITS)
     return nodes.select("node", "dims", "vals").mapInArrow(run, schema)
 
 
-def _plausible(pairs: DataFrame, bits: DataFrame) -> DataFrame:
-    """The pairs (u, v) that share as many buckets as both need."""
-    x = bits.select(F.col("node").alias("u"), F.col("need").alias("xn"), *[F.col(b).alias("x" + b) for b in BITS])
-    y = bits.select(F.col("node").alias("v"), F.col("need").alias("yn"), *[F.col(b).alias("y" + b) for b in BITS])
-    n = bits.count()
-    common = sum((F.bit_count(F.col("x" + b).bitwiseAND(F.col("y" + b))) for b in BITS[1:]), F.bit_count(F.col("xb0").bitwiseAND(F.col("yb0"))))
-    got = pairs.join(broadcast_if_small(x, n), "u").join(broadcast_if_small(y, n), "v")
-    return got.where(common >= F.greatest("xn", "yn")).select("u", "v")
+def _codes(b: pa.RecordBatch, kind: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, code) of the prefixes in a batch of heads: 0 pairs and dims alone of short vectors, 1 single
+    dims of long ones, 2 of short ones. A piece has some two million codes at most."""
+    off, long = b.column("dims").offsets.to_numpy(), b.column("long").to_numpy(zero_copy_only=False)
+    dims, off = b.column("dims").flatten().to_numpy(), off - off[0]
+    size = b.column("single").to_numpy() if kind else np.diff(off)
+    of = np.flatnonzero(long if kind == 1 else ~long)
+    if kind:
+        row = np.repeat(of, size[of])
+        place = np.arange(len(row)) - np.repeat(np.cumsum(size[of]) - size[of], size[of])
+        yield row, _mix(dims[off[row] + place], SINGLE)
+        return
+    row = np.repeat(np.arange(b.num_rows), np.diff(b.column("alone").offsets.to_numpy()))
+    yield row, _mix(b.column("alone").flatten().to_numpy(), ALONE)
+    for p in np.unique(size[of]):
+        i, j = np.triu_indices(p, 1)
+        same = of[size[of] == p]
+        step = max(1, 2_000_000 // max(1, len(i)))
+        for k in range(0, len(same), step):
+            part = same[k : k + step]
+            m = dims[off[part][:, None] + np.arange(p)]
+            yield np.repeat(part, len(i)), _mix(m[:, i], m[:, j]).ravel()
+
+
+class Keys:
+    """The keys (pair, node, kind, ...) by which nodes meet, made anew for each range of hashes, so that
+    only a part of them is on disk at a time. Kinds: 0 pairs of short vectors, 1 single dims of long
+    ones, 2 single dims of short ones that a long one has as well."""
+
+    def __init__(self, heads: DataFrame, room: int) -> None:
+        self.heads, self.room = heads, room
+        size = F.size("dims")
+        n = F.when(F.col("long"), size).otherwise((size * (size - 1) / 2).cast("bigint") + F.size("alone") + F.col("single"))
+        got = heads.agg(F.sum(n).alias("n"), F.max("long").alias("long")).first()
+        self.count, self.long = got["n"] or 0, bool(got["long"])
+        self.step = max(1, int(SLOTS * min(1, room / max(1, self.count * KEY_BYTES))))
+        self.singles = materialize(self._made(heads, 0, SLOTS, 1).select("pair").distinct(), "singles") if self.long else None
+
+    @staticmethod
+    def _made(heads: DataFrame, lo: int, hi: int, kind: int) -> DataFrame:
+        own = [c for c in ("comp", "need", *BITS) if c in heads.columns]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for row, code in _codes(b, kind):
+                    slot = (code.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)
+                    at = np.flatnonzero((slot >= lo) & (slot < hi))
+                    rest = b.select(["node", *own]).take(pa.array(row[at]))
+                    yield pa.RecordBatch.from_arrays([pa.array(code[at]), pa.array(np.full(len(at), kind, np.int32)), *rest.columns], ["pair", "kind", "node", *own])
+
+        types = {"comp": "BIGINT", "need": "INT"}
+        return heads.mapInArrow(run, "pair BIGINT, kind INT, node BIGINT" + "".join(f", {c} {types.get(c, 'BIGINT')}" for c in own))
+
+    def between(self, heads: DataFrame, lo: int, hi: int) -> DataFrame:
+        """The keys of ``heads`` (with more columns, perhaps) whose hashes are in the range."""
+        keys = self._made(heads, lo, hi, 0)
+        if self.long:
+            others = self._made(heads, lo, hi, 2).join(self.singles, "pair", "left_semi")
+            keys = keys.unionByName(self._made(heads, lo, hi, 1)).unionByName(others.select(keys.columns))
+        return keys
+
+    def each(self, heads: DataFrame, pairs_of: Callable[[DataFrame], DataFrame], out: Compared) -> None:
+        """Give ``out`` the pairs of nodes that ``pairs_of`` finds in the keys, range by range. A range is
+        smaller where the one before gave more pairs than there is room for."""
+        at, step = 0, self.step if self.step == SLOTS else max(1, self.step // 4)
+        while at < SLOTS:
+            n = out.add(pairs_of(self.between(heads, at, min(SLOTS, at + step))))
+            at += step
+            step = max(1, min(self.step, 2 * step, step * self.room // max(1, n * PAIR_BYTES)))
+
+
+class Compared:
+    """Pairs of nodes, kept until they take ``room``, then compared in parts and dropped; of those only
+    the ones of at least ``floor`` stay."""
+
+    def __init__(self, nodes: DataFrame, floor: float, room: int) -> None:
+        self.nodes, self.floor, self.room = nodes, floor, room
+        self.held, self.rows, self.found = [], 0, []
+        self.bytes, self.n = _bytes(nodes), max(1, nodes.count())
+
+    def add(self, pairs: DataFrame) -> int:
+        table = materialize(pairs.select("u", "v").distinct(), "pairs")
+        n = table.count()
+        self.held.append(table)
+        self.rows += n
+        if self.rows * PAIR_BYTES > self.room:
+            self._compare()
+        return n
+
+    def _compare(self) -> None:
+        """Both sides of the nodes are shuffled in classes, and pairs of two classes in parts, so that
+        neither takes more than the room there is."""
+        if self.rows:
+            pairs = gathered(self.held)
+            classes = max(1, -(-4 * self.bytes // self.room))
+            parts = max(1, -(-2 * self.rows * self.bytes // self.n // classes**2 // self.room))
+            of = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
+            for a in range(classes):
+                for b in range(classes):
+                    x, y = (self.nodes if classes == 1 else self.nodes.where(of("node", classes) == k) for k in (a, b))
+                    both = pairs if classes == 1 else pairs.where((of("u", classes) == a) & (of("v", classes) == b))
+                    for k in range(parts):
+                        part = both if parts == 1 else both.where(F.pmod(F.xxhash64("u", "v"), F.lit(parts)) == k)
+                        self.found.append(materialize(_compared(part.distinct(), x, y).where(F.col("sim") >= self.floor), "found"))
+        release(*self.held)
+        self.held, self.rows = [], 0
+
+    def links(self) -> DataFrame:
+        """(u, v, sim) of all pairs added that reach the floor, each once."""
+        self._compare()
+        if not self.found:
+            return self.nodes.select(F.col("node").alias("u"), F.col("node").alias("v"), F.lit(0.0).alias("sim")).limit(0)
+        links = materialize(gathered(self.found).groupBy("u", "v").agg(F.min("sim").alias("sim")), "links")
+        release(*self.found)
+        self.found = []
+        return links
+
+
+def _bytes(table: DataFrame) -> int:
+    """Bytes of a written table."""
+    return int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def _shared(x: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether rows i and j share as many buckets as both need."""
+    common = sum(np.bitwise_count((x[b][i] & x[b][j]).view(np.uint64)).astype(np.int32) for b in BITS)  # of signed numbers it counts the magnitude
+    return common >= np.maximum(x["need"][i], x["need"][j])
 
 
 def _adjacent(keys: DataFrame) -> DataFrame:
-    """(u, v): nodes next to each other in the order of (pair, node). Range partitioning on both
-    columns cuts a hot pair into several tasks; what is lost at a cut is left to the check."""
+    """(u, v): nodes next to each other in the order of (pair, node) that may be similar. Range
+    partitioning on both columns cuts a hot pair into several tasks; what is lost at a cut is left to
+    the check."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            pair, node, kind = (b.column(c).to_numpy() for c in ("pair", "node", "kind"))
+            x = {c: b.column(c).to_numpy() for c in ("pair", "node", "kind", "need", *BITS)}
+            pair, node, kind = x["pair"], x["node"], x["kind"]
             at = np.flatnonzero((pair[1:] == pair[:-1]) & (node[1:] != node[:-1]) & ((kind[1:] != 2) | (kind[:-1] != 2)))
+            at = at[_shared(x, at, at + 1)]
             yield pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(node[at + 1])], ["u", "v"])
 
     ordered = keys.repartitionByRange("pair", "node").sortWithinPartitions("pair", "node")
@@ -161,10 +284,10 @@ def _adjacent(keys: DataFrame) -> DataFrame:
     return got.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
 
 
-def _compared(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+def _compared(pairs: DataFrame, us: DataFrame, vs: DataFrame) -> DataFrame:
     """(u, v, sim) of the given pairs."""
-    x = nodes.select(F.col("node").alias("u"), F.col("dims").alias("ud"), F.col("vals").alias("uv"))
-    y = nodes.select(F.col("node").alias("v"), F.col("dims").alias("vd"), F.col("vals").alias("vv"))
+    x = us.select(F.col("node").alias("u"), F.col("dims").alias("ud"), F.col("vals").alias("uv"))
+    y = vs.select(F.col("node").alias("v"), F.col("dims").alias("vd"), F.col("vals").alias("vv"))
 
     def flat(b: pa.RecordBatch, d: str, w: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         n = np.diff(b.column(d).offsets.to_numpy())
@@ -193,57 +316,121 @@ def _nearest(graph: DataFrame, k: int) -> DataFrame:
     return both.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k).drop("rn")
 
 
-def neighbour_graph(keys: DataFrame, nodes: DataFrame, bits: DataFrame, k: int, rounds: int, floor: float) -> DataFrame:
+def neighbour_graph(keys: Keys, nodes: DataFrame, k: int, rounds: int, floor: float, room: int) -> DataFrame:
     """(u, v, sim) with u < v: the approximate graph of step 3, edges below ``floor`` left out."""
-    graph = materialize(_compared(_plausible(_adjacent(keys), bits).distinct(), nodes).where(F.col("sim") >= floor), "graph")
+    got = Compared(nodes, floor, room)
+    keys.each(keys.heads, _adjacent, got)
+    graph = got.links()
     for _ in range(rounds):
-        near = _nearest(graph, k).select("node", "nb")
-        other = near.select("node", F.col("nb").alias("nb2"))
-        cand = near.join(other, "node").where("nb < nb2").select(F.col("nb").alias("u"), F.col("nb2").alias("v")).distinct()
-        cand = cand.join(graph.select("u", "v"), ["u", "v"], "left_anti")
-        added = materialize(_compared(cand, nodes).where(F.col("sim") >= floor), "graph")
-        graph = graph.unionByName(added)
+        near = materialize(_nearest(graph, k).select("node", "nb"), "near")
+        parts = max(1, -(-near.count() * k * PAIR_BYTES // room))
+        got = Compared(nodes, floor, room)
+        for i in range(parts):
+            part = near.where(F.pmod(F.xxhash64("node"), F.lit(parts)) == i)
+            cand = part.join(part.select("node", F.col("nb").alias("nb2")), "node").where("nb < nb2").select(F.col("nb").alias("u"), F.col("nb2").alias("v")).distinct()
+            got.add(cand.join(graph.select("u", "v"), ["u", "v"], "left_anti"))
+        added = got.links()
+        release(near)
         if not added.limit(1).count():
             break
+        held, graph = graph, materialize(graph.unionByName(added), "graph")
+        release(held, added)
     return graph
 
 
-def _in_blocks(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Both sides of the join of ``keys`` (pair, item, ...) with itself on ``pair``, on (pair, a, b): the
-    items of a pair that more than ``CROWD`` have fall into blocks, and any two blocks meet as a
-    group of their own, so no task holds a crowded pair."""
-    size = keys.groupBy("pair").agg(F.count("*").alias("n")).where("n > 1").select("pair", F.ceil(F.col("n") / CROWD).cast("int").alias("blocks"))
-    k = skew_join(keys, materialize(size, "sizes"), "pair").withColumn("a", F.pmod(F.xxhash64("item"), F.col("blocks")).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    k = materialize(k, "blocks")
-    return k.withColumn("b", every).drop("blocks"), k.withColumnRenamed("a", "b").withColumn("a", every).drop("blocks")
-
-
-def _missing_links(keys: DataFrame, nodes: DataFrame, bits: DataFrame, comp: DataFrame, t: float) -> DataFrame:
-    """(u, v, sim >= t): the exact check of step 5.
-
-    Pairs of dims all of whose nodes lie in one component are dropped by a partial aggregate.
-    For the others, components are paired first and members after, so that members of one large
-    component never meet each other."""
-    labelled = keys.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    mixed = labelled.groupBy("pair").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("kind").alias("k")).where("lo < hi AND k < 2").select("pair")
-    open_keys = materialize(labelled.join(mixed, "pair", "left_semi").select("pair", "comp", "node", "kind"), "open")
-    x, y = _in_blocks(open_keys.groupBy("pair", F.col("comp").alias("item")).agg(F.min("kind").alias("kind")))
-    meet = x.select("pair", "a", "b", F.col("item").alias("ca"), F.col("kind").alias("ka")).join(y.select("pair", "a", "b", F.col("item").alias("cb"), F.col("kind").alias("kb")), ["pair", "a", "b"])
-    meet = meet.where("ca < cb AND (ka < 2 OR kb < 2)").select("pair", "ca", "cb")
-    x = open_keys.select("pair", F.col("comp").alias("ca"), F.col("node").alias("x"), F.col("kind").alias("kx"))
-    y = open_keys.select("pair", F.col("comp").alias("cb"), F.col("node").alias("y"), F.col("kind").alias("ky"))
-    cand = meet.join(x, ["pair", "ca"]).join(y, ["pair", "cb"]).where("kx < 2 OR ky < 2").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v"))
-    return _compared(_plausible(cand, bits).distinct(), nodes).where(F.col("sim") >= t)
-
-
-def _all_links(keys: DataFrame, nodes: DataFrame, bits: DataFrame, comp: DataFrame, t: float) -> DataFrame:
-    """(u, v, sim >= t) with u < v: every link, found among the nodes of one component."""
-    own = keys.join(comp, "node").groupBy("pair", "comp", F.col("node").alias("item")).agg(F.min("kind").alias("kind"))
-    x, y = _in_blocks(own)
-    cand = x.withColumnsRenamed({"item": "u", "kind": "ku"}).join(y.withColumnsRenamed({"item": "v", "kind": "kv"}), ["pair", "a", "b", "comp"])
-    cand = cand.where("u < v AND (ku < 2 OR kv < 2)").select("u", "v")
-    return _compared(_plausible(cand, bits).distinct(), nodes).where(F.col("sim") >= t)
+def _meeting(keys: DataFrame, own: bool) -> DataFrame:
+    """(u, v) with u < v that share a key and may be similar: nodes of one component (``own``), or of two.
+
+    Keys of a group, those of a pair or of a pair and component, meet in one task, which makes pairs
+    of nodes and keeps those that share enough buckets. The nodes (of a pair: the components) of a
+    group that more than ``CROWD`` have fall into blocks, and any two blocks meet as a group of their own.
+    Keys of one component only are not paired otherwise, so members of a large one never meet."""
+    group, item = (["pair", "comp"], "node") if own else (["pair"], "comp")
+    cols = ["pair", "comp", "node", "kind", "need", *BITS]
+    crowd = keys.groupBy(group).agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(F.col("n") > CROWD)
+    crowd = materialize(crowd.select(*group, "n", (F.col("lo") < F.col("hi")).alias("mixed")), "crowd")
+    n = crowd.count()
+    if n and not own:  # blocks are of components, of which a crowd may have few
+        named = keys.join(broadcast_if_small(crowd.where("mixed").select("pair"), n), "pair", "left_semi").groupBy("pair", "comp").agg(F.count("*").alias("n"))
+        count = materialize(named.groupBy("pair").agg(F.count("*").alias("n")), "crowd")
+        crowd = crowd.select("pair").join(count, "pair", "left").select("pair", F.coalesce("n", F.lit(0)).alias("n"))
+    if n:
+        size = crowd.select(*group, F.ceil(F.col("n") / CROWD).cast("int").alias("blocks"))
+        k = keys.join(broadcast_if_small(size, n), group, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).where("blocks > 0")
+        k = k.withColumn("mine", F.pmod(F.xxhash64(item), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        k = k.select(*cols, "mine", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"))
+    else:
+        k = keys.select(*cols, F.lit(0).alias("mine"), F.lit(0).alias("a"), F.lit(0).alias("b"))
+    by = [*group, "a", "b"]
+    k = k.repartition(*by).sortWithinPartitions(*by, "kind", "comp", "node")
+
+    def paired(x: dict[str, np.ndarray], first: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """``first``: where a group begins."""
+        n, at = len(first), np.arange(len(first))
+        starts = np.flatnonzero(first)
+        end = np.append(starts[1:], n)[np.cumsum(first) - 1]
+        start = at + 1
+        if not own:  # the next component, unless dims are single and long vectors come first
+            runs = np.flatnonzero(first | (x["comp"] != np.roll(x["comp"], 1)) | (x["kind"] != np.roll(x["kind"], 1)))
+            run = np.zeros(n, bool)
+            run[runs] = True
+            start = np.append(runs[1:], n)[np.cumsum(run) - 1]
+        size = np.where(x["kind"] == 2, 0, np.maximum(end - start, 0))
+        done = np.cumsum(size)
+        low = 0
+        while low < n:
+            high = max(low + 1, int(np.searchsorted(done, (done[low - 1] if low else 0) + 2_000_000, "right")))
+            c = size[low:high]
+            i = np.repeat(at[low:high], c)
+            j = np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c) + np.repeat(start[low:high], c)
+            keep = (x["node"][i] != x["node"][j]) & ((x["mine"][i] != x["mine"][j]) | (x["a"][i] == x["b"][i]))
+            if not own:
+                keep &= x["comp"][i] != x["comp"][j]
+            i, j = i[keep], j[keep]
+            keep = _shared(x, i, j)
+            u, v = x["node"][i[keep]], x["node"][j[keep]]
+            if len(u):
+                both = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["u", "v"])
+            low = high
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict[str, np.ndarray]] = []
+
+        def joined(parts: list[dict[str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+            x = {c: np.concatenate([p[c] for p in parts]) for c in parts[0]}
+            yield from paired(x, np.append(True, changed(x)))
+
+        def changed(x: dict[str, np.ndarray]) -> np.ndarray:
+            return np.logical_or.reduce([x[c][1:] != x[c][:-1] for c in by])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = {c: b.column(c).to_numpy() for c in (*cols, "mine", "a", "b")}
+            if held and any(held[-1][c][-1] != x[c][0] for c in by):
+                yield from joined(held)
+                held = []
+            cuts = np.flatnonzero(changed(x))
+            if len(cuts):  # all groups but the last are whole
+                yield from joined([*held, {c: w[: cuts[-1] + 1] for c, w in x.items()}])
+                held, x = [], {c: w[cuts[-1] + 1 :] for c, w in x.items()}
+            held.append(x)
+        if held:
+            yield from joined(held)
+
+    return k.mapInArrow(run, "u BIGINT, v BIGINT")
+
+
+def _links(keys: Keys, nodes: DataFrame, comp: DataFrame, t: float, room: int, own: bool) -> DataFrame:
+    """(u, v, sim >= t) with u < v: the exact check of step 5, of nodes in different components, or all
+    links of nodes in one component (``own``)."""
+    placed = keys.heads.join(comp, "node", "inner" if own else "left").withColumn("comp", F.coalesce("comp", "node"))
+    placed = materialize(placed, "placed")
+    got = Compared(nodes, t, room)
+    keys.each(placed, lambda k: _meeting(k, own), got)
+    release(placed)
+    return got.links()
 
 
 def _louvain(u: np.ndarray, v: np.ndarray, w: np.ndarray, twice: float) -> tuple[np.ndarray, np.ndarray]:
@@ -432,14 +619,15 @@ def similarity_clusters(
         raise ValueError("similarity must be in (0, 1]")
     t = similarity - 1e-9
     members, nodes = nodes_of(unit_vectors(triplets, doc, dim, val))
-    keys = _keys(nodes, t)
-    bits = materialize(_bitmaps(nodes, t), "bits")
-    graph = materialize(neighbour_graph(keys, nodes, bits, k, rounds, t), "graph")
+    room = max(ROOM, 3 * _bytes(nodes) // 2)
+    keys = Keys(materialize(_heads(nodes, t), "heads"), room)
+    graph = neighbour_graph(keys, nodes, k, rounds, t, room)
     first = communities(graph).withColumnRenamed("community", "comp")
     first = _tied(graph, materialize(first, "communities"))
-    added = materialize(_missing_links(keys, nodes, bits, first, t), "added")
+    release(graph)
+    added = _links(keys, nodes, first, t, room, False)
     final = _tied(added, first) if added.limit(1).count() else first
-    return Clustering(members, nodes, final, lambda: _all_links(keys, nodes, bits, final, t))
+    return Clustering(members, nodes, final, lambda: _links(keys, nodes, final, t, room, True))
 
 
 def _tied(links: DataFrame, comp: DataFrame) -> DataFrame:

@@ -1,7 +1,10 @@
+from pathlib import Path
+
 import numpy as np
 import pytest
 
 from quarry.llm import clusters as c
+from quarry.plans import lineage
 
 
 def table(spark, rows):
@@ -183,3 +186,47 @@ def test_empty_and_bad(spark):
     assert got.groups().count() == 0 and got.described().count() == 0
     with pytest.raises(ValueError):
         c.similarity_clusters(table(spark, []), similarity=0)
+
+
+def test_small_room(spark, monkeypatch):
+    """Many ranges of keys, classes of nodes and parts of pairs: the same groups and links."""
+    v = made(1)
+    got = c.similarity_clusters(table(spark, rows(v)))
+    want = {(r["u"], r["v"]): r["sim"] for r in got.edges.collect()}
+    monkeypatch.setattr(c, "LONG", 8)
+    monkeypatch.setattr(c, "CROWD", 10)
+    monkeypatch.setattr(c, "ROOM", 60_000)
+    monkeypatch.setattr(c, "_bytes", lambda t: 10_000)
+    got = c.similarity_clusters(table(spark, rows(v)))
+    assert {tuple(r)[:2] for r in got.groups().collect()} == brute(v, 0.8)
+    assert {(r["u"], r["v"]): r["sim"] for r in got.edges.collect()} == pytest.approx(want) and len(want) > 20
+
+
+def test_shared_buckets():
+    """All 64 bits of a word count, the sign among them."""
+    x = {b: np.array([-1, -1, 3], np.int64) for b in c.BITS} | {"need": np.array([200, 256, 8])}
+    assert c._shared(x, np.array([0, 0, 1]), np.array([1, 2, 2])).tolist() == [True, False, False]
+    assert c._shared(x, np.array([2]), np.array([2])).tolist() == [True]
+
+
+def test_disk_follows_the_vectors(spark, monkeypatch):
+    """Keys are on disk a part at a time: all tables together take less than the keys would alone."""
+    monkeypatch.setattr(c, "ROOM", 1_000_000, raising=False)
+    rng = np.random.default_rng(3)
+    v = {i: {int(d): float(rng.integers(1, 4)) for d in rng.choice(400, 16, replace=False)} for i in range(2_000)}
+    most, write = 0, c.materialize
+    root = Path(lineage.shared_root(spark).removeprefix("file://"))
+    on_disk = lambda: sum(p.stat().st_size for p in root.rglob("*.parquet"))
+    base = on_disk()
+
+    def written(df, name="t"):
+        nonlocal most
+        got = write(df, name)
+        most = max(most, on_disk() - base)
+        return got
+
+    monkeypatch.setattr(c, "materialize", written)
+    assert c.similarity_clusters(table(spark, rows(v))).assigned().count() == 0
+    unit = [(np.array(list(e)), np.array(list(e.values())) / np.linalg.norm(list(e.values()))) for e in v.values()]
+    keys = sum(len(c.prefix_pairs(d, w, 0.8)) for d, w in unit)
+    assert 0 < most < 8 * keys, (most, keys)  # a key is a number of 8 bytes at least

@@ -71,6 +71,17 @@ def test_release_deletes_the_table(spark):
         got.count()
 
 
+def test_shuffles_go_with_the_write(spark):
+    """No shuffle file of a written table is left, and the setting is as before."""
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    names = lambda: {x for x in disk.getAllFiles().mkString("|").split("|") if x.endswith(".data")}
+    before = names()
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(setting, None)
+    lineage.materialize(spark.range(1000).repartition(5).groupBy((F.col("id") % 7).alias("k")).agg(F.count("*").alias("n")))
+    assert not names() - before and spark.conf.get(setting, None) == was
+
+
 def test_broadcast_is_bounded_by_bytes(spark):
     assert lineage.broadcast_if_small(df := spark.range(1000), 1000, max_bytes=20_000) is df
     text = lineage.materialize(spark.range(50).select(F.expr("repeat(uuid(), 1000)").alias("t")))
