@@ -5,7 +5,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quarry.functions import vectors as fn
-from quarry.operators import matrix, neighbours, ridge
+from quarry.operators import matrix, nearest, neighbours, ridge
 from quarry.queries import dense
 
 # fixed values: the three-feature toy set of the classic programs
@@ -165,3 +165,36 @@ def test_block_measures_agree(pairs):
     assert fn.MEASURES["l2"].block(d, p, q)[0, 0] == ((a - b) ** 2).sum()
     c = fn.MEASURES["cosine"].block(d, p, q)[0, 0]
     assert np.isnan(c) == (p[0, 0] == 0 or q[0, 0] == 0)
+
+
+@pytest.mark.parametrize("kind", ["ties", "tiny", "outlier", "multiples", "beyond squares"])
+def test_nearest_others(spark, kind, monkeypatch):
+    """Blocks of single precision that only rule out give what scoring every pair gives, copies and ties included."""
+    monkeypatch.setattr(nearest, "BLOCK", 7)
+    monkeypatch.setattr(nearest, "CHUNK", 30)
+    rng = np.random.default_rng(7)
+    x = {
+        "ties": rng.integers(0, 3, (60, 4)).astype(float),
+        "tiny": rng.normal(size=(60, 5)) * 1e-4,
+        "outlier": np.vstack([rng.normal(size=(57, 5)), 1e9 * rng.normal(size=(3, 5))]),
+        "multiples": np.vstack([np.outer(rng.integers(1, 9, 40), [1.0, 2, 3, 4]), np.zeros((3, 4)), -np.outer(rng.integers(1, 4, 17), [1.0, 2, 3, 4])]),
+        "beyond squares": np.vstack([rng.normal(size=(58, 3)), [[1e200] * 3, [1e200, 1e200, 3e199]]]),
+    }[kind]
+    half = lambda v: v[:, :2] / 2
+    forms = [(f, by) for f in (None, half) for by in ("l2", "cosine", "jaccard")]
+    rows = lambda v: table(spark, [(3 * int(i) + 1, int(i % 3), y.tolist()) for i, y in zip(np.random.default_rng(1).permutation(60), v)])
+    got = nearest.nearest_others(rows(x), forms).collect()
+    for k, (f, by) in enumerate(forms):
+        all_pairs = neighbours.neighbours(rows(f(x) if f else x), rows(f(x) if f else x), 1, by, skip_self=True)
+        want = sorted(tuple(r) for r in all_pairs.select("id", "label", "nb_id", "nb_label").collect())
+        assert sorted(tuple(r)[1:] for r in got if r["form"] == k) == want
+
+
+@pytest.mark.parametrize("by", ["l2", "cosine", "jaccard"])
+def test_few_pairs_are_scored_in_full(by, monkeypatch):
+    rng = np.random.default_rng(8)
+    scored, m = [], fn.MEASURES[by]
+    monkeypatch.setattr(m, "block", lambda d, p, q, f=m.block: scored.append(d.size) or f(d, p, q))
+    a, b = (nearest.Side(np.arange(k, 2000, 2), np.zeros(1000, np.int32), rng.integers(0, 200, (1000, 49)).astype(float), by) for k in (0, 1))
+    nearest._pair(a, b, by)
+    assert sum(scored) < 0.01 * 1000 * 1000 and np.isfinite(a.best).all() and np.isfinite(b.best).all()
