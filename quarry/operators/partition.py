@@ -10,11 +10,14 @@ composite, the sum of its points. Move rules and objectives:
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +26,7 @@ from quarry.plans.lineage import broadcast_if_small, materialize, release
 CRITERIA = {"sse": False, "i2": True, "e1": False}  # name -> larger is better
 MAX_DENSE = 5_000_000  # numbers in the k x d matrix a broadcast may hold; beyond, composites are a table
 REPLAY = 4  # rounds between two writings of the clusters
-MAX_SEQUENTIAL = 5_000_000  # cells of a collection that one task may hold
+MAX_SEQUENTIAL = 500_000_000  # cells of a collection that one task may write to its disk, 12 bytes each
 
 
 def criterion(name: str) -> str:
@@ -304,50 +307,86 @@ def fit_sequential(points: DataFrame, k: int, by: str = "e1", trials: int = 1, m
     """(trial, doc_id, cluster, objective): point-by-point moves in the order of the ids, composites
     following each move, as the criterion functions are defined; trials run side by side.
 
-    A move depends on the one before, so a trial is one task that holds all points. That is for
-    collections of at most ``MAX_SEQUENTIAL`` cells; a larger one is an error, and ``fit`` is the
-    way that scales."""
+    A move depends on the one before, so a trial is one task that passes over all points. It keeps them in files of its own
+    machine and k x d composites in memory. Points ahead are scored together, up to the first that moves: until then nothing changes.
+    A collection of more than ``MAX_SEQUENTIAL`` cells is an error, and ``fit`` is the way that scales."""
     by = criterion(by)
-    cells = points.count()
+    pts = materialize(packed(points), "points")
+    cells = pts.agg(F.coalesce(F.sum(F.size("dims")), F.lit(0)).alias("n")).first()["n"]
     if cells > MAX_SEQUENTIAL:
         raise ValueError(f"{cells} cells are more than {MAX_SEQUENTIAL}; use fit")
-    rows = points.select(F.explode(F.sequence(F.lit(0), F.lit(trials - 1))).alias("trial"), "doc_id", "dim", "val")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "dim"])
-        ids, start = np.unique(pdf["doc_id"].to_numpy(), return_index=True)
-        _, dims = np.unique(pdf["dim"].to_numpy(), return_inverse=True)
-        vals = pdf["val"].to_numpy()
-        ends, trial = np.append(start[1:], len(vals)), int(pdf["trial"].iloc[0])
-        n_clusters, d = min(k, len(ids)), int(dims.max()) + 1
-        g = np.bincount(dims, weights=vals, minlength=d)
-        m, n, own = np.zeros((n_clusters, d)), np.zeros(n_clusters), np.full(len(ids), -1)
+    rows = pts.select(F.explode(F.sequence(F.lit(0), F.lit(trials - 1))).alias("trial"), "doc_id", "dims", "vals")
+    rows = rows.repartitionById(trials, "trial").sortWithinPartitions("trial", "doc_id")
+
+    def one_trial(trial: int, ids: np.ndarray, size: np.ndarray, used: np.ndarray, folder: str) -> tuple[np.ndarray, float]:
+        """Clusters and objective; the files hold the cells in the order of the ids."""
+        dims, vals = np.memmap(f"{folder}/dims", np.int32, "r+"), np.memmap(f"{folder}/vals", np.float64, "r")
+        start = np.concatenate([[0], np.cumsum(size)])
+        n_clusters, d, g = min(k, len(ids)), len(used), np.zeros(len(used))
+        xx, xg = np.empty(len(ids)), np.empty(len(ids))
+        spans = [(i, min(i + 20_000, len(ids))) for i in range(0, len(ids), 20_000)]
+        for i, j in spans:
+            at = np.searchsorted(used, dims[start[i] : start[j]]).astype(np.int32)
+            dims[start[i] : start[j]] = at
+            v = vals[start[i] : start[j]]
+            g += np.bincount(at, weights=v, minlength=d)
+            xx[i:j] = np.add.reduceat(v * v, start[i:j] - start[i])
+        for i, j in spans:
+            xg[i:j] = np.add.reduceat(vals[start[i] : start[j]] * g[dims[start[i] : start[j]]], start[i:j] - start[i])
+        m, n, own = np.zeros((d, n_clusters)), np.zeros(n_clusters), np.full(len(ids), -1)
         for c, i in enumerate(np.random.default_rng(2 * trial + 1).choice(len(ids), n_clusters, replace=False)):
-            m[c, dims[start[i] : ends[i]]] = vals[start[i] : ends[i]]
+            m[dims[start[i] : start[i + 1]], c] = vals[start[i] : start[i + 1]]
             n[c], own[i] = 1, c
-        dd, dg = (m * m).sum(1), m @ g
+        dd, dg = (m * m).sum(0), g @ m
         for _ in range(max_iter):
-            moved = 0
-            for i in range(len(ids)):
-                at, v = dims[start[i] : ends[i]], vals[start[i] : ends[i]]
-                s = np.round(_score(by, n, dd, dg, (m[:, at] @ v)[None, :], np.array([v @ v]), np.array([v @ g[at]]), own[i : i + 1])[0], 12)
-                to = int(s.argmin())
-                if own[i] >= 0 and not s[to] < 0:
+            moved, i, ahead = 0, 0, 1
+            while i < len(ids):
+                j = min(i + ahead, len(ids))
+                a, z = start[i], start[j]
+                dots = np.add.reduceat(m[dims[a:z]] * vals[a:z, None], start[i:j] - a)
+                s = np.round(_score(by, n, dd, dg, dots, xx[i:j], xg[i:j], own[i:j]), 12)
+                best = s.argmin(1)
+                go = np.flatnonzero((own[i:j] < 0) | (s[np.arange(j - i), best] < 0))
+                if not len(go):
+                    i, ahead = j, min(2 * ahead, 256)
                     continue
-                for c, sign in ((own[i], -1.0), (to, 1.0)):
+                f, to = i + int(go[0]), int(best[go[0]])
+                ahead = max(1, (3 * ahead + 2 * int(go[0])) // 4)
+                at, v = dims[start[f] : start[f + 1]], vals[start[f] : start[f + 1]]
+                for c, sign in ((own[f], -1.0), (to, 1.0)):
                     if c >= 0:
-                        m[c, at] += sign * v
+                        m[at, c] += sign * v
                         n[c] += sign
-                        dd[c], dg[c] = m[c] @ m[c], m[c] @ g
-                own[i] = to
+                        dd[c], dg[c] = m[:, c] @ m[:, c], m[:, c] @ g
+                own[f] = to
                 moved += 1
+                i = f + 1
             if moved < stop * len(ids):
                 break
         live = n > 0
-        value = {"sse": float(vals @ vals - (dd[live] / n[live]).sum()), "i2": float(np.sqrt(dd).sum()), "e1": float((n[live] * dg[live] / np.sqrt(np.maximum(dd[live], 1e-300))).sum() / np.sqrt(g @ g))}[by]
-        return pd.DataFrame({"trial": trial, "doc_id": ids, "cluster": own, "objective": value})
-
-    return rows.groupBy("trial").applyInPandas(run, "trial INT, doc_id BIGINT, cluster INT, objective DOUBLE")
+        value = {"sse": float(xx.sum() - (dd[live] / n[live]).sum()), "i2": float(np.sqrt(dd).sum()), "e1": float((n[live] * dg[live] / np.sqrt(np.maximum(dd[live], 1e-300))).sum() / np.sqrt(g @ g))}[by]
+        return own, value
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = ((int(t), b.filter(pc.equal(b.column("trial"), t))) for b in batches for t in np.unique(b.column("trial").to_numpy()))
+        for trial, own in groupby(parts, lambda x: x[0]):
+            with tempfile.TemporaryDirectory() as folder:
+                ids, size, used = [], [], np.empty(0, np.int32)
+                with open(f"{folder}/dims", "wb") as to_dims, open(f"{folder}/vals", "wb") as to_vals:
+                    for _, b in own:
+                        dims = b.column("dims").flatten().to_numpy()
+                        dims.astype(np.int32).tofile(to_dims)
+                        b.column("vals").flatten().to_numpy().tofile(to_vals)
+                        ids.append(b.column("doc_id").to_numpy().copy())
+                        size.append(pc.list_value_length(b.column("dims")).to_numpy().astype(np.int64))
+                        used = np.union1d(used, dims)
+                ids = np.concatenate(ids)
+                clusters, value = one_trial(trial, ids, np.concatenate(size), used, folder)
+            n = len(ids)
+            cols = [np.full(n, trial, np.int32), ids, clusters.astype(np.int32), np.full(n, value)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["trial", "doc_id", "cluster", "objective"])
+
+    return rows.mapInArrow(run, "trial INT, doc_id BIGINT, cluster INT, objective DOUBLE")
 
 
 def best_trial(points: DataFrame, k: int, by: str = "i2", trials: int = 3, **kw) -> tuple[DataFrame, pd.DataFrame]:

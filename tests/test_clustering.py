@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quarry.operators import evaluate
 from quarry.operators import partition as ops
@@ -71,6 +72,41 @@ def test_sequential_moves_improve(spark, by, monkeypatch):
         ops.fit_sequential(pts, 3, by)
 
 
+def test_sequential_moves_of_many_cells(spark):
+    """More cells than a task should hold at once: 5.2 million, in two plain groups."""
+    pts = spark.range(1300).select(F.col("id").alias("doc_id"), F.explode(F.sequence(F.lit(0), F.lit(3999))).alias("j"))
+    pts = pts.select("doc_id", (F.col("j") + 4000 * (F.col("doc_id") % 2)).cast("int").alias("dim"), (1 + F.pmod(F.xxhash64("doc_id", "j"), F.lit(100)) / 1000).alias("val"))
+    got = ops.fit_sequential(pts, 4, "i2", max_iter=3)
+    assert got.groupBy("cluster").agg(F.countDistinct(F.col("doc_id") % 2).alias("n")).where("n > 1").count() == 0
+    assert got.count() == 1300
+
+
+def one_by_one(rows, k, by, trial, max_iter):
+    """Clusters when each point is scored against the composites that the one before it left."""
+    x = np.zeros((1 + max(r[0] for r in rows), 1 + max(r[1] for r in rows)))
+    for i, j, v in rows:
+        x[i, j] = v
+    g, own = x.sum(0), np.full(len(x), -1)
+    own[np.random.default_rng(2 * trial + 1).choice(len(x), k, replace=False)] = np.arange(k)
+    for _ in range(max_iter):
+        for i in range(len(x)):
+            m = np.array([x[own == c].sum(0) for c in range(k)])
+            n = np.array([(own == c).sum() for c in range(k)], float)
+            s = np.round(ops._score(by, n, (m * m).sum(1), m @ g, (m @ x[i])[None, :], np.array([x[i] @ x[i]]), np.array([x[i] @ g]), own[i : i + 1])[0], 12)
+            if own[i] < 0 or s.min() < 0:
+                own[i] = s.argmin()
+    return own.tolist()
+
+
+@pytest.mark.parametrize("by", ["sse", "i2", "e1"])
+def test_sequential_is_one_by_one(spark, by):
+    rng = np.random.default_rng(9)
+    rows = [(i, int(j), 1 + float(rng.random())) for i in range(120) for j in rng.choice(30, 6, replace=False)]
+    got = ops.fit_sequential(spark.createDataFrame(rows, "doc_id BIGINT, dim INT, val DOUBLE"), 5, by, trials=2, max_iter=4, stop=0.0)
+    for trial in (0, 1):
+        assert [r["cluster"] for r in got.where(F.col("trial") == trial).orderBy("doc_id").collect()] == one_by_one(rows, 5, by, trial, 4)
+
+
 @pytest.mark.parametrize("by", ["sse", "i2", "e1"])
 def test_fit_with_composites_as_a_table(spark, monkeypatch, by):
     """Beyond the dense limit the rounds are joins, with the same clusters."""
