@@ -198,3 +198,9 @@ def test_few_pairs_are_scored_in_full(by, monkeypatch):
     a, b = (nearest.Side(np.arange(k, 2000, 2), np.zeros(1000, np.int32), rng.integers(0, 200, (1000, 49)).astype(float), by) for k in (0, 1))
     nearest._pair(a, b, by)
     assert sum(scored) < 0.01 * 1000 * 1000 and np.isfinite(a.best).all() and np.isfinite(b.best).all()
+
+
+def test_means_of_images(spark):
+    x = np.random.default_rng(12).integers(0, 255, (20, 49)).astype(float)
+    want = matrix.block_mean(table(spark, [(i, 0, v.tolist()) for i, v in enumerate(x)]), 7, 7, 4).orderBy("id", "br", "bc").collect()
+    assert dense._means(x).ravel().tolist() == [r["val"] for r in want]
